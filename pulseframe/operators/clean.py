@@ -131,11 +131,12 @@ def _validity(rules: DataFrame) -> DataFrame:
     return rules.groupBy("variable").agg(*[F.first(c).alias(c) for c in columns])
 
 
-def process_outliers(events: DataFrame, rules: DataFrame, accuracy: int = 10_000) -> DataFrame:
+def process_outliers(events: DataFrame, rules: DataFrame, accuracy: int = 100_000) -> DataFrame:
     """Remove invalid values, or replace them by the median of the valid ones, per variable.
 
     A test that cannot be decided counts as invalid, a variable without an action passes through
-    and one without a rule disappears. All variables share one aggregation.
+    and one without a rule disappears. All variables share one aggregation, a mergeable sketch whose
+    rank error is at most n / ``accuracy``.
     """
     value, unit = F.col("value"), F.col("unit")
     unit_ok = F.col("units").isNull() | F.array_contains(F.col("units"), unit)

@@ -87,8 +87,8 @@ def forecast_targets(events: DataFrame, windows: DataFrame, vocabulary: DataFram
     found = means.groupBy(*WINDOW).agg(
         F.map_from_entries(F.collect_list(F.struct("var_id", "_mean"))).alias("_found")
     )
-    last = vocabulary.agg(F.max("var_id")).scalar()
-    mean = F.transform(F.sequence(F.lit(0), last), lambda i: F.try_element_at(F.col("_found"), i))
+    every_id = F.sequence(F.lit(0), F.lit(vocabulary.count() - 1))
+    mean = F.transform(every_id, lambda i: F.try_element_at(F.col("_found"), i))
     return (
         ends.join(found, list(WINDOW), "left")
         .withColumn("_mean", mean)

@@ -120,11 +120,7 @@ def relative_minutes(t: Tables) -> DataFrame:
 
 @query("SELECT stay_id, patient_id, died FROM v_order_cohort")
 def eligible_cohort(t: Tables) -> DataFrame:
-    return _order_cohort(t).select("stay_id", "patient_id", "died")
-
-
-def _order_cohort(t: Tables) -> DataFrame:
-    return cohort.eligible_cohort(t.order_stays, t.lines, t.order_admissions)
+    return t.order_cohort.select("stay_id", "patient_id", "died")
 
 
 DEMOGRAPHICS = """
@@ -145,7 +141,7 @@ ORDER_SPLIT = f"""
 
 @query(f"SELECT stay_id, split FROM ({ORDER_SPLIT})")
 def split_by_patient(t: Tables) -> DataFrame:
-    return cohort.split_by_entity(_order_cohort(t))
+    return cohort.split_by_entity(t.order_cohort)
 
 
 LISTS = """
@@ -158,14 +154,14 @@ def split_by_list(t: Tables) -> DataFrame:
     first = F.substring("o_orderpriority", 1, 1)
     names = F.when(first == "1", "train").when(first == "2", "test").when(first == "3", "val")
     lists = t.table("orders").select(F.col("o_orderkey").alias("stay_id"), names.alias("split")).filter("split is not null")
-    return cohort.split_from_lists(_order_cohort(t), lists)
+    return cohort.split_from_lists(t.order_cohort, lists)
 
 
 @query(f"""
   SELECT DISTINCT stay_id FROM v_lines
   WHERE stay_id NOT IN (SELECT stay_id FROM ({ORDER_SPLIT}) WHERE split <> 'train')""")
 def train_complement(t: Tables) -> DataFrame:
-    return cohort.train_complement(t.lines, cohort.split_by_entity(_order_cohort(t)))
+    return cohort.train_complement(t.lines, cohort.split_by_entity(t.order_cohort))
 
 
 LINE_EVENTS = """
@@ -184,7 +180,7 @@ def throttle(t: Tables) -> DataFrame:
   UNION ALL SELECT 'demographics', split, count(*), CAST(sum(stay_id) AS BIGINT) FROM ({DEMOGRAPHICS}) JOIN v_order_splits USING (stay_id) GROUP BY ALL
   UNION ALL SELECT 'events', split, count(*), CAST(sum(stay_id) AS BIGINT) FROM ({LINE_EVENTS}) JOIN v_order_splits USING (stay_id) GROUP BY ALL""")
 def split_outputs(t: Tables) -> DataFrame:
-    eligible, events = _order_cohort(t), ev.throttle_events(t.lines)
+    eligible, events = t.order_cohort, ev.throttle_events(t.lines)
     label_splits = cohort.split_by_entity(eligible)
     paths = io.write_splits(
         eligible, cohort.demographics(t.order_adults, t.raw.patients()), events, label_splits,
@@ -200,12 +196,12 @@ def split_outputs(t: Tables) -> DataFrame:
 
 
 @query("""
-  SELECT stay_id, split, minute, variable, round(value, 6) AS value, source, unit FROM v_full_events JOIN v_splits USING (stay_id)""")
+  SELECT stay_id, split, minute, variable, round(value, 9) AS value, source, unit FROM v_full_events JOIN v_splits USING (stay_id)""")
 def dataset_end_to_end(t: Tables) -> DataFrame:
     built = dataset.build_dataset(t.raw, t.rules)
     joined = built.events.join(built.splits, "stay_id")
     return joined.select(
-        "stay_id", "split", "minute", "variable", r("value"), F.array_join("source", ",").alias("source"), "unit"
+        "stay_id", "split", "minute", "variable", r("value", 9), F.array_join("source", ",").alias("source"), "unit"
     )
 
 
@@ -231,7 +227,7 @@ def csv_roundtrip(t: Tables) -> DataFrame:
 def training_scan(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "events")
     ev.throttle_events(t.lines).write.partitionBy("variable").parquet(path)
-    events = io.training_scan(t.spark, path, _order_cohort(t), ["AF", "NO", "RO"])
+    events = io.training_scan(t.spark, path, t.order_cohort, ["AF", "NO", "RO"])
     return events.select("stay_id", "minute", "variable", r("value"))
 
 
@@ -264,7 +260,7 @@ def file_inventory(t: Tables) -> DataFrame:
   JOIN ({DEMOGRAPHICS}) USING (stay_id) WHERE x < 0.1::DOUBLE""")
 def sample_dataset(t: Tables) -> DataFrame:
     demo = cohort.demographics(t.order_adults, t.raw.patients())
-    labels, events, traits = io.sample_dataset(_order_cohort(t).select("stay_id", "died"), t.lines, demo, 0.1)
+    labels, events, traits = io.sample_dataset(t.order_cohort.select("stay_id", "died"), t.lines, demo, 0.1)
     counts = events.groupBy("stay_id").agg(F.count(F.lit(1)).alias("n_events"))
     return labels.join(counts, "stay_id", "left").join(traits, "stay_id").select(
         "stay_id", "died", F.coalesce("n_events", F.lit(0)).alias("n_events"), "age", "gender"
@@ -332,7 +328,7 @@ def read_derived_weight(t: Tables) -> DataFrame:
 @query("""
   SELECT o_orderkey, year(o_orderdate) AS y, o_totalprice BETWEEN 100000 AND 200000 AS mid,
     substr(o_orderpriority, 1, 1) IN ('1', '2') AS urgent, coalesce(nullif(o_orderstatus, 'P'), 'none') AS status,
-    CAST(o_totalprice AS BIGINT) AS whole, (epoch_us(o_orderdate) - 946684800000000) // 3600000000 AS hours,
+    CAST(round(o_totalprice) AS BIGINT) AS whole, (epoch_us(o_orderdate) - 946684800000000) // 3600000000 AS hours,
     round(least(o_totalprice, 250000) / 1000.0::DOUBLE, 2) AS capped, o_orderdate - INTERVAL 1 HOUR > TIMESTAMP '2000-01-01' AS late,
     split_part(o_orderpriority, '-', 2) AS word, regexp_replace(o_orderpriority, '[^a-zA-Z0-9]', '_', 'g') AS slug,
     TRY_CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS level,

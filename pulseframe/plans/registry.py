@@ -47,7 +47,12 @@ def with_views(body: str) -> str:
     if not ordered:
         return body.strip()
     views = ",\n".join(f"{v} AS ({VIEWS[v].strip()})" for v in ordered)
-    return f"WITH {views}\n{body.strip()}"
+    body = body.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
+    if body.startswith("WITH "):
+        return f"WITH {views},\n{body[5:]}"
+    return f"WITH {views}\n{body}"
 
 
 def r(column: str | Column, digits: int = 6) -> Column:

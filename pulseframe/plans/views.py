@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulseframe.functions.clock import shift_seconds
-from pulseframe.operators import events as ev
+from pulseframe.operators import cohort, events as ev
 from pulseframe.sources.readers import WEIGHT_CODE, RawData
 from pulseframe.sources.rules import rules_table
 
@@ -162,6 +162,10 @@ class Tables:
         age = F.coalesce(F.year("time_start") - F.year("DOB"), F.lit(0)).alias("age")
         return self.order_stays.join(born, "patient_id", "left").select(*self.order_stays.columns, age)
 
+    @_once
+    def order_cohort(self) -> DataFrame:
+        return cohort.eligible_cohort(self.order_stays, self.lines, self.order_admissions)
+
     # --- raw tables ---------------------------------------------------------------------------
     @_once
     def raw_patients(self) -> DataFrame:
