@@ -37,8 +37,7 @@ def assemble_events(sources: dict[str, DataFrame], codes: DataFrame) -> DataFram
     for column, kind in (("unit", "string"), ("stay_id", "bigint")):
         if column not in stacked.columns:
             stacked = stacked.withColumn(column, F.lit(None).cast(kind))
-    registered = codes.select("code").distinct()
-    return attach(stacked.select(*EVENT_COLUMNS), registered, "code", "left_semi", computed=False)
+    return stacked.select(*EVENT_COLUMNS).join(codes.select("code"), "code", "left_semi").select(*EVENT_COLUMNS)
 
 
 def distribute_interval_hourly(events: DataFrame, tail_seconds: int = TAIL_SECONDS) -> DataFrame:
@@ -114,7 +113,7 @@ def apply_value_selectors(events: DataFrame, rules: DataFrame) -> DataFrame:
         .when(kind == "constant", a)
     )
     return (
-        attach(events, selector, "code", "left", computed=False)
+        events.join(selector, "code", "left")
         .withColumn("value", F.coalesce(chosen, raw))
         .filter(F.col("value").isNotNull())
         .drop("sel_kind", "a", "b", "sel_unit", "text_map", "value_num", "value_text")
@@ -123,7 +122,7 @@ def apply_value_selectors(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 def map_code_to_variable(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Add the variable name of each code; codes without a rule are dropped."""
-    return attach(events, rules.select("code", "variable"), "code", computed=False)
+    return events.join(rules.select("code", "variable"), "code")
 
 
 def _validity(rules: DataFrame) -> DataFrame:
@@ -141,7 +140,7 @@ def process_outliers(events: DataFrame, rules: DataFrame, accuracy: int = 100_00
     value, unit = F.col("value"), F.col("unit")
     unit_ok = F.col("units").isNull() | F.array_contains(F.col("units"), unit)
     unit_ok = F.when(F.col("unit_waiver"), (value == 0) | unit_ok).otherwise(unit_ok)
-    judged = attach(events, _validity(rules), "variable", computed=False).withColumn(
+    judged = events.join(_validity(rules), "variable").withColumn(
         "_valid", F.coalesce(value.between(F.col("lo"), F.col("hi")) & unit_ok, F.lit(False))
     )
     repaired = F.col("action") == "replace_with_median"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pulseframe.operators.ordered import running
+from pulseframe.session import settle
 
 
 def spearman_pairs(daily: DataFrame, min_periods: int = 30) -> DataFrame:
@@ -29,8 +30,10 @@ def spearman_pairs(daily: DataFrame, min_periods: int = 30) -> DataFrame:
             ),
         ),
     )
-    points = days.select(F.explode(F.flatten(pair)).alias("p")).groupBy("p.a", "p.b", "p.x", "p.y").agg(
-        F.count(F.lit(1)).alias("_n")
+    points = settle(
+        days.select(F.explode(F.flatten(pair)).alias("p")).groupBy("p.a", "p.b", "p.x", "p.y").agg(
+            F.count(F.lit(1)).alias("_n")
+        )
     )
     sides = []
     for side in ("x", "y"):
@@ -41,25 +44,23 @@ def spearman_pairs(daily: DataFrame, min_periods: int = 30) -> DataFrame:
 
 
 def _average_ranks(spread: DataFrame, side: str) -> DataFrame:
-    placed = running(spread, ["a", "b"], [side], {"_upto": ("sum", F.col("_n"))})
-    rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)
+    """Average rank of each distinct value within its pair, counted from the middle rank."""
+    placed = running(spread, ["a", "b"], [side], {"_upto": ("sum", F.col("_n"))}, totals=True)
+    n = F.col("_upto_total")
+    rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0) - (n + 1) / F.lit(2.0)
     return placed.select("a", "b", side, rank.alias(f"_r{side}"))
 
 
 def _pearson(ranked: DataFrame, min_periods: int) -> DataFrame:
-    # Ranks centred on their known mean (n + 1) / 2 keep the sums small.
-    n = F.sum("_n")
-    size = ranked.groupBy("a", "b").agg(n.alias("n"))
-    joined = ranked.join(size, ["a", "b"])
-    mid = (F.col("n") + 1) / F.lit(2.0)
-    dx, dy, w = F.col("_rx") - mid, F.col("_ry") - mid, F.col("_n")
-    sums = joined.groupBy("a", "b", "n").agg(
-        F.sum(w * dx * dy).alias("_xy"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dy * dy).alias("_yy")
+    # The ranks are centred on their mean, so the plain sums of products are the covariances.
+    dx, dy, w = F.col("_rx"), F.col("_ry"), F.col("_n")
+    sums = ranked.groupBy("a", "b").agg(
+        F.sum(w).alias("n"), F.sum(w * dx * dy).alias("_xy"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dy * dy).alias("_yy")
     )
     rho = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy")))
     half = sums.select("a", "b", "n", F.when(F.col("n") >= min_periods, rho).alias("rho"))
     mirrored = half.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "rho")
-    full = half.unionByName(mirrored)
+    full = settle(half.unionByName(mirrored))
     kept = full.filter("rho is not null").select("a").distinct()
     return (
         full.join(kept, "a", "left_semi")

@@ -14,17 +14,16 @@ def attach(
     dim: DataFrame,
     on: str | list[str],
     how: str = "inner",
-    computed: bool = True,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join ``left`` to a dimension, broadcasting it only when its counted size is within bounds.
+    """Join ``left`` to a computed dimension, broadcasting it only when its counted size is within bounds.
 
-    A dimension that is itself the result of a query (``computed``) is stored first, so counting
-    and joining do not run that query twice. A larger dimension is joined by a shuffle, in which
-    adaptive execution splits the hot keys of ``left``.
+    Catalyst cannot know the size of a query result before it has shuffled the large side too. So
+    the dimension is stored first, then counted. A larger dimension is joined by a shuffle, in
+    which adaptive execution splits the hot keys of ``left``. Tables whose size Catalyst does know
+    (rules, files) need no help: a plain join broadcasts them below its own limit.
     """
-    if computed:
-        dim = settle(dim)
+    dim = settle(dim)
     if dim.count() <= max_rows:
         dim = F.broadcast(dim)
     return left.join(dim, on, how)

@@ -35,7 +35,8 @@ def running(
     """Add running aggregates per key, from the first row up to and including each row.
 
     ``order`` must tell the rows of a key apart. ``folds`` maps a new column to
-    (``sum`` | ``max`` | ``min``, expression); ``backward`` does the same from the last row down.
+    (``sum`` | ``max`` | ``min``, expression); ``backward`` does the same from the last row down
+    (``order`` is then a list of names).
     With ``totals`` each forward column also gets ``<name>_total``, its value over the whole key.
     """
     backward = backward or {}
@@ -43,25 +44,26 @@ def running(
     aggregates = [FOLDS[kind][0](expr).alias(name) for name, (kind, expr) in {**folds, **backward}.items()]
     parts = stored.groupBy(*keys, RANGE).agg(*aggregates)
 
-    whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    later = whole.orderBy(RANGE).rowsBetween(1, Window.unboundedFollowing)
-    carried = [FOLDS[kind][0](name).over(earlier).alias(f"_{name}") for name, (kind, _) in folds.items()]
-    carried += [FOLDS[kind][0](name).over(later).alias(f"_{name}") for name, (kind, _) in backward.items()]
+    # A frame that reaches to the end would be summed anew for every row, so the backward
+    # aggregates run forward over the reversed order.
+    first_to_here = (Window.unboundedPreceding, Window.currentRow)
+    whole, inside = Window.partitionBy(*keys), Window.partitionBy(*keys, RANGE)
+    ways = [
+        (folds, F.col(RANGE), order),
+        (backward, F.desc(RANGE), [F.desc(c) for c in order] if backward else []),
+    ]
+    carried = []
+    for wanted, direction, _ in ways:
+        earlier = whole.orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+        carried += [FOLDS[kind][0](name).over(earlier).alias(f"_{name}") for name, (kind, _) in wanted.items()]
     if totals:
         carried += [FOLDS[kind][0](name).over(whole).alias(f"{name}_total") for name, (kind, _) in folds.items()]
-    carry = parts.select(*keys, RANGE, *carried)
-
-    inside = Window.partitionBy(*keys, RANGE).orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    joined = stored.join(carry, [*keys, RANGE])
-    for name, (kind, expr) in folds.items():
-        fold, merge = FOLDS[kind]
-        joined = joined.withColumn(name, merge(fold(expr).over(upto), F.col(f"_{name}")))
-    for name, (kind, expr) in backward.items():
-        fold, merge = FOLDS[kind]
-        joined = joined.withColumn(name, merge(fold(expr).over(onward), F.col(f"_{name}")))
+    joined = stored.join(parts.select(*keys, RANGE, *carried), [*keys, RANGE])
+    for wanted, _, rows in ways:
+        upto = inside.orderBy(*rows).rowsBetween(*first_to_here) if wanted else None
+        for name, (kind, expr) in wanted.items():
+            fold, merge = FOLDS[kind]
+            joined = joined.withColumn(name, merge(fold(expr).over(upto), F.col(f"_{name}")))
     return joined.drop(RANGE, *[f"_{name}" for name in {**folds, **backward}])
 
 

@@ -62,13 +62,24 @@ def _interpolate(events: DataFrame, knots: DataFrame, col: str, x: str, y: str)
     table = placed.filter("_left is not null or _right is not null").select(
         "variable", F.col("_x").alias(col), line.alias("_y")
     )
+    return _look_up(events, table, col)
+
+
+def _look_up(events: DataFrame, table: DataFrame, col: str) -> DataFrame:
     # A missing value stays missing; a value without a result belongs to a variable without knots.
     looked_up = attach(events, table, ["variable", col], "left").filter(F.col("_y").isNotNull() | F.col(col).isNull())
     return looked_up.withColumn(col, F.col("_y")).select(*events.columns)
 
 
-def ecdf_transform(events: DataFrame, knots: DataFrame, col: str = "value") -> DataFrame:
-    """Value -> quantile. Events of variables without knots are dropped."""
+def ecdf_transform(events: DataFrame, knots: DataFrame, col: str = "value", fitted: bool = False) -> DataFrame:
+    """Value -> quantile. Events of variables without knots are dropped.
+
+    ``fitted`` says that the knots were fitted on these very events: every value has its own knot,
+    and one equi-join does it.
+    """
+    if fitted:
+        table = knots.select("variable", F.col("value").alias(col), F.col("quantile").alias("_y"))
+        return _look_up(events, table, col)
     return _interpolate(events, knots, col, "value", "quantile")
 
 

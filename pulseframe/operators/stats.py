@@ -11,6 +11,7 @@ from pulseframe.functions.keyed import uniform
 from pulseframe.functions.quantile import normal_quantile
 from pulseframe.operators.joins import attach
 from pulseframe.operators.ordered import exact_quantiles, value_counts
+from pulseframe.session import settle
 from pulseframe.operators.scalers import ecdf_fit, ecdf_transform, zscore_fit, zscore_transform
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -287,11 +288,11 @@ def statistics_bundle(*tables: DataFrame) -> DataFrame:
 def transform_comparison(events: DataFrame, variables: list[str] | None = None, edges: int = 16) -> DataFrame:
     """Histograms of the original values, z-scores and quantiles of each variable, over even edges."""
     chosen = events if variables is None else events.filter(F.col("variable").isin(variables))
-    chosen = chosen.select("variable", "value")
+    chosen = settle(chosen.select("variable", "value"))
     spaces = {
         "original": chosen,
         "zscore": zscore_transform(chosen, zscore_fit(chosen)),
-        "ecdf": ecdf_transform(chosen, ecdf_fit(chosen)),
+        "ecdf": ecdf_transform(chosen, ecdf_fit(chosen), fitted=True),
     }
     tables = [
         histogram(df, even_edges(df, edges)).withColumn("space", F.lit(name)) for name, df in spaces.items()
@@ -301,5 +302,4 @@ def transform_comparison(events: DataFrame, variables: list[str] | None = None,
 
 def ecdf_curve(events: DataFrame, variables: list[str] | None = None) -> DataFrame:
     """Points (value, quantile) of the empirical distribution of each variable."""
-    knots = ecdf_fit(events if variables is None else events.filter(F.col("variable").isin(variables)))
-    return knots
+    return ecdf_fit(events if variables is None else events.filter(F.col("variable").isin(variables)))

@@ -34,10 +34,9 @@ def raw_events(raw: RawData, rules: DataFrame) -> DataFrame:
     return clean.assemble_events(sources, rules.select("code"))
 
 
-def clean_events(assembled: DataFrame, rules: DataFrame, leave_outliers: bool = False) -> DataFrame:
-    """Numeric events of named variables, outliers treated."""
-    named = clean.map_code_to_variable(clean.apply_value_selectors(assembled, rules), rules)
-    return named if leave_outliers else clean.process_outliers(named, rules)
+def named_events(assembled: DataFrame, rules: DataFrame) -> DataFrame:
+    """Numeric events of named variables."""
+    return clean.map_code_to_variable(clean.apply_value_selectors(assembled, rules), rules)
 
 
 def build_dataset(
@@ -48,11 +47,16 @@ def build_dataset(
     split_lists: DataFrame | None = None,
     seed: int = 42,
 ) -> Dataset:
-    """Run all steps. The cleaned events feed many outputs, so they are stored once."""
-    cleaned = clean_events(raw_events(raw, rules), rules, leave_outliers)
+    """Run all steps.
+
+    The named events are stored once: the medians, the repair, the noise and the first times of
+    the stays each read them, and all that lies between is narrow.
+    """
+    cleaned = settle(named_events(raw_events(raw, rules), rules))
+    if not leave_outliers:
+        cleaned = clean.process_outliers(cleaned, rules)
     if noise_options and noise_options["p"] > 0:
         cleaned = noise.add_noise(cleaned, seed=seed, **noise_options)
-    cleaned = settle(cleaned)
     stays = settle(ev.filter_active_stays(raw.adult_stays(), cleaned))
     timed = ev.relative_minutes(cleaned, stays)
     events = settle(ev.throttle_events(timed))

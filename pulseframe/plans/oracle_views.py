@@ -307,7 +307,7 @@ VIEWS = {
     # runs
     "v_run_facts": """
       SELECT user_id, event_type, count(*) AS n, max(k) % 10 + 1 AS k,
-        round(sum(CAST(round(value * 100) AS BIGINT)) / (count(*) * 100000)::DOUBLE, 6) AS m
+        CAST(sum(CAST(round(value * 100) AS BIGINT)) * 10 // count(*) AS DOUBLE) / 1000000 AS m
       FROM v_ev GROUP BY 1, 2""",
     "v_runs": """
       SELECT user_id || '-' || event_type AS run_id, event_type AS run_name, user_id, n,

@@ -110,7 +110,7 @@ def ecdf_fit(t: Tables) -> DataFrame:
 
 @query(f"SELECT stay_id, minute, variable, round(y_out, 6) AS value FROM ({interpolate_sql('v_pe', 'value', 'v_knots')})")
 def ecdf_transform_fitted(t: Tables) -> DataFrame:
-    scaled = scalers.ecdf_transform(t.processed, scalers.ecdf_fit(t.processed))
+    scaled = scalers.ecdf_transform(t.processed, scalers.ecdf_fit(t.processed), fitted=True)
     return scaled.select("stay_id", "minute", "variable", r("value"))
 
 
@@ -222,11 +222,11 @@ def _samples(t: Tables, targets: bool = False) -> DataFrame:
     return windows.assemble_samples(rows, t.stay_traits, WINDOW_MINUTES, MAX_EVENTS, forecast)
 
 
-SAMPLE_TEXT = ", ".join([text_sql("vals", "vals"), text_sql("times", "times"), "array_to_string(variables, ',') AS variables"])
+SAMPLE_TEXT = ", ".join([text_sql("s.vals", "vals"), text_sql("times", "times"), "array_to_string(variables, ',') AS variables"])
 
 
 @query(f"""
-  SELECT s.stay_id, s.t1, {SAMPLE_TEXT.replace('vals,', 's.vals,')}, age, gender,
+  SELECT s.stay_id, s.t1, {SAMPLE_TEXT}, age, gender,
     {text_sql('f.vals', 'forecast_values')}, array_to_string(mask, ',') AS forecast_mask
   FROM v_samples s JOIN v_forecast f ON s.stay_id = f.stay_id AND s.t1 = f.t1 JOIN v_stay_traits d ON s.stay_id = d.stay_id""")
 def assemble_samples(t: Tables) -> DataFrame:
@@ -286,7 +286,7 @@ def class_weights(t: Tables) -> DataFrame:
   JOIN classes c ON class = CAST(floor({u(['draw'], "'class'")} * (SELECT count(*) FROM classes)) AS BIGINT) + 1
   JOIN placed p ON p.died = c.died AND place = CAST(floor({u(['draw'], "'place'")} * c.n) AS BIGINT) + 1""")
 def balanced_resample(t: Tables) -> DataFrame:
-    labels = t.order_cohort.select("stay_id", "died")
+    labels = settle(t.order_cohort.select("stay_id", "died"))
     return batches.balanced_resample(labels, ["stay_id"], "died")
 
 

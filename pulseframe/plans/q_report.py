@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
+from pulseframe.functions import quantile as AS
 from pulseframe.functions.keyed import uniform
-from pulseframe.operators import cohort, correlation, evaluate, events as ev, experiments, journeys, scalers, stats
+from pulseframe.operators import clean, cohort, correlation, evaluate, events as ev, experiments, journeys, scalers, stats
 from pulseframe.operators.batches import class_prevalence
 from pulseframe.plans import dataset
 from pulseframe.plans.oracle_views import VIEWS, interpolate_sql, u
@@ -66,7 +69,24 @@ def stratified_sample(t: Tables) -> DataFrame:
     return stats.stratified_sample(t.point_events, SAMPLE_N, ["event_id"]).select("event_id", "variable", "value")
 
 
-@query()
+def _horner(x: str, coefficients: tuple[float, ...]) -> str:
+    return reduce(lambda total, c: f"({total} * {x} + {c!r}::DOUBLE)", coefficients[1:], f"{coefficients[0]!r}::DOUBLE")
+
+
+def _quantile_sql(p: str) -> str:
+    q = f"({p} - 0.5::DOUBLE)"
+    near, far = f"(0.180625::DOUBLE - {q} * {q})", f"sqrt(-ln(least({p}, 1 - {p})))"
+    middle, tail = f"({far} - 1.6::DOUBLE)", f"({far} - 5)"
+    return f"""CASE WHEN abs({q}) <= 0.425 THEN {q} * {_horner(near, AS.CENTRE_NUM)} / {_horner(near, AS.CENTRE_DEN)}
+      WHEN {far} <= 5 THEN sign({q}) * {_horner(middle, AS.MIDDLE_NUM)} / {_horner(middle, AS.MIDDLE_DEN)}
+      ELSE sign({q}) * {_horner(tail, AS.TAIL_NUM)} / {_horner(tail, AS.TAIL_DEN)} END"""
+
+
+@query(f"""
+  SELECT variable, round(avg(abs(z - {_quantile_sql('p')})), 6) AS wasserstein_distance FROM (
+    SELECT variable, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS z,
+      (row_number() OVER (PARTITION BY variable ORDER BY value) - 0.5::DOUBLE) / count(*) OVER w AS p
+    FROM {SAMPLED.replace(str(SAMPLE_N), '5000')} WINDOW w AS (PARTITION BY variable)) GROUP BY variable""")
 def normality_distance(t: Tables) -> DataFrame:
     sample = stats.stratified_sample(t.point_events, 5_000, ["event_id"])
     return stats.normality_distance(sample).select("variable", r("wasserstein_distance"))
@@ -162,11 +182,8 @@ def variable_by_source(t: Tables) -> DataFrame:
   UNION ALL SELECT 'clean', source, variable, count(*) FROM v_clean GROUP BY source, variable""")
 def stage_counts(t: Tables) -> DataFrame:
     assembled = settle(dataset.raw_events(t.raw, t.rules))
-    counts = stats.stage_counts(
-        assembled=assembled,
-        selected=dataset.clean_events(assembled, t.rules, leave_outliers=True),
-        clean=dataset.clean_events(assembled, t.rules),
-    )
+    selected = dataset.named_events(assembled, t.rules)
+    counts = stats.stage_counts(assembled=assembled, selected=selected, clean=clean.process_outliers(selected, t.rules))
     return counts.withColumnRenamed("rows", "row_count")
 
 

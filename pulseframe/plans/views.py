@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulseframe.functions.clock import shift_seconds
 from pulseframe.operators import cohort, events as ev
+from pulseframe.session import settle
 from pulseframe.sources.readers import WEIGHT_CODE, RawData
 from pulseframe.sources.rules import rules_table
 
@@ -108,9 +109,9 @@ class Tables:
 
     @_once
     def processed(self) -> DataFrame:
-        """Long table (stay_id, minute, variable, value, source, unit) made by the library."""
+        """Long table (stay_id, minute, variable, value, source, unit) made by the library, stored once."""
         stays = self.point_events.select("stay_id").distinct()
-        return ev.throttle_events(ev.relative_minutes(self.point_events, stays))
+        return settle(ev.throttle_events(ev.relative_minutes(self.point_events, stays)))
 
     @_once
     def lines(self) -> DataFrame:
@@ -309,7 +310,7 @@ class Tables:
                            F.when(u % 5 != 0, F.col("m") / 4).alias("test_minrp"))
         grouped = self.ev.groupBy("user_id", "event_type").agg(
             F.count(F.lit(1)).alias("n"), (F.max("k") % 10 + 1).alias("k"),
-            F.round(F.sum(F.round(F.col("value") * 100).cast("bigint")) / (F.count(F.lit(1)) * 100_000), 6).alias("m"),
+            (F.floor(F.sum(F.round(F.col("value") * 100).cast("bigint")) * 10 / F.count(F.lit(1))) / 1_000_000).alias("m"),
         )
         tags = F.when(u % 11 == 0, F.array(F.lit("archive"))).otherwise(F.array(F.lit("kept")))
         return grouped.select(

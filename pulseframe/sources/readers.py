@@ -11,6 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulseframe.functions.schema import require_not_null, to_canonical
+from pulseframe.session import settle
 
 ADULT_AGE = 18
 WEIGHT_CODE = 224639  # fixed value: weights noted beside an infusion have no code of their own
@@ -116,6 +117,7 @@ class RawData:
 
     def __init__(self, table):
         self.table = table
+        self._stays = None
 
     @classmethod
     def at(cls, spark: SparkSession, directory: str) -> "RawData":
@@ -125,7 +127,10 @@ class RawData:
         return clean_patients(self.table("PATIENTS"))
 
     def adult_stays(self) -> DataFrame:
-        return clean_adult_stays(self.table("ICUSTAYS"), self.patients())
+        """Stored on first use: every event reader is restricted to these stays."""
+        if self._stays is None:
+            self._stays = settle(clean_adult_stays(self.table("ICUSTAYS"), self.patients()))
+        return self._stays
 
     def admissions(self) -> DataFrame:
         return clean_admissions(self.table("ADMISSIONS"), self.adult_stays())

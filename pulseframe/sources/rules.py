@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pulseframe.functions.schema import RULE_SCHEMA
 
@@ -50,9 +52,9 @@ def rules_table(spark: SparkSession, features=EXAMPLE_RULES) -> DataFrame:
     rows = []
     for feature in features:
         spec = {**DEFAULTS, **{k: v for k, v in feature.items() if k not in ("code", "codes")}}
-        for code in feature.get("codes", [feature.get("code")]):
-            rows.append(tuple({**spec, "code": code}[f.name] for f in RULE_SCHEMA.fields))
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+        rows += [{**spec, "code": code} for code in feature.get("codes", [feature.get("code")])]
+    # From Arrow the rows become a local relation of known size, which Catalyst broadcasts by itself.
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(RULE_SCHEMA)), RULE_SCHEMA)
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
