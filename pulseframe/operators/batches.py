@@ -8,6 +8,7 @@ from pulseframe.functions.keyed import uniform
 from pulseframe.operators.joins import attach
 from pulseframe.operators.ordered import numbered, running
 from pulseframe.operators.windows import WINDOW
+from pulseframe.session import settle
 
 PAD_STEP = 8
 PADDED = ("values", "times", "variables")
@@ -15,6 +16,7 @@ PADDED = ("values", "times", "variables")
 
 def length_batches(samples: DataFrame, batch_size: int, keys: tuple[str, ...] = WINDOW) -> DataFrame:
     """Add ``batch_id``: samples from the longest to the shortest, ``batch_size`` at a time."""
+    samples = settle(samples)  # ordering reads only the lengths; the arrays are joined back
     lengths = samples.select(*keys, F.size("values").alias("_length"))
     placed = numbered(lengths, [F.desc("_length"), *keys])
     batch = F.floor((F.col("row") - 1) / batch_size).alias("batch_id")

@@ -41,7 +41,7 @@ def _interpolate(events: DataFrame, knots: DataFrame, col: str, x: str, y: str)
     the last knot before and the first knot after are running aggregates, and the result is joined
     back to the events by value.
     """
-    asked = events.select("variable", F.col(col).alias("_x")).filter("_x is not null").distinct()
+    asked = events.select("variable", F.col(col).alias("_x")).filter("_x is not null and not isnan(_x)").distinct()
     known = knots.select("variable", F.col(x).cast("double").alias("_x"), F.struct(x, y).alias("_knot"))
     merged = asked.unionByName(known, allowMissingColumns=True).groupBy("variable", "_x").agg(
         F.max("_knot").alias("_knot")
@@ -67,8 +67,9 @@ def _interpolate(events: DataFrame, knots: DataFrame, col: str, x: str, y: str)
 
 def _look_up(events: DataFrame, table: DataFrame, col: str) -> DataFrame:
     # A missing value stays missing; a value without a result belongs to a variable without knots.
-    looked_up = attach(events, table, ["variable", col], "left").filter(F.col("_y").isNotNull() | F.col(col).isNull())
-    return looked_up.withColumn(col, F.col("_y")).select(*events.columns)
+    missing = F.col(col).isNull() | F.isnan(col)
+    looked_up = attach(events, table, ["variable", col], "left").filter(F.col("_y").isNotNull() | missing)
+    return looked_up.withColumn(col, F.coalesce("_y", col)).select(*events.columns)
 
 
 def ecdf_transform(events: DataFrame, knots: DataFrame, col: str = "value", fitted: bool = False) -> DataFrame:

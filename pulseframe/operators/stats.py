@@ -206,8 +206,11 @@ def interval_counts(intervals: DataFrame, hourly: DataFrame) -> DataFrame:
     return long_form(before).unionByName(long_form(hourly.agg(F.count(F.lit(1)).alias("HourlyRows"))))
 
 
-def percentile_bounds(events: DataFrame, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """Exact lower and upper percentile of each variable: ``(variable, p_lo, p_hi)``."""
+def percentile_bounds(events: DataFrame, lo: float = 0.01, hi: float = 0.99, exact: bool = True) -> DataFrame:
+    """Lower and upper percentile of each variable: ``(variable, p_lo, p_hi)``; by a sketch unless ``exact``."""
+    if not exact:
+        sketch = F.percentile_approx("value", [lo, hi], 10_000)
+        return events.groupBy("variable").agg(sketch[0].alias("p_lo"), sketch[1].alias("p_hi"))
     return exact_quantiles(events, ["variable"], {"p_lo": lo, "p_hi": hi})
 
 
@@ -218,9 +221,10 @@ def trim_to_percentiles(events: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def daily_means(events: DataFrame) -> DataFrame:
-    """Mean per stay, day and variable."""
+    """Mean per stay, day and variable, as single precision: the last bits of a mean depend on the
+    order of addition and must not break ties when values are ranked."""
     day = F.floor(F.col("minute") / 1440).alias("day")
-    return events.groupBy("stay_id", day, "variable").agg(F.avg("value").alias("value"))
+    return events.groupBy("stay_id", day, "variable").agg(F.avg("value").cast("float").alias("value"))
 
 
 def daily_pivot(events: DataFrame, variables: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pulseframe.functions.keyed import uniform
 from pulseframe.operators.joins import attach, interval_join
 from pulseframe.operators.ordered import numbered
-from pulseframe.operators.scalers import time_scale
+from pulseframe.operators.scalers import scaled_time
 
 WINDOW = ("stay_id", "t1")
 CELL = 1440
@@ -168,14 +168,21 @@ def assemble_samples(
     array never holds more than ``max_events``.
     """
     label = ["label"] if "label" in window_events.columns else []
-    capped = cap_events(time_scale(window_events, max_minute), max_events, seed)
-    event = F.struct("minute", "var_id", F.col("value").cast("float").alias("value"), F.col("time").cast("float").alias("time"))
-    samples = capped.groupBy(*WINDOW, *label).agg(F.array_sort(F.collect_list(event)).alias("_events"))
+    event = F.struct("minute", "var_id", F.col("value").cast("float").alias("value"))
+    # Times count from the first event before the cap; one row per window carries it.
+    first = window_events.groupBy(*WINDOW).agg(F.min("minute").alias("_first"))
+    samples = (
+        cap_events(window_events, max_events, seed)
+        .groupBy(*WINDOW, *label)
+        .agg(F.array_sort(F.collect_list(event)).alias("_events"))
+        .join(first, list(WINDOW))
+    )
+    times = F.transform("_events.minute", lambda m: scaled_time(m, F.col("_first"), max_minute).cast("float"))
     traits = demographics.select("stay_id", F.array(F.col("age"), F.col("gender")).cast("array<float>").alias("demographics"))
     samples = samples.join(traits, "stay_id").select(
         *WINDOW,
         F.col("_events.value").alias("values"),
-        F.col("_events.time").alias("times"),
+        times.alias("times"),
         F.col("_events.var_id").alias("variables"),
         "demographics",
         *label,

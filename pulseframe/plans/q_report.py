@@ -21,7 +21,7 @@ PNAMES = [f"p{int(p * 100)}" for p in P]
 
 VIEWS.update({
     "v_le": "SELECT stay_id, minute, variable, avg(value) AS value, min(source) AS source FROM v_lines GROUP BY ALL",
-    "v_daily": "SELECT stay_id, minute // 1440 AS day, variable, avg(value) AS value FROM v_processed GROUP BY ALL",
+    "v_daily": "SELECT stay_id, minute // 1440 AS day, variable, CAST(avg(value) AS FLOAT) AS value FROM v_processed GROUP BY ALL",
     "v_order_labels": f"""
       SELECT stay_id, patient_id, died, CASE WHEN x < 0.64::DOUBLE THEN 'train' WHEN x < (0.64::DOUBLE + 0.2::DOUBLE) THEN 'test' ELSE 'val' END AS split
       FROM (SELECT *, {u(['patient_id'], "'split'")} AS x FROM v_order_cohort)""",
@@ -395,10 +395,10 @@ def mean_sem(t: Tables) -> DataFrame:
 
 
 @query(f"""
-  SELECT data_fraction, name, metric, round(mean, 9) AS mean, round(sem, 9) AS sem
+  SELECT data_fraction, name, metric, round(mean, 12) AS mean, round(sem, 12) AS sem
   FROM ({_mean_sem_sql(keys='data_fraction, name')})""")
 def learning_curve(t: Tables) -> DataFrame:
-    return experiments.mean_sem(_flat(t), ["data_fraction", "name"], METRICS, digits=9)
+    return experiments.mean_sem(_flat(t), ["data_fraction", "name"], METRICS, digits=12)
 
 
 @query(f"""
