@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.operators.ordered import running
 from pulseframe.operators.scalers import ecdf_inverse, ecdf_transform, zscore_inverse, zscore_transform
+from pulseframe.session import settle
 
 
 def thresholds(preds: DataFrame) -> DataFrame:
@@ -116,14 +117,10 @@ def masked_losses(
     inverse = {"zscore": zscore_inverse, "ecdf": ecdf_inverse}
     forward = {"zscore": zscore_transform, "ecdf": ecdf_transform}
     kind, model = original
-    plain = cells.filter("mask").select("variable", "pred", "true")
-    for column in ("true", "pred"):
-        plain = inverse[kind](plain, model, column)
+    plain = inverse[kind](cells.filter("mask").select("variable", "pred", "true"), settle(model), "true", "pred")
     result = None
     for name, (kind, model) in targets.items():
-        scaled = plain
-        for column in ("true", "pred"):
-            scaled = forward[kind](scaled, model, column)
+        scaled = forward[kind](plain, settle(model), "true", "pred")
         gap = F.col("true") - F.col("pred")
         row = scaled.agg(F.avg(gap * gap).alias("mse_loss"), F.avg(F.abs(gap)).alias("mae_loss")).withColumn(
             "space", F.lit(name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulseframe.session import settle
+from pulseframe.session import settle, stored_rows
 
 BROADCAST_ROWS = 200_000
 
@@ -24,7 +24,7 @@ def attach(
     (rules, files) need no help: a plain join broadcasts them below its own limit.
     """
     dim = settle(dim)
-    if dim.count() <= max_rows:
+    if stored_rows(dim) <= max_rows:
         dim = F.broadcast(dim)
     return left.join(dim, on, how)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.operators.joins import attach
 from pulseframe.operators.ordered import running, value_counts
+from pulseframe.session import settle
 
 
 def zscore_fit(events: DataFrame) -> DataFrame:
@@ -16,14 +17,15 @@ def zscore_fit(events: DataFrame) -> DataFrame:
     )
 
 
-def zscore_transform(events: DataFrame, params: DataFrame, col: str = "value") -> DataFrame:
-    scaled = attach(events, params, "variable").withColumn(col, (F.col(col) - F.col("mean")) / F.col("std"))
-    return scaled.select(*events.columns)
+def zscore_transform(events: DataFrame, params: DataFrame, *cols: str) -> DataFrame:
+    """(value - mean) / std of the variable, in the given columns (``value`` by default)."""
+    scaled = {c: (F.col(c) - F.col("mean")) / F.col("std") for c in cols or ("value",)}
+    return attach(events, params, "variable").withColumns(scaled).select(*events.columns)
 
 
-def zscore_inverse(events: DataFrame, params: DataFrame, col: str = "value") -> DataFrame:
-    restored = attach(events, params, "variable").withColumn(col, F.col(col) * F.col("std") + F.col("mean"))
-    return restored.select(*events.columns)
+def zscore_inverse(events: DataFrame, params: DataFrame, *cols: str) -> DataFrame:
+    restored = {c: F.col(c) * F.col("std") + F.col("mean") for c in cols or ("value",)}
+    return attach(events, params, "variable").withColumns(restored).select(*events.columns)
 
 
 def ecdf_fit(events: DataFrame) -> DataFrame:
@@ -34,14 +36,14 @@ def ecdf_fit(events: DataFrame) -> DataFrame:
     )
 
 
-def _interpolate(events: DataFrame, knots: DataFrame, col: str, x: str, y: str) -> DataFrame:
-    """Replace ``col`` by the line through the neighbouring knots (x, y), clamped at the ends.
+def _interpolate(events: DataFrame, knots: DataFrame, cols: tuple[str, ...], x: str, y: str) -> DataFrame:
+    """Replace ``cols`` by the line through the neighbouring knots (x, y), clamped at the ends.
 
     Each distinct value is looked up once: the distinct values and the knots are sorted together,
     the last knot before and the first knot after are running aggregates, and the result is joined
     back to the events by value.
     """
-    asked = events.select("variable", F.col(col).alias("_x")).filter("_x is not null and not isnan(_x)").distinct()
+    asked = events.select("variable", F.explode(F.array(*cols)).alias("_x")).filter("_x is not null and not isnan(_x)").distinct()
     known = knots.select("variable", F.col(x).cast("double").alias("_x"), F.struct(x, y).alias("_knot"))
     merged = asked.unionByName(known, allowMissingColumns=True).groupBy("variable", "_x").agg(
         F.max("_knot").alias("_knot")
@@ -60,33 +62,39 @@ def _interpolate(events: DataFrame, knots: DataFrame, col: str, x: str, y: str)
         .otherwise(y0 + (y1 - y0) / (x1 - x0) * (F.col("_x") - x0))
     )
     table = placed.filter("_left is not null or _right is not null").select(
-        "variable", F.col("_x").alias(col), line.alias("_y")
+        "variable", "_x", line.alias("_y")
     )
-    return _look_up(events, table, col)
+    return _look_up(events, table, cols)
 
 
-def _look_up(events: DataFrame, table: DataFrame, col: str) -> DataFrame:
-    # A missing value stays missing; a value without a result belongs to a variable without knots.
-    missing = F.col(col).isNull() | F.isnan(col)
-    looked_up = attach(events, table, ["variable", col], "left").filter(F.col("_y").isNotNull() | missing)
-    return looked_up.withColumn(col, F.coalesce("_y", col)).select(*events.columns)
+def _look_up(events: DataFrame, table: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """Replace each column by ``_y`` of its ``_x``.
+
+    A missing value stays missing; a value without a result belongs to a variable without knots.
+    """
+    table, result = settle(table), events
+    for col in cols:
+        missing = F.col(col).isNull() | F.isnan(col)
+        found = attach(result.withColumn("_x", F.col(col)), table, ["variable", "_x"], "left")
+        result = found.filter(F.col("_y").isNotNull() | missing).withColumn(col, F.coalesce("_y", col)).select(*events.columns)
+    return result
 
 
-def ecdf_transform(events: DataFrame, knots: DataFrame, col: str = "value", fitted: bool = False) -> DataFrame:
+def ecdf_transform(events: DataFrame, knots: DataFrame, *cols: str, fitted: bool = False) -> DataFrame:
     """Value -> quantile. Events of variables without knots are dropped.
 
     ``fitted`` says that the knots were fitted on these very events: every value has its own knot,
     and one equi-join does it.
     """
+    cols = cols or ("value",)
     if fitted:
-        table = knots.select("variable", F.col("value").alias(col), F.col("quantile").alias("_y"))
-        return _look_up(events, table, col)
-    return _interpolate(events, knots, col, "value", "quantile")
+        return _look_up(events, knots.select("variable", F.col("value").alias("_x"), F.col("quantile").alias("_y")), cols)
+    return _interpolate(events, knots, cols, "value", "quantile")
 
 
-def ecdf_inverse(events: DataFrame, knots: DataFrame, col: str = "value") -> DataFrame:
+def ecdf_inverse(events: DataFrame, knots: DataFrame, *cols: str) -> DataFrame:
     """Quantile -> value."""
-    return _interpolate(events, knots, col, "quantile", "value")
+    return _interpolate(events, knots, cols or ("value",), "quantile", "value")
 
 
 def demographic_fit(demo: DataFrame) -> DataFrame:

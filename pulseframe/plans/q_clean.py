@@ -268,8 +268,8 @@ def sample_dataset(t: Tables) -> DataFrame:
 
 
 # --- C. readers ---------------------------------------------------------------------------------
-@query("SELECT HADM_ID, epoch_us(DEATHTIME) AS DEATHTIME_us FROM v_raw_admissions WHERE DEATHTIME IS NOT NULL AND HADM_ID IS NOT NULL")
-def require_not_null_rows(t: Tables) -> DataFrame:
+@query("SELECT HADM_ID, epoch_us(DEATHTIME) AS DEATHTIME_us FROM v_raw_admissions WHERE DEATHTIME IS NOT NULL AND HADM_ID IS NOT NULL", name="require_not_null")
+def not_null_rows(t: Tables) -> DataFrame:
     return require_not_null(t.raw_admissions, ["HADM_ID", "DEATHTIME"]).select("HADM_ID", micros("DEATHTIME"))
 
 

@@ -355,7 +355,7 @@ def masked_losses(t: Tables) -> DataFrame:
         "variable", F.col("value").alias("true"), (F.col("value") + shift).alias("pred"),
         (uniform(CELL_KEY, 42, "mask") < 0.5).alias("mask"),
     )
-    cells = scalers.zscore_transform(scalers.zscore_transform(raw, params, "true"), params, "pred")
+    cells = scalers.zscore_transform(raw, params, "true", "pred")
     losses = evaluate.masked_losses(cells, ("zscore", params), {"standard": ("zscore", params), "ecdf": ("ecdf", knots)})
     return losses.select("space", r("mse_loss"), r("mae_loss"))
 

@@ -69,6 +69,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and store it reliably, so later passes read it and never recompute it."""
+    """Compute ``df`` once and store it reliably, so later passes read it and never recompute it.
+
+    A DataFrame that came from here is returned as it is.
+    """
+    if getattr(df, "_settled", False):
+        return df
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    stored = df.checkpoint()
+    stored._settled = True
+    return stored
+
+
+def stored_rows(df: DataFrame) -> int:
+    """Rows of a settled DataFrame, counted once."""
+    if getattr(df, "_rows", None) is None:
+        df._rows = df.count()
+    return df._rows
