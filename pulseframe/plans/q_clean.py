@@ -13,7 +13,7 @@ from pulseframe.plans import dataset
 from pulseframe.plans.oracle_views import convert_sql, hourly_sql, outliers_sql, u
 from pulseframe.plans.registry import micros, query, r
 from pulseframe.plans.views import LINE_MEDIAN, LINE_REMOVE, Tables
-from pulseframe.session import scratch_path
+from pulseframe.session import scratch_path, settle
 from pulseframe.sources import io, readers
 from pulseframe.sources.rules import rules_table
 
@@ -180,11 +180,11 @@ def throttle(t: Tables) -> DataFrame:
   UNION ALL SELECT 'demographics', split, count(*), CAST(sum(stay_id) AS BIGINT) FROM ({DEMOGRAPHICS}) JOIN v_order_splits USING (stay_id) GROUP BY ALL
   UNION ALL SELECT 'events', split, count(*), CAST(sum(stay_id) AS BIGINT) FROM ({LINE_EVENTS}) JOIN v_order_splits USING (stay_id) GROUP BY ALL""")
 def split_outputs(t: Tables) -> DataFrame:
-    eligible, events = t.order_cohort, ev.throttle_events(t.lines)
+    eligible, events = settle(t.order_cohort), settle(ev.throttle_events(t.lines))
     label_splits = cohort.split_by_entity(eligible)
     paths = io.write_splits(
         eligible, cohort.demographics(t.order_adults, t.raw.patients()), events, label_splits,
-        cohort.complete_splits(t.lines, label_splits), scratch_path(t.spark, "splits"),
+        cohort.complete_splits(events, label_splits), scratch_path(t.spark, "splits"),
     )
     counted = [
         io.read_split(t.spark, path).groupBy("split").agg(

@@ -121,9 +121,9 @@ SPLIT_STATISTICS = """
 
 
 def _splits(t: Tables):
-    events = ev.throttle_events(t.lines)
-    label_splits = cohort.split_by_entity(t.order_cohort)
-    return t.order_cohort.select("stay_id", "died"), events, cohort.complete_splits(events, label_splits)
+    events, eligible = settle(ev.throttle_events(t.lines)), settle(t.order_cohort)
+    splits = cohort.complete_splits(events, cohort.split_by_entity(eligible))
+    return eligible.select("stay_id", "died"), events, settle(splits)
 
 
 def _split_statistics(t: Tables) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from pulseframe.functions.keyed import uniform
+from pulseframe.session import settle
 
 MIB = float(2**20)
 
@@ -144,6 +145,6 @@ def sample_dataset(
     labels: DataFrame, events: DataFrame, demographics: DataFrame, fraction: float = 0.01, seed: int = 42
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A small consistent dataset: a sample of labels with their events and demographics."""
-    chosen = labels.filter(uniform(["stay_id"], seed, "fixture") < F.lit(float(fraction)))
+    chosen = settle(labels.filter(uniform(["stay_id"], seed, "fixture") < F.lit(float(fraction))))
     keys = chosen.select("stay_id")
     return chosen, events.join(keys, "stay_id", "left_semi"), demographics.join(keys, "stay_id", "left_semi")
