@@ -329,7 +329,7 @@ def read_derived_weight(t: Tables) -> DataFrame:
   SELECT o_orderkey, year(o_orderdate) AS y, o_totalprice BETWEEN 100000 AND 200000 AS mid,
     substr(o_orderpriority, 1, 1) IN ('1', '2') AS urgent, coalesce(nullif(o_orderstatus, 'P'), 'none') AS status,
     CAST(round(o_totalprice) AS BIGINT) AS whole, (epoch_us(o_orderdate) - 946684800000000) // 3600000000 AS hours,
-    round(least(o_totalprice, 250000) / 1000.0::DOUBLE, 2) AS capped, o_orderdate - INTERVAL 1 HOUR > TIMESTAMP '2000-01-01' AS late,
+    round(least(o_totalprice, 250000) / 1000.0::DOUBLE, 5) AS capped, o_orderdate - INTERVAL 1 HOUR > TIMESTAMP '2000-01-01' AS late,
     split_part(o_orderpriority, '-', 2) AS word, regexp_replace(o_orderpriority, '[^a-zA-Z0-9]', '_', 'g') AS slug,
     TRY_CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS level,
     round(1 / (1 + exp(-(o_totalprice / 100000 - 2))), 6) AS squashed, abs(o_custkey - 700) AS gap
@@ -346,7 +346,7 @@ def scalar_functions(t: Tables) -> DataFrame:
         F.coalesce(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")), F.lit("none")).alias("status"),
         F.round(price).cast("bigint").alias("whole"),
         F.floor(F.timestamp_diff("SECOND", epoch, F.col("o_orderdate")) / 3600).alias("hours"),
-        F.round(F.least(price, F.lit(250_000.0)) / 1000, 2).alias("capped"),
+        F.round(F.least(price, F.lit(250_000.0)) / 1000, 5).alias("capped"),
         (F.col("o_orderdate") - F.expr("INTERVAL 1 HOUR") > epoch).alias("late"),
         F.try_element_at(F.split("o_orderpriority", "-"), F.lit(2)).alias("word"),
         F.regexp_replace("o_orderpriority", "[^a-zA-Z0-9]", "_").alias("slug"),
