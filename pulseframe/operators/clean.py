@@ -47,29 +47,26 @@ def distribute_interval_hourly(events: DataFrame, tail_seconds: int = TAIL_SECON
     last, then the last hour and the remainder: as two rows, or as one when the remainder is
     shorter than ``tail_seconds``. A negative length gives nothing.
     """
-    length = F.col("_length")
-    hours = F.floor(length / 3600)
-    rest = length % 3600
+    length, piece = F.col("_length"), F.col("_piece")
+    hours, rest = F.floor(length / 3600), length % 3600
+    short, joined_tail = length <= 3600, rest < tail_seconds
+    pieces = F.when(short, F.lit(1).cast("bigint")).when(joined_tail, hours).otherwise(hours + 1)
+    last = piece == pieces
+    back = F.when(last, F.lit(0).cast("bigint")).otherwise(length - piece * 3600)
     hourly = F.col("value") * F.lit(3600.0) / length
-
-    def row(back, amount):
-        return F.struct(shift_seconds(F.col("time_end"), -back).alias("time"), amount.alias("value"))
-
-    none = F.lit(0).cast("bigint")
-    full = F.when(
-        hours >= 2, F.transform(F.sequence(F.lit(1).cast("bigint"), hours - 1), lambda i: row(length - i * 3600, hourly))
-    ).otherwise(F.array().cast("array<struct<time:timestamp,value:double>>"))
-    tail = F.when(rest < tail_seconds, F.array(row(none, hourly * (rest / 3600 + 1)))).otherwise(
-        F.array(row(rest, hourly), row(none, hourly * rest / 3600))
+    amount = (
+        F.when(short, F.col("value"))
+        .when(~last, hourly)
+        .when(joined_tail, hourly * (rest / 3600 + 1))
+        .otherwise(hourly * rest / 3600)
     )
-    pieces = F.when(length <= 3600, F.array(row(none, F.col("value")))).otherwise(F.concat(full, tail))
     keep = [c for c in events.columns if c not in ("time", "value")]
     return (
         events.withColumn("value", F.col("value").cast("double"))
         .withColumn("_length", seconds_between("time_start", "time_end"))
         .filter("_length >= 0")
-        .withColumn("_piece", F.explode(pieces))
-        .select(*keep, "_piece.time", "_piece.value")
+        .withColumn("_piece", F.explode(F.sequence(F.lit(1).cast("bigint"), pieces)))
+        .select(*keep, shift_seconds(F.col("time_end"), -back).alias("time"), amount.alias("value"))
     )
 
 

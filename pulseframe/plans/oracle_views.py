@@ -123,7 +123,7 @@ VIEWS = {
       SELECT event_id, ts, user_id, event_type, value, k, w, t, user_id * 1000 + w AS stay FROM (
         SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k,
           (epoch_us(ts) - {EPOCH}000000) // {WEEK}000000 AS w,
-          list_position({literal(list(TYPES))}, event_type) AS t FROM events)""",
+          CAST(list_position({literal(list(TYPES))}, event_type) AS BIGINT) AS t FROM events)""",
     "v_point_events": f"""
       SELECT event_id, stay AS stay_id, user_id AS admission_id, event_type AS variable, ts AS time, value,
         {UNIT} AS unit, 's' || (k % 2) AS source FROM v_ev""",

@@ -204,7 +204,7 @@ def trim_to_percentiles(t: Tables) -> DataFrame:
 LINE_VARIABLES = ("AF", "AO", "NF", "NO", "RF", "RO")
 
 
-@query("SELECT stay_id, minute // 1440 AS day, "
+@query("SELECT stay_id, CAST(minute // 1440 AS BIGINT) AS day, "
        + ", ".join(f"round(avg(value) FILTER (variable = '{v}'), 6) AS {v}" for v in LINE_VARIABLES) + " FROM v_lines GROUP BY 1, 2")
 def daily_pivot(t: Tables) -> DataFrame:
     return stats.daily_pivot(t.lines, list(LINE_VARIABLES)).select("stay_id", "day", *[r(v) for v in LINE_VARIABLES])

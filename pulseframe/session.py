@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # A hot stay or variable is split even when the split costs one more shuffle
     # (a join followed by a grouping on the same key).
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Row limits per group (event caps, window draws) are applied before the shuffle up to this size.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.parquet.datetimeRebaseModeInRead": "CORRECTED",
     "spark.sql.parquet.datetimeRebaseModeInWrite": "CORRECTED",
 }
@@ -29,6 +31,7 @@ def get_spark(app: str = "pulseframe", master: str | None = None, **conf) -> Spa
     settings = {
         **RUNTIME_CONF,
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+        "spark.checkpoint.compress": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
