@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.functions.keyed import uniform
 from pulseframe.operators import batches, scalers, windows
-from pulseframe.operators.stats import transform_comparison as compare_transforms
+from pulseframe.operators.stats import ecdf_curve as curve, transform_comparison as compare_transforms
 from pulseframe.plans.oracle_views import VIEWS, ecdf_sql, interpolate_sql, u, zscore_sql
 from pulseframe.plans.registry import query, r
 from pulseframe.plans.views import Tables
@@ -297,6 +297,11 @@ def class_prevalence(t: Tables) -> DataFrame:
     return batches.class_prevalence(t.order_cohort, "died").select(r("pos_class_frac", 9), r("pos_class_weight", 9))
 
 
+@query("SELECT variable, value, round(quantile, 9) AS quantile FROM v_knots WHERE variable IN ('click', 'purchase')")
+def ecdf_curve(t: Tables) -> DataFrame:
+    return curve(t.processed, ["click", "purchase"]).select("variable", "value", r("quantile", 9))
+
+
 def _even_histogram(source: str, space: str) -> str:
     return f"""
       SELECT variable, bin, round(left_edge, 6) AS left_edge, round(right_edge, 6) AS right_edge, n AS count, '{space}' AS space FROM (

@@ -150,3 +150,27 @@ def test_journey_numbers(spark):
     got = {r.statistic: r.value for r in stats.journey_statistics(events, stays).collect()}
     assert len(got) == 17 and got["MeanNumOfEventsPerStay"] == 1.5 and got["MinDurationMin"] == 60.0
     assert got["NumPatientsWithICUStay"] == 1 and got["MaxNumOfEventsPerPatient"] == 3 and got["StdNumOfEventsPerPatient"] is None
+
+
+def test_sketches_come_near_the_exact_percentiles(tables):
+    for exact, sketch in ((stats.variable_statistics(tables.lines), stats.variable_statistics(tables.lines, exact=False)),
+                          (stats.percentile_bounds(tables.lines), stats.percentile_bounds(tables.lines, exact=False))):
+        a, b = (df.toPandas().set_index("variable").sort_index() for df in (exact, sketch))
+        assert list(a) == list(b)
+        percentiles = [c for c in a if c.startswith("p")]  # prices; a sketch names a neighbouring value
+        assert np.allclose(a[percentiles], b[percentiles], rtol=0.02, atol=100)
+        assert np.allclose(a.drop(columns=percentiles), b.drop(columns=percentiles))
+
+
+def test_losses_are_shown_times_a_thousand(spark):
+    runs = spark.createDataFrame([("a", 0.0012), ("a", 0.0034)], "name string, loss double")
+    row = experiments.mean_sem(runs, ["name"], ["loss"], factors={"loss": 1000}).first()
+    assert row["mean"] == 2.3 and row["sem"] == pytest.approx(1.1)
+
+
+def test_combine_drops_empty_columns(spark):
+    own = spark.createDataFrame([("Ours", 0.5, 1.0, None)], "name string, data_fraction double, training_time double, loss double")
+    other = spark.createDataFrame([("b", 0.5, 120.0), ("c", 0.2, 60.0)], "name string, data_fraction double, training_time double")
+    got = experiments.combine_results(own, other, {"b": "Base"}, [0.5])
+    assert got.columns == ["name", "data_fraction", "training_time"]
+    assert sorted(tuple(r) for r in got.collect()) == [("Base", 0.5, 2.0), ("Ours", 0.5, 1.0)]
