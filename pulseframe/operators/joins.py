@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulseframe.session import settle, stored_rows
+from pulseframe.session import settle, stored_size
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 2**20
 
 
 def attach(
@@ -16,15 +17,16 @@ def attach(
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join ``left`` to a computed dimension, broadcasting it only when its counted size is within bounds.
+    """Join ``left`` to a computed dimension, broadcasting it only when its measured size is within bounds.
 
     Catalyst cannot know the size of a query result before it has shuffled the large side too. So
-    the dimension is stored first, then counted. A larger dimension is joined by a shuffle, in
+    the dimension is stored first, then measured. A larger dimension is joined by a shuffle, in
     which adaptive execution splits the hot keys of ``left``. Tables whose size Catalyst does know
     (rules, files) need no help: a plain join broadcasts them below its own limit.
     """
     dim = settle(dim)
-    if stored_rows(dim) <= max_rows:
+    rows, size = stored_size(dim)
+    if rows <= max_rows and size <= BROADCAST_BYTES:
         dim = F.broadcast(dim)
     return left.join(dim, on, how)
 

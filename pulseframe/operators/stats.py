@@ -265,7 +265,7 @@ def even_edges(events: DataFrame, edges: int = 16) -> DataFrame:
 
 def histogram(events: DataFrame, bins: DataFrame | None = None, max_bins: int = MAX_BINS) -> DataFrame:
     """Counts per variable and bin, empty bins included; the last bin holds the maximum."""
-    edges = bin_edges(events, max_bins) if bins is None else bins
+    edges = settle(bin_edges(events, max_bins) if bins is None else bins)
     step = (F.col("high") - F.col("low")) / F.col("bins")
     place = F.when(step > 0, F.floor((F.col("value") - F.col("low")) / F.when(step > 0, step))).otherwise(F.lit(0))
     counts = (

@@ -8,6 +8,7 @@ from pulseframe.functions.keyed import uniform
 from pulseframe.operators.joins import attach, interval_join
 from pulseframe.operators.ordered import numbered
 from pulseframe.operators.scalers import scaled_time
+from pulseframe.session import settle
 
 WINDOW = ("stay_id", "t1")
 CELL = 1440
@@ -78,7 +79,7 @@ def forecast_targets(events: DataFrame, windows: DataFrame, vocabulary: DataFram
 
     ``forecast_mask`` tells which variables have data; the others hold 0.
     """
-    ends = windows.select(*WINDOW).distinct()
+    vocabulary, ends = settle(vocabulary), windows.select(*WINDOW).distinct()
     ahead = interval_join(
         with_variable_ids(events, vocabulary), ends, ["stay_id"], F.col("minute"),
         F.col("t1") + 1, F.col("t1") + prediction_window, CELL,

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Settings that can be changed on a running session.
 RUNTIME_CONF = {
@@ -84,8 +84,16 @@ def settle(df: DataFrame) -> DataFrame:
     return stored
 
 
-def stored_rows(df: DataFrame) -> int:
-    """Rows of a settled DataFrame, counted once."""
-    if getattr(df, "_rows", None) is None:
-        df._rows = df.count()
-    return df._rows
+def stored_size(df: DataFrame) -> tuple[int, int]:
+    """Rows of a settled DataFrame and about how many bytes they hold, measured once."""
+    if getattr(df, "_size", None) is None:
+        texts = []
+        for name, kind in df.dtypes:
+            if kind == "string":
+                texts.append(F.octet_length(name))
+            elif kind.startswith(("array", "map", "struct")):
+                texts.append(F.octet_length(F.to_json(F.struct(name))))
+        measures = [F.count(F.lit(1)), *[F.coalesce(F.sum(t), F.lit(0)) for t in texts]]
+        rows, *lengths = df.agg(*measures).first()
+        df._size = rows, rows * 8 * len(df.columns) + sum(lengths)
+    return df._size

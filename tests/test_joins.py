@@ -31,3 +31,12 @@ def test_interval_join(spark, cell):
     pairs = points.merge(spans, on="k")
     pairs = pairs[(pairs["lo"] <= pairs["p"]) & (pairs["p"] <= pairs["hi"])]
     assert sorted((r.i, r.j) for r in got.collect()) == sorted(zip(pairs["i"], pairs["j"]))
+
+
+def test_wide_rows_are_not_broadcast(spark, hot, monkeypatch):
+    from pulseframe.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 10_000)
+    dim = spark.range(30).select(F.col("id").alias("key"), F.repeat(F.lit("x"), 1_000).alias("text"))
+    plan = attach(hot, dim, "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
