@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseframe.llm import mixture, url_cascade
+from pulseframe.llm import archive, decontaminate, mixture, url_cascade
 from pulseframe.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,58 @@ rates AS (
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM rates
 """
+
+
+@query
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = archive.write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    read = archive.parse_records(archive.read_records(spark, written))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op1_warc_archive"] = f"""
+WITH bodies AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+),
+named AS (
+    SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY sha256(payload)) AS response_id
+    FROM bodies
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('{archive.BASE32}',
+           (((('0x' || substr(hex, 5 * (i // 4)::BIGINT + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response_id THEN response_id END AS refers_to
+FROM named
+"""
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judged(decontaminate.overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{url_cascade.UPPER}', '{url_cascade.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL["op7_decontaminate"] = f"""
+WITH doc AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+item AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, least(13, len(words)) AS size, array_to_string(words[s:s + least(13, len(words)) - 1], ' ') AS said
+    FROM (SELECT *, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS s FROM item WHERE len(words) > 0)
+),
+runs AS (
+    SELECT doc_id, s, size, array_to_string(words[s:s + size - 1], ' ') AS said
+    FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS s FROM doc, (SELECT DISTINCT size FROM windows))
+),
+hits AS (SELECT doc_id, s, runs.size, item_id FROM runs JOIN windows USING (size, said)),
+covered AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS w FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
