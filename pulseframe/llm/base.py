@@ -91,7 +91,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         ways = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        low = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = ways.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.filter("low < a").select("a", F.col("low").alias("b"))).distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low2, "a").filter("b > low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low2.select("a", F.col("low").alias("b")))
