@@ -31,8 +31,9 @@ WINDOW = 12
 #: Labelled rows of the sample, and bytes of their distinct words, that dictionaries are trained on.
 FIT_ROWS = 16000
 FIT_BYTES = 32 << 20
-#: Contexts in which a word of toxic documents recurs, and how many such words are kept at most.
-CONTEXTS = 4
+#: Different contexts in which a word of toxic documents recurs, at least and as a share of the toxic
+#: documents of the sample, and how many such words are kept at most.
+CONTEXTS, CONTEXT_SHARE = 4, 0.01
 TOXIC_WORDS = 4096
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
 STEPS = 8
@@ -109,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     """Train and calibrate on the bounded sample. Without labels of both kinds all documents score alike."""
     sampled = settle(sample(docs.select("doc_id", "text"), labels, label, rows).select("doc_id", "_label", "text"))
     said = word_sets(sampled).groupBy("word").agg(F.count_if(F.col("label") == 0).alias("ordinary"), F.countDistinct(F.when(F.col("label") == 1, F.col("context"))).alias("contexts"))
-    recurring = said.filter((F.col("ordinary") == 0) & (F.col("contexts") >= CONTEXTS)).orderBy(F.desc("contexts"), "word").limit(TOXIC_WORDS)
+    least = max(CONTEXTS, int(CONTEXT_SHARE * sampled.filter("_label = 1").count()))
+    recurring = said.filter((F.col("ordinary") == 0) & (F.col("contexts") >= least)).orderBy(F.desc("contexts"), "word").limit(TOXIC_WORDS)
     toxic_words = {bytes(r[0]) for r in recurring.select("word").collect()}
 
     def sets(batch: pa.RecordBatch):
