@@ -19,14 +19,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Characters (code points) of a paragraph at most.
-LONGEST = 96
+LONGEST = 120
 #: Cells of one table: of the fingerprint and of the first try, and of the larger tries.
 WIDTH = 4
 LARGER = (16, 64)
 #: Digests of both texts that a part has on average.
 PART = 5
 ROUNDS = 16
-ROWS_PER_RANGE = 4096
+ROWS_PER_RANGE = 1024
 
 
 def digests(text: Column) -> Column:
