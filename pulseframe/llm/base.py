@@ -8,14 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pulseframe.session import scratch_path, settle
+from pulseframe.session import scratch_path, settle, tune
 
 #: Bytes of text that one numpy pass handles at a time; longer single texts are one pass of their own.
 PIECE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

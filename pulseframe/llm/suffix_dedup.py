@@ -12,8 +12,11 @@ anchor repeats if another member agrees with it on at least ``o`` bytes to the l
 to the right: runs of the two orders whose common prefixes are that long. Only bytes decide here,
 hashes only bring candidates together.
 
-An anchor hash with more than ``CROWDED`` members is not sorted in one task: all strings of its
-members are told apart by 128-bit digests, counted with partial sums before the shuffle.
+An anchor hash with more than ``CROWDED`` members is not sorted in one task. The offsets of its
+members are cut into stretches of ``STRETCH``; all strings of a stretch share a core, and strings with
+different cores differ. Members are classed by core and by all bytes of the stretch (128-bit digests,
+counted with partial sums before the shuffle): a class of two repeats as a whole, and only one member
+of each class whose core other classes have too lists its single strings.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from pulseframe.session import settle
 SIZE = 400
 GRAM = 32
 SHALLOW = 64
-CROWDED = 20_000
+CROWDED = 1000
+STRETCH = 16
 #: Members sorted together; a block holds whole hash groups, so up to CROWDED more.
 BLOCK = 20_000
 PLACES = np.uint64((1 << 24) - 1)
@@ -230,9 +234,10 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) ->
 
     listed = arrow_pass(docs, list_anchors, "hash bigint, place bigint, id bigint, mark bigint", "text")
     counts = listed.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    again = listed.join(counts, "hash").groupBy("id", "mark").agg(F.collect_set("place").alias("places"), F.max("members").alias("members"))
+    few = F.col("members") <= crowded
+    again = listed.join(counts, "hash").groupBy("id", "mark").agg(F.collect_set(F.when(few, F.col("place"))).alias("places"), F.collect_set(F.when(~few, F.col("place"))).alias("crowds"))
     again = settle(again)
-    members = attach(docs, again, ["id", "mark"])
+    members = attach(docs, again.filter(F.size("places") > 0).drop("crowds"), ["id", "mark"])
 
     def list_members(batch: pa.RecordBatch):
         rows = []
@@ -281,32 +286,61 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) ->
         columns = [block.column("id").take(take), block.column("mark").take(take), pa.array(place[row] - high + 1), pa.array(place[row] - low + size)]
         yield from pa.Table.from_arrays(columns, names=["id", "mark", "start", "end"]).combine_chunks().to_batches()
 
-    full = settle(again.filter(F.col("members") > crowded).select("id").limit(1))
-    if not full.head(1):
-        found = around.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_blocks, spans)
-    else:
-        hot = settle(counts.filter(F.col("members") > crowded).select("hash"))
-        roomy = attach(around, hot, "hash", how="left_anti")
-        found = roomy.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_blocks, spans)
-        found = found.union(by_digest(attach(around, hot, "hash", how="left_semi"), size))
+    found = around.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_blocks, spans)
+    crowds = settle(again.filter(F.size("crowds") > 0).select("id", "mark", "crowds"))
+    if crowds.head(1):
+        found = found.union(crowded_spans(docs, crowds, size))
     return found.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
-def by_digest(members: DataFrame, size: int) -> DataFrame:
-    """Spans of single repeated strings: every string of every member, told apart by a 128-bit digest."""
+def halves(value: bytes) -> tuple[int, int]:
+    """A 128-bit digest as two longs."""
+    d = xxhash.xxh3_128_digest(value)
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
-    def list_strings(batch: pa.RecordBatch):
+
+def crowded_spans(docs: DataFrame, crowds: DataFrame, size: int) -> DataFrame:
+    """(id, mark, start, end) for the anchors listed in ``crowds`` (id, mark, crowds)."""
+    whole, core = ["whole1", "whole2"], ["core1", "core2"]
+
+    def list_stretches(batch: pa.RecordBatch):
         rows = []
-        for i, m, p, near, far, left, right in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "place", "near", "far", "left", "right"))):
-            text, begin = left + right, p - len(left)
-            for start in range(p - far, p - near + 1):
-                d = xxhash.xxh3_128_digest(text[start - begin : start - begin + size])
-                rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), i, m, start))
-        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], ["high", "low", "id", "mark", "start"]) if rows else None
-
-    strings = store(arrow_pass(members, list_strings, "high bigint, low bigint, id bigint, mark bigint, start bigint", "right"), "strings")
-    twice = strings.groupBy("high", "low").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    return strings.join(twice, ["high", "low"]).select("id", "mark", "start", (F.col("start") + size).alias("end"))
+        columns = (batch.column(c).to_pylist() for c in ("id", "mark", "crowds"))
+        for text, i, m, places in zip(bytes_of(batch.column("text")), *columns):
+            _, place, first, last = anchors(text, size)
+            for k in np.flatnonzero(np.isin(place, np.array(places))).tolist():
+                p, near, far = int(place[k]), int(place[k] - last[k]), int(place[k] - first[k])
+                for low in range(near - near % STRETCH, far + 1, STRETCH):
+                    begin, end = p - min(far, low + STRETCH - 1), p - max(near, low)
+                    shared = halves(text[p - low : p + size - low - STRETCH + 1])
+                    every = halves(text[begin : end + size] + b"%d %d" % (p - begin, p - end))
+                    rows.append((*shared, *every, i, m, begin, end - begin + 1))
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], [*core, *whole, "id", "mark", "start", "count"]) if rows else None
+
+    schema = ", ".join(f"{c} bigint" for c in (*core, *whole, "id", "mark", "start", "count"))
+    rows = store(arrow_pass(attach(docs, crowds, ["id", "mark"]).select("id", "mark", "crowds", "text"), list_stretches, schema, "text"), "stretches")
+    classes = store(rows.groupBy(*core, *whole).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "mark", "start", "count")).alias("one")), "classes")
+    contested = classes.groupBy(*core).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    speakers = classes.join(contested, core).select(*whole, "one.*")
+    asked = speakers.groupBy("id", "mark").agg(F.collect_list(F.struct(*whole, "start", "count")).alias("asked"))
+
+    def list_strings(batch: pa.RecordBatch):
+        out = []
+        for text, asked in zip(bytes_of(batch.column("text")), batch.column("asked").to_pylist()):
+            for a in asked:
+                out += [(*halves(text[a["start"] + k : a["start"] + k + size]), a["whole1"], a["whole2"], k) for k in range(a["count"])]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["high", "low", *whole, "shift"]) if out else None
+
+    schema = ", ".join(f"{c} bigint" for c in ("high", "low", *whole, "shift"))
+    strings = store(arrow_pass(attach(docs, asked, ["id", "mark"]).select("asked", "text"), list_strings, schema, "text"), "strings")
+    twice = strings.groupBy("high", "low").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
+    single = strings.join(twice, ["high", "low"]).groupBy(*whole).agg(F.collect_set("shift").alias("shifts"))
+    hits = classes.select(*whole, "times").join(single, whole, "left").filter("times > 1 OR shifts IS NOT NULL")
+    known = rows.drop(*core).join(hits, whole)
+    as_whole = known.filter("times > 1").select("id", "mark", "start", (F.col("start") + F.col("count") - 1 + size).alias("end"))
+    one_by_one = known.filter("times = 1").select("id", "mark", "start", F.explode("shifts").alias("shift"))
+    begin = F.col("start") + F.col("shift")
+    return as_whole.union(one_by_one.select("id", "mark", begin.alias("start"), (begin + size).alias("end")))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
