@@ -37,7 +37,7 @@ SIZE = 400
 GRAM = 32
 SHALLOW = 64
 CROWDED = 1000
-STRETCH = 16
+STRETCH = 64
 #: Members sorted together; a block holds whole hash groups, so up to CROWDED more.
 BLOCK = 20_000
 PLACES = np.uint64((1 << 24) - 1)
@@ -233,28 +233,28 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) ->
         return pa.record_batch([pa.array(np.concatenate(x)) for x in (hashes, places, ids, marks)], ["hash", "place", "id", "mark"])
 
     listed = arrow_pass(docs, list_anchors, "hash bigint, place bigint, id bigint, mark bigint", "text")
-    counts = listed.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    # Stored, so that both sides of the join are plain exchanges and a hot hash is split.
+    counts = settle(listed.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
     few = F.col("members") <= crowded
     again = listed.join(counts, "hash").groupBy("id", "mark").agg(F.collect_set(F.when(few, F.col("place"))).alias("places"), F.collect_set(F.when(~few, F.col("place"))).alias("crowds"))
-    again = settle(again)
-    members = attach(docs, again.filter(F.size("places") > 0).drop("crowds"), ["id", "mark"])
 
     def list_members(batch: pa.RecordBatch):
         rows = []
-        columns = (batch.column(c) for c in ("id", "mark", "places"))
-        for text, i, m, places in zip(bytes_of(batch.column("text")), *(c.to_pylist() for c in columns)):
-            wanted = np.array(places)
+        columns = (batch.column(c).to_pylist() for c in ("id", "mark", "places", "crowds"))
+        for text, i, m, places, crowds in zip(bytes_of(batch.column("text")), *columns):
             h, place, first, last = anchors(text, size)
-            for k in np.flatnonzero(np.isin(place, wanted)).tolist():
+            few, many = np.isin(place, np.array(places, np.int64)), np.isin(place, np.array(crowds, np.int64))
+            for k in np.flatnonzero(few | many).tolist():
                 p, a, b = int(place[k]), int(first[k]), int(last[k])
-                rows.append((int(h[k].view(np.int64)), i, m, p, p - b, p - a, text[a:p], text[p : b + size]))
-        if not rows:
-            return None
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["hash", "id", "mark", "place", "near", "far", "left", "right"])
-
-    schema = "hash bigint, id bigint, mark bigint, place bigint, near int, far int, left binary, right binary"
-    around = arrow_pass(members.select("id", "mark", "places", "text"), list_members, schema, "text")
+                if few[k]:
+                    rows.append((i, m, int(h[k].view(np.int64)), p, p - b, p - a, text[a:p], text[p : b + size], *[None] * 6))
+                if many[k]:
+                    rows += [(i, m, *[None] * 6, *s) for s in stretches(text, p, p - b, p - a, size)]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), MEMBER)], schema=MEMBER) if rows else None
+
+    schema = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'bigint'}" for f in MEMBER)
+    # One join with the texts serves both ways, so its rows are stored.
+    around = store(arrow_pass(docs.join(again, ["id", "mark"]).select("id", "mark", "places", "crowds", "text"), list_members, schema, "text"), "members")
     spans = "id bigint, mark bigint, start bigint, end bigint"
 
     def sort_blocks(batches):
@@ -286,10 +286,11 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) ->
         columns = [block.column("id").take(take), block.column("mark").take(take), pa.array(place[row] - high + 1), pa.array(place[row] - low + size)]
         yield from pa.Table.from_arrays(columns, names=["id", "mark", "start", "end"]).combine_chunks().to_batches()
 
-    found = around.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_blocks, spans)
-    crowds = settle(again.filter(F.size("crowds") > 0).select("id", "mark", "crowds"))
-    if crowds.head(1):
-        found = found.union(crowded_spans(docs, crowds, size))
+    few = around.filter("hash IS NOT NULL").select("hash", "id", "mark", "place", "near", "far", "left", "right")
+    found = few.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_blocks, spans)
+    rows = around.filter("count IS NOT NULL").select(*CORE, *WHOLE, "id", "mark", "start", "count")
+    if rows.head(1):
+        found = found.union(crowded_spans(docs, rows, size))
     return found.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
@@ -299,26 +300,27 @@ def halves(value: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def crowded_spans(docs: DataFrame, crowds: DataFrame, size: int) -> DataFrame:
-    """(id, mark, start, end) for the anchors listed in ``crowds`` (id, mark, crowds)."""
-    whole, core = ["whole1", "whole2"], ["core1", "core2"]
+CORE, WHOLE = ["core1", "core2"], ["whole1", "whole2"]
+#: What is listed for an anchor: one row for it, or one for each of its stretches.
+MEMBER = pa.schema([
+    *((c, pa.int64()) for c in ("id", "mark", "hash", "place", "near", "far")), ("left", pa.binary()), ("right", pa.binary()),
+    *((c, pa.int64()) for c in (*CORE, *WHOLE, "start", "count")),
+])
 
-    def list_stretches(batch: pa.RecordBatch):
-        rows = []
-        columns = (batch.column(c).to_pylist() for c in ("id", "mark", "crowds"))
-        for text, i, m, places in zip(bytes_of(batch.column("text")), *columns):
-            _, place, first, last = anchors(text, size)
-            for k in np.flatnonzero(np.isin(place, np.array(places))).tolist():
-                p, near, far = int(place[k]), int(place[k] - last[k]), int(place[k] - first[k])
-                for low in range(near - near % STRETCH, far + 1, STRETCH):
-                    begin, end = p - min(far, low + STRETCH - 1), p - max(near, low)
-                    shared = halves(text[p - low : p + size - low - STRETCH + 1])
-                    every = halves(text[begin : end + size] + b"%d %d" % (p - begin, p - end))
-                    rows.append((*shared, *every, i, m, begin, end - begin + 1))
-        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], [*core, *whole, "id", "mark", "start", "count"]) if rows else None
-
-    schema = ", ".join(f"{c} bigint" for c in (*core, *whole, "id", "mark", "start", "count"))
-    rows = store(arrow_pass(attach(docs, crowds, ["id", "mark"]).select("id", "mark", "crowds", "text"), list_stretches, schema, "text"), "stretches")
+
+def stretches(text: bytes, place: int, near: int, far: int, size: int) -> list[tuple[int, ...]]:
+    """(core, whole, start, count) of each stretch of the offsets ``near`` to ``far`` of an anchor."""
+    found = []
+    for low in range(near - near % STRETCH, far + 1, STRETCH):
+        begin, end = place - min(far, low + STRETCH - 1), place - max(near, low)
+        core = halves(text[place - low : place + size - low - STRETCH + 1])
+        found.append((*core, *halves(text[begin : end + size] + b"%d %d" % (place - begin, place - end)), begin, end - begin + 1))
+    return found
+
+
+def crowded_spans(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(id, mark, start, end) of the repeated strings in the stretches ``rows`` of crowded anchors."""
+    core, whole = CORE, WHOLE
     classes = store(rows.groupBy(*core, *whole).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "mark", "start", "count")).alias("one")), "classes")
     contested = classes.groupBy(*core).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     speakers = classes.join(contested, core).select(*whole, "one.*")
@@ -369,7 +371,7 @@ def with_spans(docs: DataFrame, size: int, crowded: int) -> DataFrame:
     """``docs`` with ``_spans`` (null where nothing repeats); all rows stay."""
     rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_mark": F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))})
     spans = repeated_spans(keyed(docs), size, crowded).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    return attach(rows, spans, ["_id", "_mark"], how="left").drop("_id", "_mark")
+    return rows.join(spans, ["_id", "_mark"], "left").drop("_id", "_mark")
 
 
 def repeats(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) -> DataFrame:
