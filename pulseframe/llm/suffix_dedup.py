@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) ->
             for k in np.flatnonzero(few | many).tolist():
                 p, a, b = int(place[k]), int(first[k]), int(last[k])
                 if few[k]:
-                    rows.append((i, m, int(h[k].view(np.int64)), p, p - b, p - a, text[a:p], text[p : b + size], *[None] * 6))
+                    rows.append((i, m, int(h[k].view(np.int64)), p, p - b, p - a, text[a:p], text[p : b + size], *[None] * 7))
                 if many[k]:
                     rows += [(i, m, *[None] * 6, *s) for s in stretches(text, p, p - b, p - a, size)]
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), MEMBER)], schema=MEMBER) if rows else None
@@ -255,7 +255,40 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) ->
     schema = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'bigint'}" for f in MEMBER)
     # One join with the texts serves both ways, so its rows are stored.
     around = store(arrow_pass(docs.join(again, ["id", "mark"]).select("id", "mark", "places", "crowds", "text"), list_members, schema, "text"), "members")
-    spans = "id bigint, mark bigint, start bigint, end bigint"
+    few = around.filter("hash IS NOT NULL").select("hash", "id", "mark", "place", "near", "far", "left", "right")
+    found = sorted_spans(few, size)
+    rows = around.filter("count IS NOT NULL").select(*CORE, *WHOLE, "id", "mark", "start", "count", "shared")
+    if rows.head(1):
+        found = found.union(crowded_spans(docs, rows, size, crowded))
+    return found.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+
+
+def halves(value: bytes) -> tuple[int, int]:
+    """A 128-bit digest as two longs."""
+    d = xxhash.xxh3_128_digest(value)
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+CORE, WHOLE = ["core1", "core2"], ["whole1", "whole2"]
+#: What is listed for an anchor: one row for it, or one for each of its stretches.
+MEMBER = pa.schema([
+    *((c, pa.int64()) for c in ("id", "mark", "hash", "place", "near", "far")), ("left", pa.binary()), ("right", pa.binary()),
+    *((c, pa.int64()) for c in (*CORE, *WHOLE, "start", "count", "shared")),
+])
+
+
+def stretches(text: bytes, place: int, near: int, far: int, size: int) -> list[tuple[int, ...]]:
+    """(core, whole, start, count, start of the core) of each stretch of the offsets ``near`` to ``far`` of an anchor."""
+    found = []
+    for low in range(near - near % STRETCH, far + 1, STRETCH):
+        begin, end = place - min(far, low + STRETCH - 1), place - max(near, low)
+        core = halves(text[place - low : place + size - low - STRETCH + 1])
+        found.append((*core, *halves(text[begin : end + size] + b"%d %d" % (place - begin, place - end)), begin, end - begin + 1, place - low))
+    return found
+
+
+def sorted_spans(members: DataFrame, size: int) -> DataFrame:
+    """(id, mark, start, end) from members (hash, id, mark, place, near, far, left, right) by suffix order, whole hash groups at a time."""
 
     def sort_blocks(batches):
         held, count = [], 0
@@ -263,13 +296,13 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) ->
             held.append(batch)
             count += batch.num_rows
             if count >= BLOCK:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                hashes = whole.column("hash").to_numpy()
+                block = pa.Table.from_batches(held).combine_chunks()
+                hashes = block.column("hash").to_numpy()
                 cut = int(np.searchsorted(hashes, hashes[-1]))  # the last group may go on
                 if cut:
-                    yield from emit(whole.slice(0, cut))
-                    whole = whole.slice(cut)
-                held, count = whole.combine_chunks().to_batches(), whole.num_rows
+                    yield from emit(block.slice(0, cut))
+                    block = block.slice(cut)
+                held, count = block.combine_chunks().to_batches(), block.num_rows
         if held:
             yield from emit(pa.Table.from_batches(held).combine_chunks())
 
@@ -286,63 +319,51 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) ->
         columns = [block.column("id").take(take), block.column("mark").take(take), pa.array(place[row] - high + 1), pa.array(place[row] - low + size)]
         yield from pa.Table.from_arrays(columns, names=["id", "mark", "start", "end"]).combine_chunks().to_batches()
 
-    few = around.filter("hash IS NOT NULL").select("hash", "id", "mark", "place", "near", "far", "left", "right")
-    found = few.repartition("hash").sortWithinPartitions("hash").mapInArrow(sort_blocks, spans)
-    rows = around.filter("count IS NOT NULL").select(*CORE, *WHOLE, "id", "mark", "start", "count")
-    if rows.head(1):
-        found = found.union(crowded_spans(docs, rows, size))
-    return found.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-
-
-def halves(value: bytes) -> tuple[int, int]:
-    """A 128-bit digest as two longs."""
-    d = xxhash.xxh3_128_digest(value)
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
-
-
-CORE, WHOLE = ["core1", "core2"], ["whole1", "whole2"]
-#: What is listed for an anchor: one row for it, or one for each of its stretches.
-MEMBER = pa.schema([
-    *((c, pa.int64()) for c in ("id", "mark", "hash", "place", "near", "far")), ("left", pa.binary()), ("right", pa.binary()),
-    *((c, pa.int64()) for c in (*CORE, *WHOLE, "start", "count")),
-])
+    placed = members.repartition("hash").sortWithinPartitions("hash")
+    return placed.mapInArrow(sort_blocks, "id bigint, mark bigint, start bigint, end bigint")
 
 
-def stretches(text: bytes, place: int, near: int, far: int, size: int) -> list[tuple[int, ...]]:
-    """(core, whole, start, count) of each stretch of the offsets ``near`` to ``far`` of an anchor."""
-    found = []
-    for low in range(near - near % STRETCH, far + 1, STRETCH):
-        begin, end = place - min(far, low + STRETCH - 1), place - max(near, low)
-        core = halves(text[place - low : place + size - low - STRETCH + 1])
-        found.append((*core, *halves(text[begin : end + size] + b"%d %d" % (place - begin, place - end)), begin, end - begin + 1))
-    return found
+def crowded_spans(docs: DataFrame, rows: DataFrame, size: int, crowded: int) -> DataFrame:
+    """(id, mark, start, end) of the repeated strings in the stretches ``rows`` of crowded anchors.
 
+    Classes of two or more repeat as a whole. One member of every class whose core other classes have
+    too is compared with theirs: by suffix order, or where a core has more than ``crowded`` classes by
+    the digests of its single strings. A class of one has no other member to pass the result on to.
+    """
+    classes = store(rows.groupBy(*CORE, *WHOLE).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "mark", "start", "count", "shared")).alias("one")), "classes")
+    contested = settle(classes.groupBy(*CORE).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+    speakers = classes.join(contested, CORE).select("core1", "kinds", "one.*")
+    asked = settle(speakers.groupBy("id", "mark").agg(F.collect_list(F.struct("core1", "kinds", "start", "count", "shared")).alias("asked")))
+    kinds = {"hash": pa.int64(), "id": pa.int64(), "mark": pa.int64(), "place": pa.int64(), "near": pa.int64(), "far": pa.int64(), "left": pa.binary(), "right": pa.binary()}
 
-def crowded_spans(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(id, mark, start, end) of the repeated strings in the stretches ``rows`` of crowded anchors."""
-    core, whole = CORE, WHOLE
-    classes = store(rows.groupBy(*core, *whole).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "mark", "start", "count")).alias("one")), "classes")
-    contested = classes.groupBy(*core).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    speakers = classes.join(contested, core).select(*whole, "one.*")
-    asked = speakers.groupBy("id", "mark").agg(F.collect_list(F.struct(*whole, "start", "count")).alias("asked"))
+    def list_members(batch: pa.RecordBatch):
+        out = []
+        for text, i, m, wanted in zip(bytes_of(batch.column("text")), *(batch.column(c).to_pylist() for c in ("id", "mark", "asked"))):
+            for a in wanted:
+                begin, last, p = a["start"], a["start"] + a["count"] - 1, a["shared"]
+                if a["kinds"] <= crowded:
+                    out.append((a["core1"], i, m, p, p - last, p - begin, text[begin:p], text[p : last + size]))
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds.values())], list(kinds)) if out else None
 
     def list_strings(batch: pa.RecordBatch):
         out = []
-        for text, asked in zip(bytes_of(batch.column("text")), batch.column("asked").to_pylist()):
-            for a in asked:
-                out += [(*halves(text[a["start"] + k : a["start"] + k + size]), a["whole1"], a["whole2"], k) for k in range(a["count"])]
-        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["high", "low", *whole, "shift"]) if out else None
-
-    schema = ", ".join(f"{c} bigint" for c in ("high", "low", *whole, "shift"))
-    strings = store(arrow_pass(attach(docs, asked, ["id", "mark"]).select("asked", "text"), list_strings, schema, "text"), "strings")
+        for text, i, m, wanted in zip(bytes_of(batch.column("text")), *(batch.column(c).to_pylist() for c in ("id", "mark", "asked"))):
+            for a in wanted:
+                if a["kinds"] > crowded:
+                    out += [(*halves(text[at : at + size]), i, m, at) for at in range(a["start"], a["start"] + a["count"])]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["high", "low", "id", "mark", "start"]) if out else None
+
+    known = rows.join(classes.filter("times > 1").select(*WHOLE), WHOLE)
+    found = known.select("id", "mark", "start", (F.col("start") + F.col("count") - 1 + size).alias("end"))
+    speaking = attach(docs, asked, ["id", "mark"]).select("id", "mark", "asked", "text")
+    schema = ", ".join(f"{c} {'binary' if k == pa.binary() else 'bigint'}" for c, k in kinds.items())
+    found = found.union(sorted_spans(arrow_pass(speaking, list_members, schema, "text"), size))
+    if not contested.filter(F.col("kinds") > crowded).head(1):
+        return found
+    strings = store(arrow_pass(speaking, list_strings, "high bigint, low bigint, id bigint, mark bigint, start bigint", "text"), "strings")
     twice = strings.groupBy("high", "low").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
-    single = strings.join(twice, ["high", "low"]).groupBy(*whole).agg(F.collect_set("shift").alias("shifts"))
-    hits = classes.select(*whole, "times").join(single, whole, "left").filter("times > 1 OR shifts IS NOT NULL")
-    known = rows.drop(*core).join(hits, whole)
-    as_whole = known.filter("times > 1").select("id", "mark", "start", (F.col("start") + F.col("count") - 1 + size).alias("end"))
-    one_by_one = known.filter("times = 1").select("id", "mark", "start", F.explode("shifts").alias("shift"))
-    begin = F.col("start") + F.col("shift")
-    return as_whole.union(one_by_one.select("id", "mark", begin.alias("start"), (begin + size).alias("end")))
+    single = strings.join(twice, ["high", "low"])
+    return found.union(single.select("id", "mark", "start", (F.col("start") + size).alias("end")))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
