@@ -129,9 +129,11 @@ def learn(x: np.ndarray, y: np.ndarray, seed: int, rounds: int = 30, batch: int
     """Logistic loss by Adam over shuffled batches."""
     random = np.random.default_rng(seed)
     width = x.shape[1]
+    if not len(y):
+        return Machine(0.0, np.zeros(width, np.float32), np.zeros((width, FACTORS), np.float32))
     part = {"linear": np.zeros(width, np.float32), "factors": random.normal(0, 0.02, (width, FACTORS)).astype(np.float32), "bias": np.zeros(1, np.float32)}
     first, second, step = {k: np.zeros_like(v) for k, v in part.items()}, {k: np.zeros_like(v) for k, v in part.items()}, 0
-    for turn in range(rounds if len(y) else 0):
+    for turn in range(rounds):
         order = random.permutation(len(y))
         for at in range(0, len(order), batch):
             rows, truth = x[order[at : at + batch]], y[order[at : at + batch]]
