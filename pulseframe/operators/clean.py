@@ -124,7 +124,10 @@ def map_code_to_variable(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 def _validity(rules: DataFrame) -> DataFrame:
     columns = ("lo", "hi", "units", "unit_waiver", "action")
-    return rules.groupBy("variable").agg(*[F.first(c).alias(c) for c in columns])
+    torn = F.count_distinct(F.to_json(F.struct(*columns))) > 1
+    agreed = rules.groupBy("variable").agg(torn.alias("torn"), *[F.first(c).alias(c) for c in columns])
+    error = F.raise_error(F.concat(F.lit("rules of one variable differ in their filtering: "), F.col("variable")))
+    return agreed.withColumn("action", F.when(F.col("torn"), error.cast("string")).otherwise(F.col("action"))).drop("torn")
 
 
 def process_outliers(events: DataFrame, rules: DataFrame, accuracy: int = 100_000) -> DataFrame:

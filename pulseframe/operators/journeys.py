@@ -19,7 +19,7 @@ def thin_journey(events: DataFrame, bounds: DataFrame, parts: int = 20) -> DataF
     percentile ``bounds``.
     """
     first_source = F.try_element_at("source", F.lit(1)) if dict(events.dtypes)["source"].startswith("array") else F.col("source")
-    flat = events.withColumn("source", first_source).withColumn("value", F.col("value").try_cast("smallint"))
+    flat = events.withColumn("source", first_source).withColumn("value", F.col("value").try_cast("bigint"))
     last = flat.groupBy("stay_id").agg(F.max("minute").alias("_last"))
     minutes = flat.groupBy(*SERIES).agg(F.array_sort(F.collect_set("minute")).alias("_minutes"))
     beyond = lambda kept, m: (m - F.element_at(kept, -1)) * parts > F.col("_last")

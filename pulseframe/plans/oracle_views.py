@@ -183,13 +183,13 @@ VIEWS = {
     "v_raw_chart": f"""
       SELECT stay AS ICUSTAY_ID, user_id AS SUBJECT_ID, ts AS CHARTTIME, 100 + 10 * t + k % 2 AS ITEMID,
         CASE WHEN k % 10 < 7 THEN value END AS VALUENUM,
-        CASE WHEN k % 20 = 9 THEN 'Normal <3 Seconds' WHEN k % 20 = 19 THEN 'Abnormal >3 secs'
+        CASE WHEN k % 20 = 9 THEN 'calm' WHEN k % 20 = 19 THEN 'restless'
              WHEN k % 10 = 7 THEN CAST(k AS VARCHAR) END AS VALUE,
         {UNIT} AS VALUEUOM, CASE WHEN k % 7 = 0 THEN 1 WHEN k % 7 <> 1 THEN 0 END AS ERROR FROM v_ev""",
     "v_raw_lab": f"""
       SELECT user_id AS HADM_ID, user_id AS SUBJECT_ID, ts AS CHARTTIME, 200 + 10 * t + k % 2 AS ITEMID,
         CASE WHEN k % 10 < 8 THEN value END AS VALUENUM,
-        CASE WHEN k % 20 = 9 THEN 'INTUBATED' WHEN k % 20 = 19 THEN 'NOT INTUBATED' END AS VALUE,
+        CASE WHEN k % 20 = 9 THEN 'device on' WHEN k % 20 = 19 THEN 'device off' END AS VALUE,
         {UNIT} AS VALUEUOM FROM v_ev""",
     "v_raw_output": """
       SELECT stay AS ICUSTAY_ID, user_id AS SUBJECT_ID, ts AS CHARTTIME, 300 + 10 * t AS ITEMID,

@@ -20,8 +20,8 @@ TYPES = ("click", "error", "purchase", "signup", "view")
 EPOCH = 1_704_067_200  # 2024-01-01, a Monday
 WEEK = 604_800
 
-READING_TEXT = {"Normal <3 Seconds": 0.0, "Normal <3 secs": 0.0, "Abnormal >3 Seconds": 1.0, "Abnormal >3 secs": 1.0}
-TUBE_TEXT = {"INTUBATED": 1.0, "NOT INTUBATED": 0.0}
+READING_TEXT = {"calm": 0.0, "steady": 0.0, "restless": 1.0}
+TUBE_TEXT = {"device on": 1.0, "device off": 0.0}
 INPUT_RULE = {"lo": 0.0, "hi": 50.0, "units": ["mg", "ml"], "action": "replace_with_median"}
 SIGNUP_RULE = {"lo": 0.0, "hi": 60.0, "units": ["mcg", "ml"], "action": "replace_with_median"}
 CLICK_RULE = {"lo": 0.0, "hi": 150.0, "action": "remove"}
@@ -219,7 +219,7 @@ class Tables:
     @_once
     def raw_chartevents(self) -> DataFrame:
         k = F.col("k")
-        text = (F.when(k % 20 == 9, "Normal <3 Seconds").when(k % 20 == 19, "Abnormal >3 secs")
+        text = (F.when(k % 20 == 9, "calm").when(k % 20 == 19, "restless")
                 .when(k % 10 == 7, k.cast("string")))
         return self.ev.select(
             *self._keys(), self._code(100, True), F.when(k % 10 < 7, F.col("value")).alias("VALUENUM"),
@@ -233,7 +233,7 @@ class Tables:
         return self.ev.select(
             F.col("user_id").alias("HADM_ID"), F.col("user_id").alias("SUBJECT_ID"), F.col("ts").alias("CHARTTIME"),
             self._code(200, True), F.when(k % 10 < 8, F.col("value")).alias("VALUENUM"),
-            F.when(k % 20 == 9, "INTUBATED").when(k % 20 == 19, "NOT INTUBATED").alias("VALUE"),
+            F.when(k % 20 == 9, "device on").when(k % 20 == 19, "device off").alias("VALUE"),
             self._unit().alias("VALUEUOM"),
         )
 

@@ -19,35 +19,8 @@ DEFAULTS = {
     "units": None, "unit_waiver": False, "action": None, "categorical": False,
 }
 
-# One example of every selector and of every kind of validity test. A site brings its
-# own table (``load_rules``).
-EXAMPLE_RULES = (
-    {"variable": "HR", "codes": [211, 220045], "lo": 0.0, "hi": 390.0, "action": "remove"},
-    {"variable": "Temperature", "codes": [676, 677, 3655, 223762], "lo": 14.2, "hi": 47.0, "action": "remove"},
-    {"variable": "Temperature", "codes": [678, 679, 3654, 223761], "sel_kind": "linear", "a": 5.0 / 9.0,
-     "b": -160.0 / 9.0, "lo": 14.2, "hi": 47.0, "action": "remove"},
-    {"variable": "Weight", "codes": [763, 224639, 226512, 226846], "lo": 0.0, "hi": 300.0, "action": "remove"},
-    {"variable": "Weight", "codes": [226531], "sel_kind": "linear", "a": 0.453592, "b": 0.0, "lo": 0.0, "hi": 300.0,
-     "action": "remove"},
-    {"variable": "Height", "codes": [226730], "lo": 0.0, "hi": 275.0, "action": "remove"},
-    {"variable": "Height", "codes": [1394, 226707], "sel_kind": "linear", "a": 2.54, "b": 0.0, "lo": 0.0, "hi": 275.0,
-     "action": "remove"},
-    {"variable": "FiO2", "codes": [189, 190, 727, 3420, 3422, 223835], "sel_kind": "percent", "lo": 0.2, "hi": 1.0,
-     "action": "remove"},
-    {"variable": "CRR", "codes": [115, 3348, 8377, 223951, 224308], "sel_kind": "text_map", "text_map": {
-        "Normal <3 Seconds": 0.0, "Normal <3 secs": 0.0, "Abnormal >3 Seconds": 1.0, "Abnormal >3 secs": 1.0},
-     "categorical": True},
-    {"variable": "Intubated", "codes": [50812], "sel_kind": "text_map",
-     "text_map": {"INTUBATED": 1.0, "NOT INTUBATED": 0.0}, "categorical": True},
-    {"variable": "Calcium Gluconate", "codes": [30023, 221456], "sel_kind": "unit_scale", "a": 1000.0,
-     "sel_unit": "mg", "lo": 0.0, "hi": 200.0, "units": ["mg", "gm", "grams"], "action": "replace_with_median"},
-    {"variable": "Famotidine", "codes": [225907], "lo": 0.0, "hi": 1.0, "units": ["dose"], "unit_waiver": True,
-     "action": "replace_with_median"},
-    {"variable": "Pantoprazole", "codes": [225910], "sel_kind": "constant", "a": 1.0},
-)
 
-
-def rules_table(spark: SparkSession, features=EXAMPLE_RULES) -> DataFrame:
+def rules_table(spark: SparkSession, features) -> DataFrame:
     """One row per code from feature dictionaries with a ``codes`` list (or a single ``code``)."""
     rows = []
     for feature in features:

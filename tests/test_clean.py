@@ -57,22 +57,41 @@ def test_outliers(spark):
     assert sorted(values["Dose"]) == [0.0, 1.0]
 
 
+# One invented rule for every selector.
+INVENTED = (
+    {"variable": "Warmth", "codes": [11], "lo": 10.0, "hi": 50.0, "action": "remove"},
+    {"variable": "Warmth", "codes": [12], "sel_kind": "linear", "a": 5.0 / 9.0, "b": -160.0 / 9.0, "lo": 10.0, "hi": 50.0, "action": "remove"},
+    {"variable": "Share", "codes": [13], "sel_kind": "percent", "lo": 0.1, "hi": 1.0, "action": "remove"},
+    {"variable": "Mood", "codes": [14], "sel_kind": "text_map", "text_map": {"calm": 0.0, "restless": 1.0}, "categorical": True},
+    {"variable": "Salt", "codes": [15], "sel_kind": "unit_scale", "a": 1000.0, "sel_unit": "mg", "units": ["mg", "gm"], "action": "replace_with_median"},
+    {"variable": "Given", "codes": [16], "sel_kind": "constant", "a": 1.0},
+    {"variable": "Pulse", "codes": [17], "lo": 0.0, "hi": 400.0, "action": "remove"},
+)
+
+
 def test_selectors(spark):
-    rules = rules_table(spark)
-    rows = [(677, v, None, None) for v in (36.6, 37.1, 36.9)] + [(678, v, None, None) for v in (98.24, 97.88, 98.12)]
-    rows += [(189, 40.0, None, None), (189, 0.4, None, None), (115, None, "Normal <3 secs", None), (115, None, "odd", None),
-             (115, 3.0, None, None), (30023, 2000.0, None, "mg"), (30023, 2.0, None, "gm"), (225910, 17.0, None, None),
-             (211, None, "3.5", None), (211, None, "abc", None)]
+    rules = rules_table(spark, INVENTED)
+    rows = [(11, v, None, None) for v in (36.6, 37.1, 36.9)] + [(12, v, None, None) for v in (98.24, 97.88, 98.12)]
+    rows += [(13, 40.0, None, None), (13, 0.4, None, None), (14, None, "calm", None), (14, None, "odd", None),
+             (14, 3.0, None, None), (15, 2000.0, None, "mg"), (15, 2.0, None, "gm"), (16, 17.0, None, None),
+             (17, None, "3.5", None), (17, None, "abc", None)]
     events = spark.createDataFrame(rows, "code long, value_num double, value_text string, unit string")
     got = clean.map_code_to_variable(clean.apply_value_selectors(events, rules), rules).collect()
     by_code = {}
     for r in got:
         by_code.setdefault(r.code, []).append(r.value)
-    assert by_code[677] == [36.6, 37.1, 36.9]
-    assert by_code[678] == pytest.approx([36.8, 36.6, 36.73], rel=1e-2)
-    assert by_code[189] == [0.4, 0.4]
-    assert sorted(by_code[115]) == [0.0, 3.0]
-    assert by_code[30023] == [2.0, 2.0] and by_code[225910] == [1.0] and by_code[211] == [3.5]
+    assert by_code[11] == [36.6, 37.1, 36.9]
+    assert by_code[12] == pytest.approx([36.8, 36.6, 36.73], rel=1e-2)
+    assert by_code[13] == [0.4, 0.4]
+    assert sorted(by_code[14]) == [0.0, 3.0]
+    assert by_code[15] == [2.0, 2.0] and by_code[16] == [1.0] and by_code[17] == [3.5]
+
+
+def test_differing_rules_are_refused(spark):
+    torn = rules_table(spark, [{"variable": "a", "codes": [1], "hi": 1.0, "action": "remove"}, {"variable": "a", "codes": [2], "hi": 2.0, "action": "remove"}])
+    events = spark.createDataFrame([("a", 1.0, "mg")], "variable string, value double, unit string")
+    with pytest.raises(Exception, match="differ in their filtering"):
+        clean.process_outliers(events, torn).collect()
 
 
 def test_convert_units(spark):
@@ -96,7 +115,7 @@ def test_attach_stay(spark):
 
 def test_rules_are_checked(spark):
     good = {"variable": "a", "codes": [1, 2], "lo": 0.0, "hi": 1.0, "action": "remove"}
-    check_rules(rules_table(spark))
+    check_rules(rules_table(spark, INVENTED))
     for bad in ({**good, "codes": [2]}, {**good, "codes": [3], "hi": 2.0}, {**good, "variable": "b", "codes": [3], "sel_kind": "x"}):
         with pytest.raises(ValueError):
             check_rules(rules_table(spark, [good, bad]))

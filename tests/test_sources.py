@@ -3,6 +3,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from test_clean import INVENTED
+
 from pulseframe.operators import cohort
 from pulseframe.plans import dataset
 from pulseframe.sources import io
@@ -116,7 +118,7 @@ def test_sample(tables):
 
 
 def test_rules_round_trip(spark, tmp_path):
-    rules = rules_table(spark)
+    rules = rules_table(spark, INVENTED)
     rules.write.parquet(str(tmp_path / "rules.parquet"))
     rules.write.json(str(tmp_path / "rules.json"))
     for name in ("rules.parquet", "rules.json"):
