@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 LONGEST = 120
 #: Cells of one table: of the fingerprint and of the first try, and of the larger tries.
 WIDTH = 4
-LARGER = (16, 64)
-#: Digests of both texts that a part has on average.
-PART = 5
+LARGER = (8, 16, 64)
+#: Digests of both texts that a part has on average; with four, about one part in nine needs a larger try.
+PART = 4
 ROUNDS = 16
 ROWS_PER_RANGE = 1024
 
@@ -46,7 +46,8 @@ def check(digest: Column) -> Column:
 def cell_places(width: int) -> Column:
     """Where the cells of three tables are: how far a digest is shifted, and the slot it must then show."""
     bits = int(math.log2(width))
-    return F.array(*[F.struct(F.lit(table * bits).alias("shift"), F.lit(slot).cast("bigint").alias("slot")) for table in range(3) for slot in range(width)])
+    places = (f"named_struct('shift', {table * bits}, 'slot', {slot}L)" for table in range(3) for slot in range(width))
+    return F.expr(f"array({', '.join(places)})")  # one constant; built column by column it takes seconds of the driver
 
 
 def held(digest: Column, place: Column, width: int) -> Column:
@@ -62,8 +63,8 @@ def sketch(found: Column, width: int) -> Column:
     empty = cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
 
     def fill(place: Column) -> Column:
-        mine = F.filter(found, lambda d: held(d, place, width))
-        return F.aggregate(mine, empty, lambda c, d: cell(c["count"] + 1, c["key"].bitwiseXOR(d), c["sign"].bitwiseXOR(check(d))))
+        add = lambda c, d: cell(c["count"] + 1, c["key"].bitwiseXOR(d), c["sign"].bitwiseXOR(check(d)))
+        return F.aggregate(found, empty, lambda c, d: F.when(held(d, place, width), add(c, d)).otherwise(c))
 
     return F.transform(cell_places(width), fill)
 
@@ -85,11 +86,11 @@ def peel(cells: Column, width: int) -> Column:
         lone = F.array_distinct(F.transform(lone, lambda c: F.struct(c["key"].alias("key"), c["count"].alias("count"))))
 
         def remove(keys: Column) -> Column:
-            def take(c: Column, i: Column) -> Column:
-                hits = F.filter(keys, lambda k: held(k["key"], F.get(cell_places(width), i), width))
-                return F.aggregate(hits, c, lambda c, k: cell(c["count"] - k["count"], c["key"].bitwiseXOR(k["key"]), c["sign"].bitwiseXOR(check(k["key"]))))
+            def take(c: Column, place: Column) -> Column:
+                out = lambda c, k: cell(c["count"] - k["count"], c["key"].bitwiseXOR(k["key"]), c["sign"].bitwiseXOR(check(k["key"])))
+                return F.aggregate(keys, c, lambda c, k: F.when(held(k["key"], place, width), out(c, k)).otherwise(c))
 
-            left = F.when(F.size(keys) == 0, state["cells"]).otherwise(F.transform(state["cells"], take))
+            left = F.when(F.size(keys) == 0, state["cells"]).otherwise(F.zip_with(state["cells"], cell_places(width), take))
             return F.struct(left.alias("cells"), (state["found"] + F.size(keys)).alias("found"), (F.size(keys) == 0).alias("still"))
 
         return F.when(state["still"], state).otherwise(let(lone, remove))
@@ -108,23 +109,26 @@ def difference(one: Column, two: Column) -> Column:
 
 def split(found: Column, drop: Column, bits: Column) -> Column:
     """Parts of a set by ``bits`` bits of its digests, after the first ``drop``."""
-    part = lambda d: unsigned_shift(F.call_function("shiftleft", d, drop), F.lit(64) - bits)
     numbers = F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1)
-    return F.when(bits == 0, F.array(found)).otherwise(F.transform(numbers, lambda n: F.filter(found, lambda d: part(d) == n)))
+    placed = F.transform(found, lambda d: F.struct(unsigned_shift(F.call_function("shiftleft", d, drop), 64 - bits).alias("part"), d.alias("digest")))
+    sought = lambda rows: F.transform(numbers, lambda n: F.transform(F.filter(rows, lambda r: r["part"] == n), lambda r: r["digest"]))
+    return F.when(bits == 0, F.array(found)).otherwise(let(placed, sought))
 
 
 def differing(one: Column, two: Column) -> Column:
     """Digests in which two sets differ. Parts are split in two steps, so that the work stays near linear."""
     total = F.size(one) + F.size(two)
     bits = F.when(total <= 2 * PART, 0).otherwise(F.ceil(F.log2(total / F.lit(PART)))).cast("int")
-    first = F.floor(bits / 2).cast("int")
 
     def parts(a: Column, b: Column, drop: Column, bits: Column, then) -> Column:
         pairs = F.arrays_zip(split(a, drop, bits).alias("a"), split(b, drop, bits).alias("b"))
         return F.aggregate(pairs, F.lit(0), lambda n, p: n + then(p["a"], p["b"]).cast("int"))
 
-    inner = lambda a, b: parts(a, b, first, bits - first, difference)
-    return parts(one, two, F.lit(0), first, inner)
+    def steps(first: Column, rest: Column) -> Column:
+        return parts(one, two, F.lit(0), first, lambda a, b: parts(a, b, first, rest, difference))
+
+    # the numbers of bits are bound once, or every look at a digest would work them out anew
+    return let(bits, lambda n: let(F.floor(n / 2).cast("int"), lambda first: let(n - first, lambda rest: steps(first, rest))))
 
 
 def likeness(one: Column, two: Column, apart: Column) -> Column:
@@ -139,6 +143,10 @@ def written(found: Column) -> Column:
     return F.concat_ws("/", F.size(found).cast("string"), F.array_join(cells, "/"))
 
 
+def longs(values: list[int]) -> Column:
+    return F.expr(f"cast(array({', '.join(f'{v}L' for v in values)}) as array<bigint>)")
+
+
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """(doc_id, text, after): the text of the next document by descending doc_id; after the last comes the first.
 
@@ -159,7 +167,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         placed = docs.withColumns({"part": F.lit(0).cast("bigint"), "guest": F.lit(0)})
     else:
         step = math.isqrt(len(bounds)) + 1
-        known, coarse = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, bounds[step - 1 :: step]))
+        known, coarse = longs(bounds), longs(bounds[step - 1 :: step])
         skipped = F.size(F.filter(coarse, lambda b: b < F.col("doc_id"))) * step
         near = F.size(F.filter(F.slice(known, skipped + 1, F.lit(step)), lambda b: b < F.col("doc_id")))
         part = F.when(F.col("doc_id").isNull(), 0).otherwise(skipped + near)
@@ -189,8 +197,9 @@ def fingerprint_versions(docs: DataFrame, ranges: int | None = None) -> DataFram
     texts = pairs.select("doc_id", size.cast("bigint").alias("n_chars"), "text", "after", edited.alias("edited"))
     known = texts.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), *(digests(F.col(c)).alias(c) for c in ("text", "edited", "after")))
     one = F.col("text")
-    apart = known.select("*", written(one).alias("fingerprint"), written(F.col("edited")).alias("edited_fingerprint"), differing(one, F.col("edited")).alias("apart_edited"), differing(one, F.col("after")).alias("apart_next"))
+    others = F.transform(F.array("edited", "after"), lambda other: differing(one, other))
+    apart = known.select("*", written(one).alias("fingerprint"), written(F.col("edited")).alias("edited_fingerprint"), others.alias("apart"))
     return apart.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(one, F.col("edited"), F.col("apart_edited")).alias("near_edited"), likeness(one, F.col("after"), F.col("apart_next")).alias("near_next"),
+        likeness(one, F.col("edited"), F.col("apart")[0]).alias("near_edited"), likeness(one, F.col("after"), F.col("apart")[1]).alias("near_next"),
     )
