@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pulseframe.operators.joins import attach
 from pulseframe.session import scratch_path, settle, tune
 
 #: Bytes of text that one numpy pass handles at a time; longer single texts are one pass of their own.
@@ -103,3 +104,26 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("linked groups did not settle")
     return settle(star.select(F.col("a").alias("node"), F.col("b").alias("label")).union(star.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct())
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """Adds ``_id``, the id or -1, and ``_mark``, a hash of the whole row: rows equal in both are equal in every column."""
+    mark = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_mark": mark})
+
+
+def one_of_each(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``rows`` (with row keys) with one row per group, that of the smallest id and mark; rows without id are all kept.
+
+    ``grouped`` has doc_id, the row keys and group of every row. A kept row that is repeated whole stays once.
+    """
+    keys, rank = ["_id", "_mark"], F.struct("_id", "_mark")
+    known = grouped.filter("doc_id IS NOT NULL")
+    least = known.groupBy("group").agg(F.min(rank).alias("least"))
+    gone = known.join(least, "group").filter(rank != F.col("least")).select(*keys).distinct()
+    kept = attach(rows, gone, keys, how="left_anti")
+    repeated = settle(rows.filter("doc_id IS NOT NULL").groupBy(*keys).count().filter("count > 1").select(*keys))
+    if repeated.head(1):
+        once = attach(kept, repeated, keys, how="left_semi").dropDuplicates(keys)
+        kept = attach(kept, repeated, keys, how="left_anti").union(once)
+    return kept.drop(*keys)

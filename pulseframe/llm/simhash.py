@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulseframe.llm.base import arrow_pass, bytes_of, components, store
+from pulseframe.llm.base import arrow_pass, bytes_of, components, one_of_each, row_keys, store
 from pulseframe.operators.joins import attach
 from pulseframe.session import settle
 
@@ -49,14 +49,16 @@ def simhash(text: bytes, words: int = 3, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long; null is an empty text, 0."""
+def fingerprints(docs: DataFrame, words: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keys, fp): the fingerprint of every whole text as a signed long; null is an empty text, 0. Keys are longs."""
+    names = ["doc_id", *keys]
 
     def scan(batch: pa.RecordBatch):
         found = pa.array([simhash(text, words) for text in bytes_of(batch.column("text"))], pa.int64())
-        return pa.record_batch([batch.column("doc_id"), found], ["doc_id", "fp"])
+        return pa.record_batch([*map(batch.column, names), found], [*names, "fp"])
 
-    return arrow_pass(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), scan, "doc_id bigint, fp bigint", "text")
+    kinds = ", ".join(f"{name} bigint" for name in [*names, "fp"])
+    return arrow_pass(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keys, "text"), scan, kinds, "text")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -101,14 +103,14 @@ def links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return edges.union(met.select(F.col("node").alias("a"), first.alias("b")).filter("a <> b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, crowded: int = CROWDED) -> DataFrame:
-    """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id reachable by links.
+def near_duplicates(docs: DataFrame, words: int = 3, crowded: int = CROWDED, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keys, fp, component_id) of every document; component_id is the smallest doc_id reachable by links.
 
     Texts without words have fingerprint 0 and link like any other. Null texts count as empty; null ids
     never name a component unless all its ids are null; repeated rows are in one component. Columns
-    beyond doc_id and text are not read. Empty in, empty out.
+    beyond doc_id, keys and text are not read. Empty in, empty out.
     """
-    known = store(fingerprints(docs, words), "fingerprints")
+    known = store(fingerprints(docs, words, keys), "fingerprints")
     # A class is named by its smallest id; classes that only have null ids keep a negative stand-in.
     node = F.coalesce(F.min("doc_id"), F.bitwise_not(F.xxhash64("fp").bitwiseAND(F.lit(2**63 - 1))))
     classes = settle(known.groupBy("fp").agg(node.alias("node"), F.min("doc_id").alias("least")))
@@ -116,7 +118,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowded: int = CROWDED) ->
     named = classes.join(joined, "node", "left").withColumn("group", F.coalesce("label", "node"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     by_class = named.join(least, "group").select("fp", "component_id")
-    return known.join(by_class, "fp").select("doc_id", "fp", "component_id")
+    return known.join(by_class, "fp").select("doc_id", *keys, "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -124,15 +126,11 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one document per component, that with the smallest id; a repeated kept id stays once.
+    """``docs`` with one row per component, that with the smallest id and, of rows of that id, the smallest hash.
 
-    Documents without an id are kept.
+    Rows of one id with different texts are told apart. A kept row that is repeated whole stays once;
+    documents without an id are kept.
     """
-    found = near_duplicates(docs, **settings)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = attach(docs, gone, "doc_id", how="left_anti")
-    repeated = settle(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if not repeated.head(1):
-        return kept
-    once = attach(kept, repeated, "doc_id", how="left_semi").dropDuplicates(["doc_id"])
-    return attach(kept, repeated, "doc_id", how="left_anti").union(once)
+    rows = row_keys(docs)
+    found = near_duplicates(rows, keys=("_id", "_mark"), **settings)
+    return one_of_each(rows, found.withColumnRenamed("component_id", "group"))
