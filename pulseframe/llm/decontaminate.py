@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pulseframe.llm.base import arrow_pass, bytes_of, store
+from pulseframe.llm.base import arrow_pass, bytes_of, row_keys, store
 from pulseframe.llm.words import ALNUM, Words
 from pulseframe.operators.joins import attach
 from pulseframe.session import settle
@@ -103,10 +103,11 @@ def prefixes(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -
     return Prefixes(settle(rarest.select("rarest.hash", "rarest.offset", "words", "window", "items")), sizes)
 
 
-def hits(docs: DataFrame, sizes: tuple[int, ...], may: np.ndarray, window: int) -> DataFrame:
-    """A row per document: doc_id, n_words, and its prefix hits with the words around each."""
+def hits(docs: DataFrame, sizes: tuple[int, ...], may: np.ndarray, window: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A row per document: doc_id, keys (longs), n_words, and its prefix hits with the words around each."""
+    names = ["doc_id", *keys]
     hit = pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("left", pa.int32()), ("around", pa.string())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(hit))])
+    schema = pa.schema([*((name, pa.int64()) for name in [*names, "n_words"]), ("hits", pa.list_(hit))])
 
     def find(batch: pa.RecordBatch):
         found = Words(bytes_of(batch.column("text")), ALNUM)
@@ -120,22 +121,23 @@ def hits(docs: DataFrame, sizes: tuple[int, ...], may: np.ndarray, window: int)
                 low, high = max(int(found.first[text]), word - window + 1), min(int(found.first[text + 1]), word + window)
                 around = found.span(low, high).decode("utf-8", "replace")
                 lists[text].append({"hash": value, "at": word - int(found.first[text]), "left": word - low, "around": around})
-        return pa.record_batch([batch.column("doc_id"), pa.array(found.counts), pa.array(lists, schema.field("hits").type)], schema=schema)
+        return pa.record_batch([*map(batch.column, names), pa.array(found.counts), pa.array(lists, schema.field("hits").type)], schema=schema)
 
-    return arrow_pass(docs.select("doc_id", "text"), find, "doc_id bigint, n_words bigint, hits array<struct<hash:bigint,at:int,left:int,around:string>>", "text")
+    kinds = "".join(f"{name} bigint, " for name in [*names, "n_words"])
+    return arrow_pass(docs.select(*names, "text"), find, kinds + "hits array<struct<hash:bigint,at:int,left:int,around:string>>", "text")
 
 
-def overlap(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5) -> DataFrame:
-    """(doc_id, n_words, n_hit, items) of every document (doc_id, text).
+def overlap(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keys, n_words, n_hit, items) of every document (doc_id, text).
 
     A word is hit if any occurrence of an item's window covers it. Null and empty texts have no words,
     nor do items without words have windows; repeated rows are judged one by one. An empty benchmark
-    hits nothing. Columns beyond doc_id and text (item_id and text of the benchmark) are not read.
+    hits nothing. Columns beyond doc_id, keys and text (item_id and text of the benchmark) are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keys, "text")
     known = prefixes(docs, benchmark, window, shingle)
     may = bit_map(known.rows.select("hash").distinct()) if known.sizes else np.zeros(MAP_BITS, bool)
-    found = hits(docs, known.sizes, may, window)
+    found = hits(docs, known.sizes, may, window, keys)
     found = store(found.withColumn("row", F.monotonically_increasing_id()), "hits")
     candidates = found.select("row", "n_words", F.explode("hits").alias("hit")).select("row", "n_words", "hit.*")
     joined = attach(candidates, known.rows, "hash").withColumn("start", F.col("at") - F.col("offset"))
@@ -151,7 +153,7 @@ def overlap(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: in
     )
     none = F.array().cast("array<string>")
     return found.drop("hits").join(covered, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.array_sort(F.coalesce("items", none)).alias("items")
+        "doc_id", *keys, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.array_sort(F.coalesce("items", none)).alias("items")
     )
 
 
@@ -161,6 +163,8 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the contaminated documents; a repeated id goes if any of its rows is contaminated."""
-    gone = judged(overlap(docs, benchmark, **settings)).filter("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return attach(docs, gone, "doc_id", how="left_anti")
+    """``docs`` without the contaminated documents; every row is judged by its own text, also rows without id or of one id."""
+    keys = ("_id", "_mark")
+    rows = row_keys(docs)
+    gone = judged(overlap(rows, benchmark, keys=keys, **settings)).filter("contaminated").select(*keys).distinct()
+    return attach(rows, gone, list(keys), how="left_anti").drop(*keys)
