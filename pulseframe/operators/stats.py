@@ -54,6 +54,10 @@ def variable_statistics(events: DataFrame, percentiles: tuple[float, ...] = PERC
     return table.withColumn("cv", F.try_divide(F.col("std"), F.col("mean"))).orderBy(F.desc("count"), "variable")
 
 
+#: Places of equal values that are listed at a time.
+PLACES = 4096
+
+
 def stratified_sample(events: DataFrame, n: int, key_cols: list[str], seed: int = 42) -> DataFrame:
     """About ``n`` events per variable (all of them for rarer variables)."""
     fraction = F.least(F.lit(1.0), F.lit(float(n)) / F.count(F.lit(1)))
@@ -65,15 +69,17 @@ def stratified_sample(events: DataFrame, n: int, key_cols: list[str], seed: int
     )
 
 
-def normality_distance(sample: DataFrame) -> DataFrame:
-    """Mean distance between the sorted z-scores and the normal quantiles, per variable.
+def normality_distance(events: DataFrame) -> DataFrame:
+    """Mean distance between the sorted z-scores and the normal quantiles, per variable, over all events given.
 
-    Null when the standard deviation is 0 or undefined.
+    Null when the standard deviation is 0 or undefined. The places of a value's copies are listed
+    ``PLACES`` at a time, so that no array grows with them.
     """
-    moments = sample.groupBy("variable").agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_std"))
-    places = value_counts(sample, ["variable"]).withColumn(
-        "_place", F.explode(F.sequence(F.col("upto") - F.col("copies") + 1, F.col("upto")))
-    )
+    moments = events.groupBy("variable").agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_std"))
+    counts = value_counts(events, ["variable"])
+    heads = F.sequence(F.col("upto") - F.col("copies") + 1, F.col("upto"), F.lit(PLACES).cast("bigint"))
+    last = F.least(F.col("_head") + PLACES - 1, "upto")
+    places = counts.withColumn("_head", F.explode(heads)).withColumn("_place", F.explode(F.sequence("_head", last)))
     expected = normal_quantile((F.col("_place") - 0.5) / F.col("upto_total"))
     z = F.try_divide(F.col("value") - F.col("_mean"), F.col("_std"))
     return attach(places, moments, "variable").groupBy("variable").agg(

@@ -46,7 +46,6 @@ def describe(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFra
     events, labels = (io.read_split(spark, os.path.join(args.dataset, f"{n}.parquet")) for n in ("events", "labels"))
     splits = settle(events.select("stay_id", "split").distinct())
     events, stays, labels = events.drop("split"), raw.adult_stays(), labels.drop("split")
-    sample = stats.stratified_sample(events, 5_000, ["stay_id", "minute", "variable"], args.seed)
     tables = {
         "raw_numbers": stats.raw_numbers(raw.patients(), stays),
         "features": stats.feature_statistics(rules, raw.items()),
@@ -54,7 +53,7 @@ def describe(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFra
         "splits_table": stats.split_table(labels, events, stays, splits),
         "raw_dataset": io.file_inventory(spark, {n: os.path.join(args.raw, f"{n}.parquet") for n in RAW_TABLES}),
         "variables": stats.variable_statistics(events)
-        .join(stats.normality_distance(sample), "variable", "left")
+        .join(stats.normality_distance(events), "variable", "left")
         .orderBy(F.desc("count"), "variable"),
         "patient_journey": stats.journey_statistics(events, stays),
     }
