@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulseframe.functions.keyed import uniform
@@ -105,7 +107,9 @@ def variable_dropout(window_events: DataFrame, p: float, seed: int = 42, max_dra
     """Drop each variable of a window with probability ``p``; draw again if nothing is left.
 
     Every draw is a function of window, variable and draw number, so a window uses the first draw
-    that keeps something. If none of ``max_draws`` does, its luckiest variable is kept.
+    that keeps something. Where none of ``max_draws`` does, the next one that would is drawn directly: the
+    first variable kept, by name, with its probability given that one is, and those after it independently.
+    At ``p = 1``, where nothing is ever kept, it is the luckiest variable, the limit of that distribution.
     """
     keys = [*WINDOW, "variable"]
 
@@ -127,9 +131,15 @@ def variable_dropout(window_events: DataFrame, p: float, seed: int = 42, max_dra
         )
         .withColumn("_draw", F.min("_first").over(window))
     )
-    lucky = F.row_number().over(window.orderBy(F.desc("_u"), "variable")) == 1
-    kept = listed.withColumn("_lucky", lucky).filter(
-        F.when(F.col("_draw").isNull(), F.col("_lucky"))
+    late = F.row_number().over(window.orderBy(F.desc("_u"), "variable")) == 1
+    if 0 < p < 1:
+        place, rate = F.row_number().over(window.orderBy("variable")), math.log(p)
+        some = -F.expm1(F.count(F.lit(1)).over(window) * rate)  # the probability that a draw keeps something
+        first = F.ceil(F.log1p(-uniform(list(WINDOW), seed, "drop-first") * some) / rate)
+        first = F.least(F.greatest(first, F.lit(1)), F.count(F.lit(1)).over(window))
+        late = (place == first) | (place > first) & (uniform(keys, seed, "drop-late") > p)
+    kept = listed.withColumn("_late", late).filter(
+        F.when(F.col("_draw").isNull(), F.col("_late"))
         .when(F.col("_draw") == 0, F.col("_u") > p)
         .otherwise(draw(F.col("_draw")) > p)
     )
