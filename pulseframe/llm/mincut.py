@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from pulseframe.llm.base import arrow_pass, bytes_of
 
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,8192}\"|'[^']{0,8192}')*+)>")
-LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+EDGE = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Elements whose content is not markup, or never text of the page.
 OPAQUE = frozenset("script style title textarea template noscript iframe svg math object select xmp".split())
@@ -79,6 +79,28 @@ def marked(tag: str, attributes: str, state: int) -> int:
     return 1 if state == 0 and words & CONTENT_WORDS else state
 
 
+def tag_end(page: str, start: int, final: int, stray: set[int]) -> int:
+    """Where the ``>`` is that ends the tag whose attributes begin at ``start``; ``final`` is the page's last ``>``.
+
+    A quoted value of any length is skipped whole. Where the quotes do not work out, the first ``>`` ends the
+    tag. ``stray`` keeps the quotes from which no end was reached, so that all tags of a page are linear.
+    """
+    at, opened = start, []
+    while at <= final:
+        mark = EDGE.search(page, at).start()
+        if page[mark] == ">":
+            return mark
+        if mark in stray:
+            break
+        opened.append(mark)
+        close = page.find(page[mark], mark + 1)
+        if close < 0:
+            break
+        at = close + 1
+    stray.update(opened)
+    return page.find(">", start)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order. Character references are decoded, white space is one space; unclosed tags end with their parents."""
     found: list[Block] = []
@@ -86,6 +108,7 @@ def blocks_of(page: str) -> list[Block]:
     buffer: list[str] = []
     unclosed: set[str] = set()
     linked = links = number = at = 0
+    final, stray = page.rfind(">"), set()
 
     def flush():
         nonlocal linked
@@ -111,13 +134,14 @@ def blocks_of(page: str) -> list[Block]:
             end = page.find(">", at)
             at = end + 1 if end >= 0 else len(page)
             continue
-        tag = TAG.match(page, at) or LOOSE_TAG.match(page, at)
+        tag = TAG.match(page, at) if at < final else None
         if not tag:
             buffer.append("<")
             at += 1
             continue
-        at = tag.end()
-        closing, name, attributes = tag[1], tag[2].lower(), tag[3]
+        end = tag_end(page, tag.end(), final, stray)
+        closing, name, attributes = tag[1], tag[2].lower(), page[tag.end() : end]
+        at = end + 1
         if name in OPAQUE:
             if not closing and not attributes.endswith("/"):
                 end = None if name in unclosed else END_OF[name].search(page, at)
