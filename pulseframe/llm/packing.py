@@ -13,8 +13,11 @@ task while tokenizing, and the tasks' counts are summed up afterwards; no size i
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,14 +32,23 @@ from pulseframe.operators.joins import attach
 
 CAPACITY = 2048
 END = 0
-#: Strings between white space whose ids are kept, and their longest length in bytes.
-KEPT, KEPT_BYTES = 300_000, 64
+#: Strings between white space whose ids are remembered, and their longest length in bytes.
+KEPT, KEPT_BYTES = 400_000, 64
+
+
+#: Letters of ASCII and Latin-1, then perhaps marks other than the apostrophe: one word and one run of marks to the tokenizer.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: How byte-level tokenizers write a byte: as the character of that number if it can be seen, else as one from 256 on.
+AS_CHARACTER = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class Encoder:
-    """Ids of texts, little-endian 32-bit, from a tokenizer that drops white space.
+    """Ids of texts, little-endian 32-bit, from a byte-level tokenizer of lower-case words and runs of marks that drops white space.
 
-    No id reaches over white space, so what lies between is encoded by itself and remembered.
+    No id reaches over white space, so what lies between is encoded by itself, once for some texts, and
+    remembered while it keeps coming: of two generations of ``KEPT`` strings the older one is dropped.
+    Strings of plain letters and marks go to the tokenizer's model word by word.
     """
 
     def __init__(self, path: str):
@@ -44,25 +56,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes) -> bytes:
-        strings = text.split()  # ASCII white space
-        known = self.known
-        try:
-            return b"".join([known[s] for s in strings])
-        except KeyError:
-            pass
-        if len(known) > KEPT:
-            known.clear()
-        fresh = [s for s in dict.fromkeys(strings) if s not in known]
-        found = dict(zip(fresh, self.encode(fresh)))
-        known.update((s, ids) for s, ids in found.items() if len(s) <= KEPT_BYTES)
-        return b"".join([known[s] if s in known else found[s] for s in strings])
-
-    def encode(self, strings: list[bytes]) -> list[bytes]:
+        self.word = self.tokenizer.model.tokenize
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
+
+    def whole(self, strings: list[bytes]) -> Iterator[bytes]:
         encoded = self.tokenizer.encode_batch([s.decode("utf-8", "replace") for s in strings], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        return (array("I", e.ids).tobytes() for e in encoded)
+
+    def plain(self, letters: bytes, marks: bytes) -> bytes:
+        letters = letters.decode().lower().encode()
+        ids = self.young.get(letters) or self.old.get(letters)
+        if ids is None:
+            spelled = letters.decode("latin-1").translate(AS_CHARACTER)
+            ids = self.young[letters] = array("I", [t.id for t in self.word(spelled)]).tobytes()
+        if marks not in self.marks:
+            if len(self.marks) > KEPT:
+                self.marks = {b"": b""}
+            self.marks[marks] = next(self.whole([marks]))
+        return ids + self.marks[marks]
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text."""
+        split = [text.split() for text in texts]  # ASCII white space
+        here: dict[bytes, bytes | None] = {}
+        for strings in split:
+            here.update(dict.fromkeys(strings))
+        if len(self.young) > KEPT:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        other, fresh = [], []
+        for s in here:
+            known = young.get(s)
+            if known is None and (known := old.get(s)) is not None:
+                young[s] = known
+            if known is None:
+                simple = PLAIN.fullmatch(s) if len(s) <= KEPT_BYTES else None
+                if simple:
+                    known = self.plain(*simple.groups())
+                else:
+                    other.append(s)
+                fresh.append(s)
+            here[s] = known
+        here.update(zip(other, self.whole(other)))
+        young.update((s, here[s]) for s in fresh if len(s) <= KEPT_BYTES)
+        for strings in split:
+            yield b"".join(map(here.__getitem__, strings))
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for a worker process, whatever number of tasks it runs."""
+    return Encoder(path)
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -70,13 +116,13 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(path), TaskContext.get().partitionId()
+        known, task = encoder(path), TaskContext.get().partitionId()
         counts = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in pieces(batch, "text"):
                 rows = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), bytes_of(part.column("text"))):
-                    ids = encoder.ids(text) + END.to_bytes(4, "little")
+                for doc_id, found in zip(part.column("doc_id").to_pylist(), known.ids(bytes_of(part.column("text")))):
+                    ids = found + END.to_bytes(4, "little")
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         length = len(own) // 4

@@ -142,13 +142,16 @@ def whole_ids(text):
 TEXTS = [
     None, "", " ", "Hello  WORLD\n don't we'll 'tis", "<|endoftext|> x<|startoftext|>y <|endoftext|>", "a\x1cb\x85c\xa0d e　f", "é ́x Å ΑΣ ΟΔΟΣ.",
     "﻿zero​width \U0001f600\U0001f601", "x" * 9000, "word " * 2047, "word " * 2048, "word " * 5000, "1234567890 3.14 #!?", "İstanbul ﬁ ǅ ß",
+    "Letters!!! and-marks x... don't. we'll, a<|endoftext|> <|endoftext|>. A.b c_d `q` [z] {~} K\\ ok'", "z" * 70 + "!",
+    " ".join(f"x{chr(c)}Y {chr(c)}{chr(c)}, E{chr(c)}\u0301" for c in range(0xA1, 0x180)),
 ]
 
 
 def test_ids_between_white_space_are_those_of_the_whole_text():
     encoder = packing.Encoder(PATH)
-    for text in TEXTS * 2:
-        assert np.frombuffer(encoder.ids((text or "").encode()) + packing.END.to_bytes(4, "little"), "<u4").tolist() == whole_ids(text)
+    for texts in (TEXTS, TEXTS[:4], [TEXTS[3]] * 2 + TEXTS[::-1]):
+        found = list(encoder.ids([(t or "").encode() for t in texts]))
+        assert [np.frombuffer(ids + packing.END.to_bytes(4, "little"), "<u4").tolist() for ids in found] == list(map(whole_ids, texts))
 
 
 def check_packing(rows, wanted, capacity):
