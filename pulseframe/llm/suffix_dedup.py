@@ -9,14 +9,16 @@ Within a range of hashes the suffixes to the right are put in order by deep-shal
 quicksort on characters of eight bytes down to ``SHALLOW`` bytes, and a blind trie for what is then
 still equal. The same is done for the reversed left sides. A string that starts ``o`` bytes before its
 anchor repeats if another member agrees with it on at least ``o`` bytes to the left and ``size - o``
-to the right: runs of the two orders whose common prefixes are that long. Only bytes decide here,
-hashes only bring candidates together.
-
-An anchor hash with more than ``CROWDED`` members is not sorted in one task. The offsets of its
-members are cut into stretches of ``STRETCH``; all strings of a stretch share a core, and strings with
-different cores differ. Members are classed by core and by all bytes of the stretch (128-bit digests,
-counted with partial sums before the shuffle): a class of two repeats as a whole, and only one member
-of each class whose core other classes have too lists its single strings.
+to the right: runs of the two orders whose common prefixes are that long. Bytes decide here, hashes only
+bring candidates together.
+
+An anchor hash with more than ``CROWDED`` members is not sorted in one task. Its members are first classed by
+all bytes they stand for: a class of two or more repeats as a whole, and one member speaks for it from then
+on. Where an anchor has several classes, the offsets of the speakers are cut into stretches of ``STRETCH``;
+all strings of a stretch share a core, and strings with different cores differ. Speakers are classed by core
+and by all bytes of the stretch, and only one of each class whose core other classes have too lists its
+single strings. Classes are told apart by 128-bit digests, counted with partial sums before the shuffle:
+beyond ``CROWDED`` members digests decide, not bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pulseframe.llm.base import arrow_pass, bytes_of, store
+from pulseframe.llm.base import arrow_pass, bytes_of, keeps_names, store
 from pulseframe.operators.joins import attach
 from pulseframe.session import settle
 
@@ -247,17 +249,17 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) ->
             for k in np.flatnonzero(few | many).tolist():
                 p, a, b = int(place[k]), int(first[k]), int(last[k])
                 if few[k]:
-                    rows.append((i, m, int(h[k].view(np.int64)), p, p - b, p - a, text[a:p], text[p : b + size], *[None] * 7))
+                    rows.append((i, m, int(h[k].view(np.int64)), p, p - b, p - a, text[a:p], text[p : b + size], *[None] * 5))
                 if many[k]:
-                    rows += [(i, m, *[None] * 6, *s) for s in stretches(text, p, p - b, p - a, size)]
+                    rows.append((i, m, int(h[k].view(np.int64)), *[None] * 5, *halves(text[a : b + size] + b"%d %d" % (p - a, p - b)), a, b - a + 1, p))
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), MEMBER)], schema=MEMBER) if rows else None
 
     schema = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'bigint'}" for f in MEMBER)
     # One join with the texts serves both ways, so its rows are stored.
     around = store(arrow_pass(docs.join(again, ["id", "mark"]).select("id", "mark", "places", "crowds", "text"), list_members, schema, "text"), "members")
-    few = around.filter("hash IS NOT NULL").select("hash", "id", "mark", "place", "near", "far", "left", "right")
+    few = around.filter("count IS NULL").select("hash", "id", "mark", "place", "near", "far", "left", "right")
     found = sorted_spans(few, size)
-    rows = around.filter("count IS NOT NULL").select(*CORE, *WHOLE, "id", "mark", "start", "count", "shared")
+    rows = around.filter("count IS NOT NULL").select("hash", *WHOLE, "id", "mark", "start", "count", "shared")
     if rows.head(1):
         found = found.union(crowded_spans(docs, rows, size, crowded))
     return found.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
@@ -270,12 +272,14 @@ def halves(value: bytes) -> tuple[int, int]:
 
 
 CORE, WHOLE = ["core1", "core2"], ["whole1", "whole2"]
-#: What is listed for an anchor: one row for it, or one for each of its stretches.
+#: What is listed for an anchor: its bytes to both sides, or in a crowded one the digest of all its strings.
 MEMBER = pa.schema([
     *((c, pa.int64()) for c in ("id", "mark", "hash", "place", "near", "far")), ("left", pa.binary()), ("right", pa.binary()),
-    *((c, pa.int64()) for c in (*CORE, *WHOLE, "start", "count", "shared")),
+    *((c, pa.int64()) for c in (*WHOLE, "start", "count", "shared")),
 ])
 
+STRETCHES = [*CORE, *WHOLE, "id", "mark", "start", "count", "shared"]
+
 
 def stretches(text: bytes, place: int, near: int, far: int, size: int) -> list[tuple[int, ...]]:
     """(core, whole, start, count, start of the core) of each stretch of the offsets ``near`` to ``far`` of an anchor."""
@@ -323,8 +327,38 @@ def sorted_spans(members: DataFrame, size: int) -> DataFrame:
     return placed.mapInArrow(sort_blocks, "id bigint, mark bigint, start bigint, end bigint")
 
 
-def crowded_spans(docs: DataFrame, rows: DataFrame, size: int, crowded: int) -> DataFrame:
-    """(id, mark, start, end) of the repeated strings in the stretches ``rows`` of crowded anchors.
+def crowded_spans(docs: DataFrame, ranges: DataFrame, size: int, crowded: int) -> DataFrame:
+    """(id, mark, start, end) of the repeated strings of the members ``ranges`` of crowded anchors.
+
+    ``ranges`` has hash, whole1, whole2, id, mark, start, count and shared, the anchor's place. Classes of
+    two or more repeat as a whole; where an anchor has other classes, one member of each is compared with
+    them stretch by stretch. Repeated classes are joined by broadcast if they are few, else the join is
+    split where a class is hot.
+    """
+    member = F.struct("id", "mark", "start", "count", "shared")
+    known = store(ranges.groupBy("hash", *WHOLE).agg(F.count(F.lit(1)).alias("times"), F.min(member).alias("one")), "ranges")
+    again = attach(ranges, known.filter("times > 1").select("hash", *WHOLE), ["hash", *WHOLE])
+    found = again.select("id", "mark", "start", (F.col("start") + F.col("count") - 1 + size).alias("end"))
+    several = settle(known.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("hash"))
+    if not several.head(1):
+        return found
+    speakers = settle(attach(known, several, "hash").select("one.*").groupBy("id", "mark").agg(F.collect_list(F.struct("start", "count", "shared")).alias("asked")))
+
+    def list_stretches(batch: pa.RecordBatch):
+        out = []
+        for text, i, m, wanted in zip(bytes_of(batch.column("text")), *(batch.column(c).to_pylist() for c in ("id", "mark", "asked"))):
+            for a in wanted:
+                p, last = a["shared"], a["start"] + a["count"] - 1
+                out += [(*s[:4], i, m, *s[4:]) for s in stretches(text, p, p - last, p - a["start"], size)]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], STRETCHES) if out else None
+
+    speaking = attach(docs, speakers, ["id", "mark"]).select("id", "mark", "asked", "text")
+    rows = store(arrow_pass(speaking, list_stretches, ", ".join(f"{c} bigint" for c in STRETCHES), "text"), "stretches")
+    return found.union(stretch_spans(docs, rows, size, crowded))
+
+
+def stretch_spans(docs: DataFrame, rows: DataFrame, size: int, crowded: int) -> DataFrame:
+    """(id, mark, start, end) of the repeated strings in the stretches ``rows``.
 
     Classes of two or more repeat as a whole. One member of every class whose core other classes have
     too is compared with theirs: by suffix order, or where a core has more than ``crowded`` classes by
@@ -353,7 +387,7 @@ def crowded_spans(docs: DataFrame, rows: DataFrame, size: int, crowded: int) ->
                     out += [(*halves(text[at : at + size]), i, m, at) for at in range(a["start"], a["start"] + a["count"])]
         return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["high", "low", "id", "mark", "start"]) if out else None
 
-    known = rows.join(classes.filter("times > 1").select(*WHOLE), WHOLE)
+    known = attach(rows, classes.filter("times > 1").select(*WHOLE).distinct(), WHOLE)
     found = known.select("id", "mark", "start", (F.col("start") + F.col("count") - 1 + size).alias("end"))
     speaking = attach(docs, asked, ["id", "mark"]).select("id", "mark", "asked", "text")
     schema = ", ".join(f"{c} {'binary' if k == pa.binary() else 'bigint'}" for c, k in kinds.items())
@@ -412,6 +446,7 @@ def repeats(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) -> DataFr
     return arrow_pass(rows, measure, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", "text")
 
 
+@keeps_names("_id", "_mark", "_spans")
 def without_repeats(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text`` and, if there, ``n_chars`` set anew.
 
