@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -106,6 +107,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return settle(star.select(F.col("a").alias("node"), F.col("b").alias("label")).union(star.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct())
 
 
+def keeps_names(*own: str):
+    """For a function that takes documents first and returns their columns: columns of the caller that are named
+    like its ``own`` ones are set aside under free names while it works."""
+
+    def wrap(fn):
+        @functools.wraps(fn)
+        def run(docs: DataFrame, *args, **settings) -> DataFrame:
+            taken, aside = {c.lower() for c in docs.columns} | set(own), {}
+            for name in (c for c in docs.columns if c.lower() in own):
+                free = name
+                while free.lower() in taken:
+                    free += "_"
+                taken.add(free.lower())
+                aside[name] = free
+            out = fn(docs.withColumnsRenamed(aside), *args, **settings)
+            return out.withColumnsRenamed({free: name for name, free in aside.items()})
+
+        return run
+
+    return wrap
+
+
 def row_keys(docs: DataFrame) -> DataFrame:
     """Adds ``_id``, the id or -1, and ``_mark``, a hash of the whole row: rows equal in both are equal in every column."""
     mark = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pulseframe.llm.base import arrow_pass, bytes_of, row_keys, store
+from pulseframe.llm.base import arrow_pass, bytes_of, keeps_names, row_keys, store
 from pulseframe.llm.words import ALNUM, Words
 from pulseframe.operators.joins import attach
 from pulseframe.session import settle
@@ -162,6 +162,7 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
+@keeps_names("_id", "_mark")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``docs`` without the contaminated documents; every row is judged by its own text, also rows without id or of one id."""
     keys = ("_id", "_mark")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pulseframe.llm.base import arrow_pass, bytes_of, fold
+from pulseframe.llm.base import arrow_pass, bytes_of, fold, keeps_names
 from pulseframe.llm.words import SPACE, Words
 from pulseframe.operators.joins import attach
 
@@ -153,6 +153,7 @@ def learn(x: np.ndarray, y: np.ndarray, seed: int, rounds: int = 30, batch: int
     return Machine(float(part["bias"][0]), part["linear"], part["factors"])
 
 
+@keeps_names("_stated")
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text (null as empty) in column ``name``, replacing one of that name.
 

@@ -62,7 +62,9 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op9_mixture"] = r"""
 WITH sized AS (
-    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+           md5(coalesce(text, '')) AS digest, row_number() OVER (PARTITION BY doc_id, text ORDER BY source) AS number
+    FROM documents
 ),
 totals AS (
     SELECT source, sum(size)::HUGEINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::HUGEINT AS weight
@@ -88,7 +90,7 @@ targets AS (
 ),
 rates AS (
     SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-           ('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, '17', 'mix')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+           ('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, digest, number::VARCHAR, '17', 'mix')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
     FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken

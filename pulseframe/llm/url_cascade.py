@@ -18,6 +18,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulseframe.llm.base import keeps_names
 from pulseframe.session import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,8 +88,8 @@ def candidate_keys(shapes: list[tuple[int, int]], host: str, path: str) -> Colum
     """Every (size, host size, key) at which some rule could fit: as many host labels and path characters as a rule has."""
     if not shapes:
         return F.array().cast("array<struct<size:int,host_size:int,key:string>>")
-    known = F.lit(np.array(sorted(labels * 65536 + chars for labels, chars in shapes), np.int64))
-    labels, chars = lambda s: F.floor(s / 65536).cast("int"), lambda s: F.pmod(s, F.lit(65536)).cast("int")
+    known = F.lit(np.array(sorted((labels << 32) + chars for labels, chars in shapes), np.int64))
+    labels, chars = lambda s: F.shiftright(s, 32).cast("int"), lambda s: s.bitwiseAND((1 << 32) - 1).cast("int")
     host_labels = F.size(F.split(host, r"\."))
     fitting = F.filter(known, lambda s: (labels(s) <= host_labels) & (chars(s) <= F.length(path)))
 
@@ -100,6 +101,7 @@ def candidate_keys(shapes: list[tuple[int, int]], host: str, path: str) -> Colum
     return F.transform(fitting, key)
 
 
+@keeps_names("_keys")
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule (the longest fitting, else null) and verdict (allow or block).
 

@@ -240,3 +240,23 @@ def test_held_out_accuracy(spark, operator, label, at, least):
     scored = operator.score(docs, operator.fit(docs, labels)).join(labels, "doc_id").filter(fold() == 0)
     right, count = scored.agg(F.avg(((F.col("score") >= at).cast("int") == F.col(label)).cast("int")), F.count(F.lit(1))).first()
     assert count > 500 and right >= least
+
+
+@pytest.mark.parametrize("crowded", [3, 1000])
+@pytest.mark.parametrize("size", [200, 400])
+def test_a_hot_passage_in_many_texts(spark, crowded, size):
+    """One passage in most texts, whole or with a word changed, at other places and beside other words."""
+    passage = line(5, 90)
+    texts = []
+    for k in range(60):
+        words = passage.split()
+        if k % 3 == 0:
+            words[(k * 7) % 90] = f"other{k}"
+        if k % 10 != 9:
+            texts.append(line(40 + k % 50, 20) + " " * (k % 4) + " ".join(words[k % 5 :]) + line(200 + k, 30))
+        else:
+            texts.append(line(300 + k, 60))
+    texts += [texts[0], texts[1], passage, passage]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    found = sorted(map(tuple, suffix_dedup.repeats(rows, size, crowded).collect()))
+    assert found == [(i, *p) for i, p in enumerate(plain_repeats([t.encode() for t in texts], size))]
