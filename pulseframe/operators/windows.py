@@ -67,6 +67,55 @@ def draw_windows(candidates: DataFrame, draws: int = 1, seed: int = 42) -> DataF
     )
 
 
+def first_kept(rows: DataFrame, keys: list[str], p: float, seed: int = 42) -> DataFrame:
+    """Add ``cycle``: at which of repeated draws a row is kept for the first time, if each drops it with probability ``p``.
+
+    One uniform draw of the row's ``keys`` stands for the whole sequence, whose first success is geometric.
+    The rows of a group with its least ``cycle`` are what the first draw that keeps anything keeps.
+    """
+    if not 0 <= p < 1:
+        raise ValueError("p must be in [0, 1)")
+    if p == 0:
+        return rows.withColumn("cycle", F.lit(0).cast("bigint"))
+    u = uniform(keys, seed, "kept")
+    return rows.withColumn("cycle", F.floor(F.log(F.lit(1.0) - u) / F.lit(math.log(p))).cast("bigint"))
+
+
+def kept_windows(
+    events: DataFrame, candidates: DataFrame, max_minute: int, p: float, draws: int = 1, seed: int = 42, ahead: int = 4
+) -> DataFrame:
+    """Windows that keep something when each variable is dropped with probability ``p``: (stay_id, draw, t1, variable).
+
+    Every draw walks through the window ends of its stay in a fixed random order, each draw one place further
+    on, and starts over after the last; each visit drops variables anew. The first visit that keeps any counts, and
+    its kept variables are returned. A visit's number is its cycle times the stay's window ends plus its place,
+    so the first one is a minimum over the stay. Most draws end within ``ahead`` visits of the first cycle, and
+    only these windows are read first; the other stays are then read whole.
+    """
+    size = candidates.groupBy("stay_id").agg(F.count(F.lit(1)).alias("_size"))
+    keyed = candidates.withColumn("_u", uniform(["stay_id", "t1"], seed, "t1"))
+    order = Window.partitionBy("stay_id").orderBy("_u", "t1")
+    every_draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+
+    def visits(placed: DataFrame) -> DataFrame:
+        """(stay_id, draw, t1, variable, _visit) from (stay_id, t1, _place, _size, draw)."""
+        placed = placed.withColumn("_offset", F.pmod(F.col("_place") - F.col("draw"), F.col("_size")))
+        seen = input_window(events.select("stay_id", "minute", "variable"), placed, max_minute).select(*WINDOW, "variable").distinct()
+        drawn = first_kept(placed.join(seen, list(WINDOW)), [*WINDOW, "variable", "draw"], p, seed)
+        return drawn.withColumn("_visit", F.col("cycle") * F.col("_size") + F.col("_offset"))
+
+    early = keyed.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= ahead + draws - 1)
+    early = settle(early.join(size, "stay_id").select("stay_id", "t1", (F.col("_rank") - 1).alias("_place"), "_size", every_draw))
+    near = visits(early.filter(F.pmod(F.col("_place") - F.col("draw"), F.col("_size")) < ahead))
+    found = settle(near.filter("cycle = 0"))
+    open_draws = settle(size.select("stay_id", "_size", every_draw).join(found.select("stay_id", "draw").distinct(), ["stay_id", "draw"], "left_anti"))
+    rest = keyed.join(open_draws.select("stay_id").distinct(), "stay_id", "left_semi")
+    late = numbered(rest, ["_u", "t1"], "_number", ["stay_id"]).select("stay_id", "t1", (F.col("_number") - 1).alias("_place"))
+    visited = found.unionByName(visits(late.join(open_draws, "stay_id")).select(*found.columns))
+    least = visited.groupBy("stay_id", "draw").agg(F.min("_visit").alias("_visit"))
+    return visited.join(least, ["stay_id", "draw", "_visit"]).select("stay_id", "draw", "t1", "variable")
+
+
 def input_window(events: DataFrame, windows: DataFrame, max_minute: int) -> DataFrame:
     """Events with ``t1 - max_minute <= minute <= t1`` for every distinct window; adds ``t1``."""
     ends = windows.select(*WINDOW).distinct()
@@ -172,8 +221,9 @@ def assemble_samples(
     max_events: int,
     targets: DataFrame | None = None,
     seed: int = 42,
+    keys: tuple[str, ...] = WINDOW,
 ) -> DataFrame:
-    """One row of aligned arrays per window, sorted by minute and variable.
+    """One row of aligned arrays per window (a value of ``keys``), sorted by minute and variable.
 
     ``window_events`` carries ``var_id`` and optionally ``label``. Events are capped first, so an
     array never holds more than ``max_events``.
@@ -181,17 +231,17 @@ def assemble_samples(
     label = ["label"] if "label" in window_events.columns else []
     event = F.struct("minute", "var_id", F.col("value").cast("float").alias("value"))
     # Times count from the first event before the cap; one row per window carries it.
-    first = window_events.groupBy(*WINDOW).agg(F.min("minute").alias("_first"))
+    first = window_events.groupBy(*keys).agg(F.min("minute").alias("_first"))
     samples = (
-        cap_events(window_events, max_events, seed)
-        .groupBy(*WINDOW, *label)
+        cap_events(window_events, max_events, seed, keys)
+        .groupBy(*keys, *label)
         .agg(F.array_sort(F.collect_list(event)).alias("_events"))
-        .join(first, list(WINDOW))
+        .join(first, list(keys))
     )
     times = F.transform("_events.minute", lambda m: scaled_time(m, F.col("_first"), max_minute).cast("float"))
     traits = demographics.select("stay_id", F.array(F.col("age"), F.col("gender")).cast("array<float>").alias("demographics"))
     samples = samples.join(traits, "stay_id").select(
-        *WINDOW,
+        *keys,
         F.col("_events.value").alias("values"),
         times.alias("times"),
         F.col("_events.var_id").alias("variables"),

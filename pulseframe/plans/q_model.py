@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulseframe.functions.keyed import uniform
 from pulseframe.operators import batches, scalers, windows
 from pulseframe.operators.stats import ecdf_curve as curve, transform_comparison as compare_transforms
+from pulseframe.plans import inputs
 from pulseframe.plans.oracle_views import VIEWS, ecdf_sql, interpolate_sql, u, zscore_sql
 from pulseframe.plans.registry import query, r
 from pulseframe.plans.views import Tables
-from pulseframe.session import settle
+from pulseframe.session import scratch_path, settle
 
 INPUT_MINUTES = 720
 WINDOW_MINUTES = 1440
@@ -321,3 +322,99 @@ VIEWS["v_pe_q"] = "SELECT variable, quantile AS value FROM v_pe JOIN v_knots USI
        + " UNION ALL ".join(_even_histogram(s, n) for s, n in (("v_pe", "original"), ("v_pe_z", "zscore"), ("v_pe_q", "ecdf"))) + ")")
 def transform_comparison(t: Tables) -> DataFrame:
     return compare_transforms(t.processed).select("variable", "bin", r("left_edge"), r("right_edge"), "count", "space")
+
+
+# --- composed model input: fitted on four stays of five, stored, read back, applied to the others ----------------
+DROPOUT = 0.95
+TRAIN, OTHER = "stay_id % 5 <> 0", "stay_id % 5 = 0"
+VIEWS.update({
+    "v_in_variables": f"""
+      SELECT variable, CAST(row_number() OVER (ORDER BY variable) - 1 AS INTEGER) AS var_id, mean, std
+      FROM ({zscore_sql(f'(SELECT * FROM v_pe WHERE {TRAIN})')})""",
+    "v_in_traits": f"""
+      SELECT stay_id, (age - (SELECT avg(age) FROM v_stay_traits WHERE {TRAIN})) / (SELECT stddev_samp(age) FROM v_stay_traits WHERE {TRAIN}) AS age,
+        gender * 2 - 1 AS gender FROM v_stay_traits""",
+    "v_in_events": f"""
+      SELECT stay_id, minute - min(minute) OVER (PARTITION BY stay_id) AS minute, variable, var_id, (value - mean) / std AS value
+      FROM v_pe JOIN v_in_variables USING (variable) WHERE {OTHER}""",
+    "v_in_placed": f"""
+      SELECT stay_id, t1, draw, size, CAST((row_number() OVER (PARTITION BY stay_id, draw ORDER BY {u(['stay_id', 't1'], "'t1'")}, t1) - 1 - draw) % size + size AS BIGINT) % size AS place
+      FROM (SELECT *, count(*) OVER (PARTITION BY stay_id) AS size FROM (
+        SELECT DISTINCT stay_id, minute AS t1 FROM (SELECT *, max(minute) OVER (PARTITION BY stay_id) AS last FROM v_in_events)
+        WHERE minute >= {INPUT_MINUTES} AND minute < last)), (SELECT CAST(unnest(range({DRAWS})) AS INTEGER) AS draw)""",
+    "v_in_kept": f"""
+      SELECT stay_id, draw, t1, variable FROM (
+        SELECT *, CAST(floor(ln(1 - {u(['stay_id', 't1', 'variable', 'draw'], "'kept'")}) / ln({DROPOUT}::DOUBLE)) AS BIGINT) * size + place AS visit
+        FROM (SELECT DISTINCT p.*, variable FROM v_in_placed p JOIN v_in_events e ON p.stay_id = e.stay_id AND minute BETWEEN t1 - {WINDOW_MINUTES} AND t1))
+      QUALIFY visit = min(visit) OVER (PARTITION BY stay_id, draw)""",
+    "v_in_window": f"""
+      SELECT k.stay_id, draw, t1, minute, k.variable, var_id, value,
+        (minute - (min(minute) OVER (PARTITION BY k.stay_id, draw, t1) + {WINDOW_MINUTES / 2}::DOUBLE)) / {WINDOW_MINUTES / 2}::DOUBLE AS time
+      FROM v_in_kept k JOIN v_in_events e ON k.stay_id = e.stay_id AND k.variable = e.variable AND minute BETWEEN t1 - {WINDOW_MINUTES} AND t1""",
+    "v_in_samples": f"""
+      SELECT stay_id, draw, t1, list(value ORDER BY minute, var_id) AS vals, list(time ORDER BY minute, var_id) AS times, list(var_id ORDER BY minute, var_id) AS variables
+      FROM (SELECT * FROM v_in_window QUALIFY row_number() OVER (
+        PARTITION BY stay_id, draw, t1 ORDER BY {u(['stay_id', 'draw', 't1', 'variable', 'minute'], "'cap'")}, variable, minute) <= {MAX_EVENTS}) GROUP BY ALL""",
+    "v_in_forecast": f"""
+      SELECT stay_id, t1, list(coalesce(m, 0) ORDER BY var_id) AS vals, list(m IS NOT NULL ORDER BY var_id) AS mask FROM (
+        SELECT e.stay_id, e.t1, v.var_id, f.m FROM (SELECT DISTINCT stay_id, t1 FROM v_in_kept) e CROSS JOIN v_in_variables v LEFT JOIN (
+          SELECT p.stay_id, t1, p.var_id, avg(value) AS m FROM v_in_events p JOIN (SELECT DISTINCT stay_id, t1 FROM v_in_kept) w ON p.stay_id = w.stay_id
+            AND minute > t1 AND minute <= t1 + {FORECAST} GROUP BY ALL) f
+        ON e.stay_id = f.stay_id AND e.t1 = f.t1 AND v.var_id = f.var_id) GROUP BY ALL""",
+    "v_in_early": f"""
+      SELECT stay_id, minute, variable, var_id, value, label FROM (
+        SELECT *, min(cycle) OVER (PARTITION BY stay_id) AS least FROM (
+          SELECT e.*, CASE WHEN died THEN 1 ELSE 0 END AS label, CAST(floor(ln(1 - {u(['stay_id', 'variable'], "'kept'")}) / ln({DROPOUT}::DOUBLE)) AS BIGINT) AS cycle
+          FROM v_in_events e JOIN v_stay_labels USING (stay_id) WHERE minute <= {WINDOW_MINUTES})) WHERE cycle = least""",
+    "v_in_labeled": f"""
+      SELECT stay_id, label, list(value ORDER BY minute, var_id) AS vals, list(time ORDER BY minute, var_id) AS times, list(var_id ORDER BY minute, var_id) AS variables
+      FROM (SELECT *, (minute - (min(minute) OVER (PARTITION BY stay_id) + {WINDOW_MINUTES / 2}::DOUBLE)) / {WINDOW_MINUTES / 2}::DOUBLE AS time FROM v_in_early
+        QUALIFY row_number() OVER (PARTITION BY stay_id ORDER BY {u(['stay_id', 't', 'variable', 'minute'], "'cap'").replace("CAST(t AS VARCHAR)", f"'{WINDOW_MINUTES}'")}, variable, minute) <= {MAX_EVENTS})
+      GROUP BY ALL""",
+})
+
+
+def _fitted(t: Tables) -> inputs.Fitted:
+    path = scratch_path(t.spark, "fitted")
+    inputs.save(inputs.fit(t.processed.filter(TRAIN), t.stay_traits.filter(TRAIN), WINDOW_MINUTES), path)
+    return inputs.load(t.spark, path)
+
+
+IN_WIDTH = "CAST(ceil(max(len(vals)) OVER (PARTITION BY batch_id) / 8.0) AS INTEGER) * 8"
+IN_PADDED = f"""
+    {text_sql('list_concat(w.vals, list_resize(CAST([] AS DOUBLE[]), width - len(w.vals), 99.0))', 'vals')},
+    {text_sql('list_concat(times, list_resize(CAST([] AS DOUBLE[]), width - len(w.vals), 99.0))', 'times')},
+    array_to_string(list_concat(variables, list_resize(CAST([] AS INTEGER[]), width - len(w.vals), 99)), ',') AS variables"""
+
+
+def _shown(rows: DataFrame) -> list[Column]:
+    return [
+        "batch_id", text("values", "vals"), text("times", "times"), ids("variables", "variables"),
+        F.round(F.col("demographics")[0].cast("double"), 4).alias("age"), F.col("demographics")[1].cast("int").alias("gender"),
+    ]
+
+
+@query(f"""
+  WITH placed AS (
+    SELECT *, (row_number() OVER (ORDER BY len(vals) DESC, stay_id, draw, t1) - 1) // {BATCH} AS batch_id FROM v_in_samples),
+  wide AS (SELECT *, {IN_WIDTH} AS width FROM placed)
+  SELECT w.stay_id, draw, w.t1, batch_id, {IN_PADDED}, round(CAST(CAST(age AS FLOAT) AS DOUBLE), 4) AS age, CAST(gender AS INTEGER) AS gender,
+    {text_sql('f.vals', 'forecast_values')}, array_to_string(f.mask, ',') AS forecast_mask
+  FROM wide w JOIN v_in_forecast f ON w.stay_id = f.stay_id AND w.t1 = f.t1 JOIN v_in_traits d ON w.stay_id = d.stay_id""")
+def pretrain_input_end_to_end(t: Tables) -> DataFrame:
+    samples = inputs.pretrain_input(
+        t.processed.filter(OTHER), t.stay_traits, _fitted(t), min_input=INPUT_MINUTES, forecast=FORECAST, max_events=MAX_EVENTS, dropout=DROPOUT, draws=DRAWS
+    )
+    rows = inputs.batched(samples, BATCH, 99)
+    return rows.select("stay_id", "draw", "t1", *_shown(rows), text("forecast_values", "forecast_values"), ids("forecast_mask", "forecast_mask"))
+
+
+@query(f"""
+  WITH placed AS (SELECT *, (row_number() OVER (ORDER BY len(vals) DESC, stay_id) - 1) // {BATCH} AS batch_id FROM v_in_labeled),
+  wide AS (SELECT *, {IN_WIDTH} AS width FROM placed)
+  SELECT w.stay_id, label, batch_id, {IN_PADDED}, round(CAST(CAST(age AS FLOAT) AS DOUBLE), 4) AS age, CAST(gender AS INTEGER) AS gender
+  FROM wide w JOIN v_in_traits d ON w.stay_id = d.stay_id""")
+def finetune_input_end_to_end(t: Tables) -> DataFrame:
+    samples = inputs.finetune_input(t.processed.filter(OTHER), t.stay_labels, t.stay_traits, _fitted(t), max_events=MAX_EVENTS, dropout=DROPOUT)
+    rows = inputs.batched(samples, BATCH, 99, ("stay_id", "t1"))
+    return rows.select("stay_id", F.col("label").cast("int").alias("label"), *_shown(rows))
