@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseframe.operators.joins import attach
-from pulseframe.operators.ordered import running, value_counts
+from pulseframe.operators.ordered import numbered, value_counts
 from pulseframe.session import settle
 
 
@@ -36,60 +36,85 @@ def ecdf_fit(events: DataFrame) -> DataFrame:
     )
 
 
-def _interpolate(events: DataFrame, knots: DataFrame, cols: tuple[str, ...], x: str, y: str) -> DataFrame:
-    """Replace ``cols`` by the line through the neighbouring knots (x, y), clamped at the ends.
+#: Knots of a leaf, and children of a node above them.
+WIDTH = 256
+
+
+class KnotIndex:
+    """Knots (x, y) of every variable in sorted leaves, with levels of fences above them.
 
-    Each distinct value is looked up once: the distinct values and the knots are sorted together,
-    the last knot before and the first knot after are running aggregates, and the result is joined
-    back to the events by value.
+    A node holds the first x of up to ``WIDTH`` children, whose numbers follow from its own, so a value finds
+    its leaf by one equi-join a level, from the one node at the top of its variable down. Events are
+    neither sorted nor joined on their values; only the knots, which are fewer, are sorted once.
     """
-    asked = events.select("variable", F.explode(F.array(*cols)).alias("_x")).filter("_x is not null and not isnan(_x)").distinct()
-    known = knots.select("variable", F.col(x).cast("double").alias("_x"), F.struct(x, y).alias("_knot"))
-    merged = asked.unionByName(known, allowMissingColumns=True).groupBy("variable", "_x").agg(
-        F.max("_knot").alias("_knot")
-    )
-    placed = running(
-        merged,
-        ["variable"],
-        ["_x"],
-        {"_left": ("max", F.col("_knot"))},
-        backward={"_right": ("min", F.col("_knot"))},
-    )
-    x0, y0, x1, y1 = (F.col(c) for c in (f"_left.{x}", f"_left.{y}", f"_right.{x}", f"_right.{y}"))
-    line = (
-        F.when(F.col("_left").isNull(), y1)
-        .when(F.col("_right").isNull() | (x1 == x0), y0)
-        .otherwise(y0 + (y1 - y0) / (x1 - x0) * (F.col("_x") - x0))
-    )
-    table = placed.filter("_left is not null or _right is not null").select(
-        "variable", "_x", line.alias("_y")
-    )
-    return _look_up(events, table, cols)
 
+    def __init__(self, knots: DataFrame, x: str, y: str, width: int = WIDTH):
+        self.width = width
+        known = knots.select("variable", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL")
+        placed = numbered(known, ["x", "y"], keys=["variable"])
+        leaves = self._nodes(placed.withColumn("child", F.col("row") - 1), F.struct("x", "y"), "knots")
+        ahead = leaves.select("variable", (F.col("node") - 1).alias("node"), F.col("knots")[0].alias("next"))
+        self.leaves = settle(leaves.join(ahead, ["variable", "node"], "left"))
+        self.levels: list[DataFrame] = []
+        children = self.leaves.select("variable", F.col("node").alias("child"), F.col("knots.x")[0].alias("x"))
+        while (children.agg(F.max("child")).first()[0] or 0) > 0 or not self.levels:
+            level = settle(self._nodes(children, F.struct("x"), "fences"))
+            self.levels.append(level)
+            children = level.select("variable", F.col("node").alias("child"), F.col("fences.x")[0].alias("x"))
+
+    def _nodes(self, children: DataFrame, entry: Column, name: str) -> DataFrame:
+        node = F.floor(F.col("child") / self.width).alias("node")
+        return children.groupBy("variable", node).agg(F.array_sort(F.collect_list(entry)).alias(name))
+
+    def _upto(self, entries: Column, value: Column) -> Column:
+        """How many of the sorted entries have an x up to ``value``, by halving steps."""
+        steps, step = [], 1
+        while step <= self.width:
+            steps.insert(0, step)
+            step *= 2
+
+        def halve(found: Column, step: Column) -> Column:
+            ahead = found + step
+            return F.when((ahead <= F.size(entries)) & (F.try_element_at(entries, ahead)["x"] <= value), ahead).otherwise(found)
+
+        return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
+
+    def look_up(self, events: DataFrame, column: str) -> DataFrame:
+        """``column`` replaced by the line through its neighbouring knots, clamped at the ends.
+
+        A missing value stays missing; a value of a variable without knots loses its row.
+        """
+        value, names = F.col(column), events.columns
+        missing = value.isNull() | F.isnan(column)
+        found = events.withColumn("_node", F.lit(0).cast("bigint"))
+        for level in reversed(self.levels):
+            fences = level.withColumnsRenamed({"node": "_node", "fences": "_fences"})
+            found = attach(found, fences, ["variable", "_node"], "left")
+            child = F.greatest(self._upto(F.col("_fences"), value), F.lit(1)) - 1
+            found = found.withColumn("_node", F.col("_node") * self.width + child).drop("_fences")
+        leaves = self.leaves.withColumnsRenamed({"node": "_node", "knots": "_knots", "next": "_next"})
+        found = attach(found, leaves, ["variable", "_node"], "left").withColumn("_at", self._upto(F.col("_knots"), value))
+        left, right = F.try_element_at("_knots", F.greatest("_at", F.lit(1))), F.coalesce(F.try_element_at("_knots", F.col("_at") + 1), F.col("_next"))
+        line = left["y"] + (right["y"] - left["y"]) / (right["x"] - left["x"]) * (value - left["x"])
+        result = F.when((F.col("_at") == 0) | (left["x"] == value) | right.isNull(), left["y"]).otherwise(line)
+        kept = found.filter(F.col("_knots").isNotNull() | missing)
+        return kept.withColumn(column, F.when(missing, value).otherwise(result)).select(*names)
 
-def _look_up(events: DataFrame, table: DataFrame, cols: tuple[str, ...]) -> DataFrame:
-    """Replace each column by ``_y`` of its ``_x``.
 
-    A missing value stays missing; a value without a result belongs to a variable without knots.
-    """
-    table, result = settle(table), events
-    for col in cols:
-        missing = F.col(col).isNull() | F.isnan(col)
-        found = attach(result.withColumn("_x", F.col(col)), table, ["variable", "_x"], "left")
-        result = found.filter(F.col("_y").isNotNull() | missing).withColumn(col, F.coalesce("_y", col)).select(*events.columns)
-    return result
+def _interpolate(events: DataFrame, knots: DataFrame, cols: tuple[str, ...], x: str, y: str) -> DataFrame:
+    index = KnotIndex(knots, x, y)
+    for column in cols:
+        events = index.look_up(events, column)
+    return events
 
 
 def ecdf_transform(events: DataFrame, knots: DataFrame, *cols: str, fitted: bool = False) -> DataFrame:
     """Value -> quantile. Events of variables without knots are dropped.
 
-    ``fitted`` says that the knots were fitted on these very events: every value has its own knot,
-    and one equi-join does it.
+    ``fitted`` says that the knots were fitted on these very events; every value then is a knot, and its
+    quantile is returned as it is. Both ways read the same index.
     """
-    cols = cols or ("value",)
-    if fitted:
-        return _look_up(events, knots.select("variable", F.col("value").alias("_x"), F.col("quantile").alias("_y")), cols)
-    return _interpolate(events, knots, cols, "value", "quantile")
+    return _interpolate(events, knots, cols or ("value",), "value", "quantile")
 
 
 def ecdf_inverse(events: DataFrame, knots: DataFrame, *cols: str) -> DataFrame:

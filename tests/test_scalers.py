@@ -87,3 +87,33 @@ def test_time_scale(spark):
     rows = spark.createDataFrame([(1, 9, m) for m in (0, 1440, 2880)], "stay_id long, t1 int, minute int")
     got = scalers.time_scale(rows, 2880).orderBy("minute").collect()
     assert [r.time for r in got] == [-1.0, 0.0, 1.0]
+
+
+@pytest.mark.parametrize("width", [2, 3, 256])
+def test_knot_index_of_any_depth(spark, width):
+    """Values before, on, between and after the knots, through several levels of fences."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    xs = {v: np.unique(np.round(rng.normal(size=n) * 10, 3)) for v, n in (("one", 1), ("two", 2), ("many", 400))}
+    knots = spark.createDataFrame([(v, float(x), float(x) ** 3 + i) for v, own in xs.items() for i, x in enumerate(own)], "variable string, value double, quantile double").repartition(3)
+    asked = [(v, float(x)) for v, own in xs.items() for x in [*own[:50], *(own[:50] + 0.0004), -1e9, 1e9, 0.0]]
+    asked += [("many", None), ("many", float("nan")), ("other", 1.0), ("other", None)]
+    events = spark.createDataFrame([(i, v, x) for i, (v, x) in enumerate(asked)], "id int, variable string, value double").repartition(4)
+    found = {r.id: r.value for r in scalers.KnotIndex(knots, "value", "quantile", width).look_up(events, "value").collect()}
+    for i, (v, x) in enumerate(asked):
+        if v == "other" and x is not None:
+            assert i not in found
+        elif x is None or x != x:
+            assert found[i] is None or found[i] != found[i]
+        else:
+            ys = [y**3 + k for k, y in enumerate(xs[v])]
+            assert found[i] == pytest.approx(np.interp(x, xs[v], ys), rel=1e-9, abs=1e-9)
+    none = scalers.KnotIndex(knots.filter("false"), "value", "quantile", width).look_up(events, "value").collect()
+    assert sorted(asked[r.id][0] for r in none) == ["many", "many", "other"]
+
+
+def test_events_are_not_sorted_for_the_look_up(spark, tables):
+    knots = scalers.ecdf_fit(tables.processed)
+    plan = scalers.ecdf_transform(tables.processed, knots)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
