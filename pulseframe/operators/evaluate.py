@@ -71,6 +71,26 @@ def minrp(preds: DataFrame) -> DataFrame:
     return pr_curve(preds).agg(F.max(F.least("precision", "recall")).alias("minrp"))
 
 
+def score_metrics(preds: DataFrame) -> DataFrame:
+    """One row: mean_prediction, auroc, pr_auc, pr_roc_auc_sum and minrp, all from one table of thresholds.
+
+    The scores are sorted once; ranges of them carry the counts of the ranges before, and every measure
+    is a sum or a maximum over thresholds. Areas are those of ``auroc`` and ``pr_auc``; without
+    predictions there is no mean, and areas that a missing class leaves undefined are as there.
+    """
+    tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
+    strip = neg * (tp - pos / F.lit(2.0))
+    height = (_precision(tp, fp) + _precision(tp - pos, fp - neg)) / F.lit(2.0)
+    roc = F.coalesce(F.try_divide(F.sum(strip), F.max(F.col("tp_total").cast("double") * F.col("fp_total"))), F.lit(0.0))
+    measures = thresholds(preds).agg(
+        F.try_divide(F.sum(F.col("score") * (pos + neg)), F.sum(pos + neg)).alias("mean_prediction"),
+        roc.alias("auroc"),
+        F.sum(F.try_divide(pos, F.col("tp_total")) * height).alias("pr_auc"),
+        F.coalesce(F.max(F.least(_precision(tp, fp), F.try_divide(tp, F.col("tp_total")))), F.lit(0.0)).alias("minrp"),
+    )
+    return measures.withColumn("pr_roc_auc_sum", F.col("pr_auc") + F.col("auroc"))
+
+
 def log_loss(preds: DataFrame, weight: float | DataFrame | None = None) -> DataFrame:
     """Mean binary cross entropy from ``logit``, unweighted and times ``weight``.
 

@@ -86,10 +86,9 @@ def _quantile_sql(p: str) -> str:
   SELECT variable, round(avg(abs(z - {_quantile_sql('p')})), 6) AS wasserstein_distance FROM (
     SELECT variable, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS z,
       (row_number() OVER (PARTITION BY variable ORDER BY value) - 0.5::DOUBLE) / count(*) OVER w AS p
-    FROM {SAMPLED.replace(str(SAMPLE_N), '5000')} WINDOW w AS (PARTITION BY variable)) GROUP BY variable""")
+    FROM v_point_events WINDOW w AS (PARTITION BY variable)) GROUP BY variable""")
 def normality_distance(t: Tables) -> DataFrame:
-    sample = stats.stratified_sample(t.point_events, 5_000, ["event_id"])
-    return stats.normality_distance(sample).select("variable", r("wasserstein_distance"))
+    return stats.normality_distance(t.point_events).select("variable", r("wasserstein_distance"))
 
 
 JOURNEY = f"""
@@ -307,6 +306,21 @@ def pr_auc(t: Tables) -> DataFrame:
     return evaluate.pr_auc(t.predictions).select(r("pr_auc", 9))
 
 
+@query(f"""
+  WITH roc AS (
+    SELECT (sum(rank) FILTER (label = 1) - p * (p + 1) / 2::DOUBLE) / (p * (count(*) - p)) AS auroc FROM (
+      SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2::DOUBLE AS rank,
+        sum(label) OVER () AS p FROM v_predictions) GROUP BY p),
+  pr AS (
+    SELECT sum((recall - before) * (precision + prior) / 2) AS pr_auc, max(least(precision, recall)) AS minrp FROM (
+      SELECT precision, recall, lag(recall) OVER w AS before, lag(precision) OVER w AS prior FROM ({PR_POINTS})
+      WINDOW w AS (ORDER BY threshold DESC)))
+  SELECT round((SELECT avg(score) FROM v_predictions), 9) AS mean_prediction, round(auroc, 9) AS auroc, round(pr_auc, 9) AS pr_auc,
+    round(pr_auc + auroc, 9) AS pr_roc_auc_sum, round(minrp, 9) AS minrp FROM roc, pr""")
+def score_metrics(t: Tables) -> DataFrame:
+    return evaluate.score_metrics(t.predictions).select(*[r(c, 9) for c in ("mean_prediction", "auroc", "pr_auc", "pr_roc_auc_sum", "minrp")])
+
+
 @query(f"SELECT round(max(least(precision, recall)), 9) AS minrp FROM ({PR_POINTS})")
 def minrp(t: Tables) -> DataFrame:
     return evaluate.minrp(t.predictions).select(r("minrp", 9))
