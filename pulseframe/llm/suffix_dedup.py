@@ -12,7 +12,9 @@ anchor repeats if another member agrees with it on at least ``o`` bytes to the l
 to the right: runs of the two orders whose common prefixes are that long. Bytes decide here, hashes only
 bring candidates together.
 
-An anchor hash with more than ``CROWDED`` members is not sorted in one task. Its members are first classed by
+Where all members of an anchor hash have the same bytes for all their strings, the strings repeat as they
+are and are not looked at again; digests taken with the anchors tell. Any other anchor
+hash with more than ``CROWDED`` members is not sorted in one task. Its members are first classed by
 all bytes they stand for: a class of two or more repeats as a whole, and one member speaks for it from then
 on. Where an anchor has several classes, the offsets of the speakers are cut into stretches of ``STRETCH``;
 all strings of a stretch share a core, and strings with different cores differ. Speakers are classed by core
@@ -225,27 +227,35 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) ->
     """
 
     def list_anchors(batch: pa.RecordBatch):
-        hashes, places, ids, marks = [], [], [], []
+        hashes, places, ids, marks, wholes = [], [], [], [], []
         for text, i, m in zip(bytes_of(batch.column("text")), batch.column("id").to_pylist(), batch.column("mark").to_pylist()):
-            h, place, _, _ = anchors(text, size)
+            h, place, first, last = anchors(text, size)
             hashes.append(h.view(np.int64))
+            wholes.append(np.array([xxhash.xxh3_64_intdigest(text[a : b + size], p - a) for p, a, b in zip(place.tolist(), first.tolist(), last.tolist())], np.uint64).view(np.int64))
             places.append(place)
             ids.append(np.full(len(h), i, np.int64))
             marks.append(np.full(len(h), m, np.int64))
-        return pa.record_batch([pa.array(np.concatenate(x)) for x in (hashes, places, ids, marks)], ["hash", "place", "id", "mark"])
+        return pa.record_batch([pa.array(np.concatenate(x)) for x in (hashes, places, ids, marks, wholes)], ["hash", "place", "id", "mark", "whole"])
 
-    listed = arrow_pass(docs, list_anchors, "hash bigint, place bigint, id bigint, mark bigint", "text")
+    listed = arrow_pass(docs, list_anchors, "hash bigint, place bigint, id bigint, mark bigint, whole bigint", "text")
     # Stored, so that both sides of the join are plain exchanges and a hot hash is split.
-    counts = settle(listed.groupBy("hash").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    few = F.col("members") <= crowded
-    again = listed.join(counts, "hash").groupBy("id", "mark").agg(F.collect_set(F.when(few, F.col("place"))).alias("places"), F.collect_set(F.when(~few, F.col("place"))).alias("crowds"))
+    kinds = listed.groupBy("hash").agg(F.count(F.lit(1)).alias("members"), (F.min("whole") == F.max("whole")).alias("same"))
+    counts = settle(kinds.filter("members > 1"))
+    of = lambda kind: F.collect_set(F.when(kind, F.col("place")))
+    few = ~F.col("same") & (F.col("members") <= crowded)
+    again = listed.drop("whole").join(counts, "hash").groupBy("id", "mark").agg(
+        of(F.col("same")).alias("settled"), of(few).alias("places"), of(~F.col("same") & (F.col("members") > crowded)).alias("crowds")
+    )
 
     def list_members(batch: pa.RecordBatch):
         rows = []
-        columns = (batch.column(c).to_pylist() for c in ("id", "mark", "places", "crowds"))
-        for text, i, m, places, crowds in zip(bytes_of(batch.column("text")), *columns):
+        columns = (batch.column(c).to_pylist() for c in ("id", "mark", "settled", "places", "crowds"))
+        for text, i, m, settled, places, crowds in zip(bytes_of(batch.column("text")), *columns):
             h, place, first, last = anchors(text, size)
             few, many = np.isin(place, np.array(places, np.int64)), np.isin(place, np.array(crowds, np.int64))
+            known = np.flatnonzero(np.isin(place, np.array(settled, np.int64)))
+            for a, b in merged([(int(first[k]), int(last[k]) + size) for k in known]):
+                rows.append((i, m, *[None] * 8, a, b - a, None))
             for k in np.flatnonzero(few | many).tolist():
                 p, a, b = int(place[k]), int(first[k]), int(last[k])
                 if few[k]:
@@ -256,10 +266,11 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, crowded: int = CROWDED) ->
 
     schema = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'bigint'}" for f in MEMBER)
     # One join with the texts serves both ways, so its rows are stored.
-    around = store(arrow_pass(docs.join(again, ["id", "mark"]).select("id", "mark", "places", "crowds", "text"), list_members, schema, "text"), "members")
+    around = store(arrow_pass(docs.join(again, ["id", "mark"]).select("id", "mark", "settled", "places", "crowds", "text"), list_members, schema, "text"), "members")
     few = around.filter("count IS NULL").select("hash", "id", "mark", "place", "near", "far", "left", "right")
-    found = sorted_spans(few, size)
-    rows = around.filter("count IS NOT NULL").select("hash", *WHOLE, "id", "mark", "start", "count", "shared")
+    whole = around.filter("hash IS NULL").select("id", "mark", "start", (F.col("start") + F.col("count")).alias("end"))
+    found = whole.union(sorted_spans(few, size))
+    rows = around.filter("hash IS NOT NULL AND count IS NOT NULL").select("hash", *WHOLE, "id", "mark", "start", "count", "shared")
     if rows.head(1):
         found = found.union(crowded_spans(docs, rows, size, crowded))
     return found.groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
