@@ -1,15 +1,16 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A text is the set of the digests of its paragraphs: lines, cut after ``LONGEST`` characters. A sketch
-has three tables of cells; a digest goes to one cell of each, where a count, the digests' exclusive or
-and that of their checks are kept. Two sketches of the same shape subtract cell by cell, what both
-texts have vanishes, and peeling recovers the rest: a cell that holds one digest gives it away, it is
-taken out of its other cells, and so on. If cells remain, the sketch was too small for the difference
-and a larger one is tried.
-
-To keep the work in proportion to a text's length, larger differences are split by the digests' first
-bits into parts of a few digests, each with a sketch of its own that is enlarged by itself. Everything
-is column expressions over the row of a document and the one after it.
+A text is the set of the digests of its paragraphs: lines, and the sentences of a line. Nothing is cut by
+length, so a word put in changes the paragraph it is in and no other. The digests are dealt by their first
+bits into parts of ``PART`` digests at most on average, and each part is a sketch: three tables of cells; a
+digest goes to one cell of each, where a count, the digests' exclusive or and that of their checks are kept.
+All cells of all parts are the fingerprint. Two fingerprints of one shape subtract cell by cell, what both
+texts have vanishes, and peeling recovers the rest: a cell that holds one digest gives it away, it is taken
+out of its other cells, and so on. If cells remain, the sketch of that part was too small for the difference
+and a larger one of it is tried, with other bits choosing the cells. Of two texts of different shapes the
+smaller one is sketched anew in the larger shape.
+
+Everything is column expressions over the row of a document and the one after it.
 """
 
 from __future__ import annotations
@@ -18,21 +19,28 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Characters (code points) of a paragraph at most.
-LONGEST = 120
-#: Cells of one table: of the fingerprint and of the first try, and of the larger tries.
-WIDTH = 4
-LARGER = (8, 16, 64)
-#: Digests of both texts that a part has on average; with four, about one part in nine needs a larger try.
-PART = 4
+from pulseframe.operators.joins import attach
+from pulseframe.operators.ordered import numbered, running
+from pulseframe.session import settle
+
+#: Where paragraphs part: line ends, and blanks after the end of a sentence.
+ENDS = r"[\n\r]+|(?<=[.!?])[ \t]+"
+#: Cells of one table of a part, and in the larger tries; the first bit that chooses a cell.
+WIDTH = 8
+SIZES = ((WIDTH, 0), (16, 9), (64, 21))
+#: Digests of a text that a part has on average at most.
+PART = 6
 ROUNDS = 16
-ROWS_PER_RANGE = 1024
+#: Code points that a range of ids holds, about.
+RANGE_CHARS = 32 << 20
+#: Ranges found by constants; each of them stands for a list of ranges in a small table.
+FENCES = 256
 
 
 def digests(text: Column) -> Column:
-    """The distinct digests of the paragraphs, white space at their ends aside."""
-    lines = F.transform(F.regexp_extract_all(text, F.lit(rf"[^\n\r]{{1,{LONGEST}}}"), 0), lambda p: F.trim(p))
-    return F.array_distinct(F.transform(F.filter(lines, lambda p: p != ""), lambda p: F.xxhash64(p)))
+    """The distinct digests of the paragraphs, blanks at their ends aside."""
+    found = F.transform(F.split(text, ENDS), lambda p: F.trim(p))
+    return F.array_distinct(F.transform(F.filter(found, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
 def unsigned_shift(value: Column, bits: Column) -> Column:
@@ -40,13 +48,13 @@ def unsigned_shift(value: Column, bits: Column) -> Column:
 
 
 def check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit(1))
+    return F.xxhash64(digest, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def cell_places(width: int) -> Column:
+def cell_places(width: int, first: int) -> Column:
     """Where the cells of three tables are: how far a digest is shifted, and the slot it must then show."""
     bits = int(math.log2(width))
-    places = (f"named_struct('shift', {table * bits}, 'slot', {slot}L)" for table in range(3) for slot in range(width))
+    places = (f"named_struct('shift', {first + table * bits}, 'slot', {slot}L)" for table in range(3) for slot in range(width))
     return F.expr(f"array({', '.join(places)})")  # one constant; built column by column it takes seconds of the driver
 
 
@@ -58,7 +66,7 @@ def cell(count: Column, key: Column, sign: Column) -> Column:
     return F.struct(count.cast("int").alias("count"), key.alias("key"), sign.alias("sign"))
 
 
-def sketch(found: Column, width: int) -> Column:
+def sketch(found: Column, width: int = WIDTH, first: int = 0) -> Column:
     """The cells of a set of digests."""
     empty = cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
 
@@ -66,7 +74,7 @@ def sketch(found: Column, width: int) -> Column:
         add = lambda c, d: cell(c["count"] + 1, c["key"].bitwiseXOR(d), c["sign"].bitwiseXOR(check(d)))
         return F.aggregate(found, empty, lambda c, d: F.when(held(d, place, width), add(c, d)).otherwise(c))
 
-    return F.transform(cell_places(width), fill)
+    return F.transform(cell_places(width, first), fill)
 
 
 def subtract(one: Column, two: Column) -> Column:
@@ -78,8 +86,11 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def peel(cells: Column, width: int) -> Column:
-    """How many digests the difference has, or null where peeling gets stuck."""
+def peel(cells: Column, width: int = WIDTH, first: int = 0) -> Column:
+    """The digests (key, count) that a subtracted sketch holds, or null where peeling gets stuck.
+
+    The count is 1 for a digest of the first set only, -1 for one of the second only.
+    """
 
     def step(state: Column, _: Column) -> Column:
         lone = F.filter(state["cells"], lambda c: (F.abs(c["count"]) == 1) & (c["sign"] == check(c["key"])))
@@ -90,21 +101,26 @@ def peel(cells: Column, width: int) -> Column:
                 out = lambda c, k: cell(c["count"] - k["count"], c["key"].bitwiseXOR(k["key"]), c["sign"].bitwiseXOR(check(k["key"])))
                 return F.aggregate(keys, c, lambda c, k: F.when(held(k["key"], place, width), out(c, k)).otherwise(c))
 
-            left = F.when(F.size(keys) == 0, state["cells"]).otherwise(F.zip_with(state["cells"], cell_places(width), take))
-            return F.struct(left.alias("cells"), (state["found"] + F.size(keys)).alias("found"), (F.size(keys) == 0).alias("still"))
+            left = F.when(F.size(keys) == 0, state["cells"]).otherwise(F.zip_with(state["cells"], cell_places(width, first), take))
+            return F.struct(left.alias("cells"), F.concat(state["found"], keys).alias("found"), (F.size(keys) == 0).alias("still"))
 
         return F.when(state["still"], state).otherwise(let(lone, remove))
 
-    begin = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("still"))
+    begin = F.struct(cells.alias("cells"), F.expr("cast(array() as array<struct<key: bigint, count: int>>)").alias("found"), F.lit(False).alias("still"))
     done = lambda s: F.forall(s["cells"], lambda c: (c["count"] == 0) & (c["key"] == 0) & (c["sign"] == 0))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, step, lambda s: F.when(done(s), s["found"]))
 
 
-def difference(one: Column, two: Column) -> Column:
-    """Digests in which two small sets differ, by the smallest sketch that peels; the sets themselves only if none does."""
-    tries = [peel(subtract(sketch(one, width), sketch(two, width)), width) for width in (WIDTH, *LARGER)]
-    last = F.size(F.array_except(one, two)) + F.size(F.array_except(two, one))
-    return F.when((F.size(one) == 0) | (F.size(two) == 0), F.size(one) + F.size(two)).otherwise(F.coalesce(*tries, last))
+def part_difference(one: Column, two: Column) -> Column:
+    """The digests in which two parts (found, cells) differ, by the smallest sketch that peels.
+
+    Two digests share all cells of all three sizes with probability 2 ** -39; only then are the sets compared.
+    """
+    first, *larger = SIZES
+    tries = [peel(subtract(sketch(one["found"], *size), sketch(two["found"], *size)), *size) for size in larger]
+    signed = lambda keys, sign: F.transform(keys, lambda d: F.struct(d.alias("key"), F.lit(sign).alias("count")))
+    last = F.concat(signed(F.array_except(one["found"], two["found"]), 1), signed(F.array_except(two["found"], one["found"]), -1))
+    return F.coalesce(peel(subtract(one["cells"], two["cells"]), *first), *tries, last)
 
 
 def split(found: Column, drop: Column, bits: Column) -> Column:
@@ -115,91 +131,124 @@ def split(found: Column, drop: Column, bits: Column) -> Column:
     return F.when(bits == 0, F.array(found)).otherwise(let(placed, sought))
 
 
-def differing(one: Column, two: Column) -> Column:
-    """Digests in which two sets differ. Parts are split in two steps, so that the work stays near linear."""
-    total = F.size(one) + F.size(two)
-    bits = F.when(total <= 2 * PART, 0).otherwise(F.ceil(F.log2(total / F.lit(PART)))).cast("int")
-
-    def parts(a: Column, b: Column, drop: Column, bits: Column, then) -> Column:
-        pairs = F.arrays_zip(split(a, drop, bits).alias("a"), split(b, drop, bits).alias("b"))
-        return F.aggregate(pairs, F.lit(0), lambda n, p: n + then(p["a"], p["b"]).cast("int"))
+def sketches(found: Column, bits: Column) -> Column:
+    """The set in 2 ** ``bits`` parts (found, cells). Split in two steps, so that the work stays near linear."""
 
     def steps(first: Column, rest: Column) -> Column:
-        return parts(one, two, F.lit(0), first, lambda a, b: parts(a, b, first, rest, difference))
+        return F.flatten(F.transform(split(found, F.lit(0), first), lambda part: split(part, first, rest)))
 
-    # the numbers of bits are bound once, or every look at a digest would work them out anew
-    return let(bits, lambda n: let(F.floor(n / 2).cast("int"), lambda first: let(n - first, lambda rest: steps(first, rest))))
+    parts = let(F.floor(bits / 2).cast("int"), lambda first: let(bits - first, lambda rest: steps(first, rest)))
+    return F.transform(parts, lambda part: F.struct(part.alias("found"), sketch(part).alias("cells")))
+
+
+def fingerprint(found: Column) -> Column:
+    """(n, bits, parts) of a set of digests; the shape follows from its size alone."""
+    bits = F.when(F.size(found) <= PART, 0).otherwise(F.ceil(F.log2(F.size(found) / F.lit(PART)))).cast("int")
+    return let(bits, lambda b: F.struct(F.size(found).alias("n"), b.alias("bits"), sketches(found, b).alias("parts")))
+
+
+def difference(one: Column, two: Column) -> Column:
+    """The digests (key, count) in which two fingerprints differ."""
+
+    def shaped(mark: Column, bits: Column) -> Column:
+        anew = lambda: let(F.flatten(mark["parts"]["found"]), lambda found: sketches(found, bits))
+        return F.when(mark["bits"] == bits, mark["parts"]).otherwise(anew())
+
+    by_part = lambda bits: F.zip_with(shaped(one, bits), shaped(two, bits), part_difference)
+    return F.flatten(let(F.greatest(one["bits"], two["bits"]), by_part))
 
 
 def likeness(one: Column, two: Column, apart: Column) -> Column:
     """Shared digests over all digests of both sets; 1 for two empty sets."""
-    total = F.size(one) + F.size(two)
-    return F.when(total == 0, F.lit(1.0)).otherwise((total - apart) / (total + apart))
+    total = one["n"] + two["n"]
+    return F.when(total == 0, F.lit(1.0)).otherwise((total - F.size(apart)) / (total + F.size(apart)))
+
+
+def written(mark: Column) -> Column:
+    """The fingerprint as text: n, bits, and the cells part by part (count:key:check in hex, nothing for an empty cell)."""
+    shown = lambda c: F.concat_ws(":", c["count"].cast("string"), F.hex(c["key"]), F.hex(c["sign"]))
+    cells = F.transform(F.flatten(mark["parts"]["cells"]), lambda c: F.when(c["count"] == 0, "").otherwise(shown(c)))
+    return F.concat_ws("/", mark["n"].cast("string"), mark["bits"].cast("string"), F.array_join(cells, ","))
+
 
+#: The order of documents, greatest first: ids descending, rows without id last, rows of one id by the hash of their texts.
+PLACE = ("known", "id", "mark")
 
-def written(found: Column) -> Column:
-    """The fingerprint as text: the number of digests and the cells of the smallest sketch."""
-    cells = F.transform(sketch(found, WIDTH), lambda c: F.concat_ws(":", F.hex(c["count"].cast("bigint")), F.hex(c["key"])))
-    return F.concat_ws("/", F.size(found).cast("string"), F.array_join(cells, "/"))
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, place): null texts are empty; place is greater for documents that come earlier."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own = F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0).cast("bigint")), F.bitwise_not(F.xxhash64("text"))
+    return docs.withColumn("place", F.struct(*(c.alias(name) for c, name in zip(own, PLACE))))
+
+
+def count_below(bounds: Column, place: Column, most: int) -> Column:
+    """How many of the sorted bounds are less than the place, by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(most, 1).bit_length()))))
 
-def longs(values: list[int]) -> Column:
-    return F.expr(f"cast(array({', '.join(f'{v}L' for v in values)}) as array<bigint>)")
+    def halve(found: Column, step: Column) -> Column:
+        return F.when((found + step <= F.size(bounds)) & (F.try_element_at(bounds, found + step) < place), found + step).otherwise(found)
 
+    return F.aggregate(steps, F.lit(0), halve)
 
-def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+
+def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """(doc_id, text, after): the text of the next document by descending doc_id; after the last comes the first.
 
-    Ids are cut into ranges at ids that exist, so each range's largest is known; it is also sent to the
-    range above, where it follows the smallest, and the largest of all to the lowest range. One shuffle
-    of the texts, no range in one task. Rows of one id follow each other by a hash of their texts, rows
-    without id come last; both kinds lie in one range.
+    Places are cut into ranges of about ``range_chars`` at places that exist, so each range's last is known;
+    it is also sent to the range above, where it follows the smallest, and the last of all to the lowest
+    range. One shuffle of the texts; ranges and their numbers come from the places alone. A row finds its range
+    by ``FENCES`` constants at most and the list of ranges behind one of them. Rows of one id, or without
+    id, are spread over ranges like others; only rows equal in id and text lie in one.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.agg(F.count("doc_id")).first()[0]
-    wanted = ranges or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / ROWS_PER_RANGE))
-    shares = [i / wanted for i in range(1, wanted)] + [1.0]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 100 * wanted)).first()[0] or [])) if rows else []
-    top = docs.agg(F.max("doc_id")).first()[0]
-    bounds = [b for b in bounds if b < top] + [top] if rows else []
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    if not bounds:
-        placed = docs.withColumns({"part": F.lit(0).cast("bigint"), "guest": F.lit(0)})
-    else:
-        step = math.isqrt(len(bounds)) + 1
-        known, coarse = longs(bounds), longs(bounds[step - 1 :: step])
-        skipped = F.size(F.filter(coarse, lambda b: b < F.col("doc_id"))) * step
-        near = F.size(F.filter(F.slice(known, skipped + 1, F.lit(step)), lambda b: b < F.col("doc_id")))
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(skipped + near)
-        at = F.struct(part.cast("bigint").alias("part"), F.lit(0).alias("guest"))
-        above = F.struct(F.when(F.col("doc_id") == top, 0).otherwise(part + 1).cast("bigint").alias("part"), F.lit(1).alias("guest"))
-        visits = F.when(F.array_contains(known, F.col("doc_id")), F.array(at, above)).otherwise(F.array(at))
-        placed = docs.select("*", F.inline(visits))
-    window = Window.partitionBy("part").orderBy("guest", *order)
-    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = F.lead("text").over(window)
-    followed = placed.withColumn("after", after if bounds else F.coalesce(after, F.first("text").over(whole)))
-    return followed.filter("guest = 0").select("doc_id", "text", "after")
-
-
-def fingerprint_versions(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
+    rows = placed(docs)
+    sizes = rows.groupBy("place").agg(F.sum(F.char_length("text") + 64).alias("chars")).select("place.*", "chars")
+    upto = running(sizes, [], list(PLACE), {"upto": ("sum", F.col("chars"))})
+    lasts = upto.groupBy(F.floor((F.col("upto") - F.col("chars")) / range_chars).alias("slab")).agg(F.max(F.struct(*PLACE)).alias("last"))
+    bounds = settle(numbered(lasts.select("last.*"), list(PLACE)).select(F.struct(*PLACE).alias("last"), (F.col("row") - 1).alias("part")))
+    count = bounds.count()
+    if not count:
+        return rows.select("doc_id", "text", F.col("text").alias("after"))
+    step = -(-count // FENCES)
+    lists = bounds.groupBy(F.floor(F.col("part") / step).cast("int").alias("node")).agg(F.array_sort(F.collect_list("last")).alias("lasts"))
+    fences = sorted(tuple(r["last"]) for r in bounds.filter((F.col("part") + 1) % step == 0).select("last").collect())
+    names = ", ".join(f"named_struct('known', {str(k).lower()}, 'id', cast('{i}' as bigint), 'mark', cast('{m}' as bigint))" for k, i, m in fences)
+    known = F.expr(f"array({names})")
+    found = attach(rows.withColumn("node", count_below(known, F.col("place"), len(fences))), lists, "node")
+    part = (F.col("node") * step + count_below(F.col("lasts"), F.col("place"), step)).cast("bigint")
+    is_last = F.array_contains("lasts", F.col("place"))
+    found = found.withColumns({"part": part, "is_last": is_last}).select("doc_id", "text", "place", "part", "is_last")
+    at = F.struct("part", F.lit(0).alias("guest"))
+    above = F.struct(((F.col("part") + 1) % count).cast("bigint").alias("part"), F.lit(1).alias("guest"))
+    visits = F.when(F.col("is_last"), F.array(at, above)).otherwise(F.array(at))
+    visiting = found.select("doc_id", "text", "place", F.inline(visits))
+    after = F.lead("text").over(Window.partitionBy("part").orderBy("guest", F.desc("place")))
+    return visiting.withColumn("after", after).filter("guest = 0").select("doc_id", "text", "after")
+
+
+def fingerprint_versions(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, gone, new) of every document.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all)
-    of the next document. Null texts are empty; empty texts have an empty sketch and are alike; equal
-    texts have equal fingerprints; a single document is followed by itself. Columns beyond doc_id and
-    text are not read.
+    of the next document. ``gone`` and ``new`` are the digests of the paragraphs that the edit took and brought,
+    recovered from the two fingerprints. Null texts are empty; empty texts have an empty sketch and are
+    alike; equal texts have equal fingerprints; a single document is followed by itself. Columns beyond
+    doc_id and text are not read.
     """
-    pairs = with_next(docs, ranges)
+    pairs = with_next(docs, range_chars)
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), size - half), F.substr("after", F.lit(1), half))
     texts = pairs.select("doc_id", size.cast("bigint").alias("n_chars"), "text", "after", edited.alias("edited"))
-    known = texts.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), *(digests(F.col(c)).alias(c) for c in ("text", "edited", "after")))
-    one = F.col("text")
-    others = F.transform(F.array("edited", "after"), lambda other: differing(one, other))
-    apart = known.select("*", written(one).alias("fingerprint"), written(F.col("edited")).alias("edited_fingerprint"), others.alias("apart"))
+    sets = texts.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), *(digests(F.col(c)).alias(c) for c in ("text", "edited", "after")))
+    marks = sets.select("doc_id", "n_chars", "edited_sha256", *(fingerprint(F.col(c)).alias(c) for c in ("text", "edited", "after")))
+    one, two = F.col("text"), F.col("edited")
+    others = F.transform(F.array("edited", "after"), lambda other: difference(one, other))
+    apart = marks.select("doc_id", "n_chars", "edited_sha256", written(one).alias("fingerprint"), written(two).alias("edited_fingerprint"), others.alias("apart"), "text", "edited", "after")
+    change = F.col("apart")[0]
+    of = lambda sign: F.transform(F.filter(change, lambda d: d["count"] == sign), lambda d: d["key"])
     return apart.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(one, F.col("edited"), F.col("apart")[0]).alias("near_edited"), likeness(one, F.col("after"), F.col("apart")[1]).alias("near_next"),
+        likeness(one, two, change).alias("near_edited"), likeness(one, F.col("after"), F.col("apart")[1]).alias("near_next"),
+        of(1).alias("gone"), of(-1).alias("new"),
     )

@@ -187,7 +187,8 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_sketch.fingerprint_versions(table(spark, sf_dir, "documents"))
+    found = paragraph_sketch.fingerprint_versions(table(spark, sf_dir, "documents"))
+    return found.withColumns({"gone": F.size("gone"), "new": F.size("new")}).withColumnsRenamed({"gone": "n_gone", "new": "n_new"})
 
 
 @query

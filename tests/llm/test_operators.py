@@ -173,25 +173,81 @@ def test_mixture(docs, empty):
     assert mixture.repetition(empty).count() == 0 and mixture.mix(empty).count() == 0
 
 
-@pytest.mark.parametrize("ranges", [1, 5])
-def test_paragraph_sketches(docs, ranges):
+def paragraphs(text):
+    return {p.strip(" ") for p in re.split(r"[\n\r]+|(?<=[.!?])[ \t]+", text)} - {""}
+
+
+def digest(paragraph):
+    found = xxhash.xxh64_intdigest(paragraph.encode(), 42)
+    return found - (found >> 63 << 64)
+
+
+def plain_peel(one, two):
+    """The digests by which two written fingerprints of one shape differ, or None where peeling gets stuck."""
+    read = lambda c: (int(c.split(":")[0]), *(int(x, 16) for x in c.split(":")[1:])) if c else (0, 0, 0)
+    a, b = ([read(c) for c in text.split("/")[2].split(",")] for text in (one, two))
+    cells = [[x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]] for x, y in zip(a, b, strict=True)]
+    check = lambda d: xxhash.xxh64_intdigest((1).to_bytes(4, "little"), xxhash.xxh64_intdigest(d.to_bytes(8, "little"), 42)) & 0xFFFFFFFF
+    bits, width, found = int(one.split("/")[1]), paragraph_sketch.WIDTH, {}
+    while lone := next((c for c in cells if abs(c[0]) == 1 and c[2] == check(c[1])), None):
+        count, key, sign = lone
+        found[key - (key >> 63 << 64)] = count
+        for table in range(3):
+            c = cells[(key >> 64 - bits if bits else 0) * 3 * width + table * width + (key >> 3 * table) % width]
+            c[0], c[1], c[2] = c[0] - count, c[1] ^ key, c[2] ^ sign
+    return found if all(c == [0, 0, 0] for c in cells) else None
+
+
+@pytest.mark.parametrize("range_chars", [1, 3000, paragraph_sketch.RANGE_CHARS])
+def test_paragraph_sketches(docs, range_chars):
     one = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     texts = sorted(((i, t or "") for i, t in dict(ROWS).items() if i is not None), reverse=True)
-    parts = lambda t: {p.strip(" ") for p in re.findall(rf"[^\n\r]{{1,{paragraph_sketch.LONGEST}}}", t)} - {""}
     alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    found = {r.doc_id: r for r in paragraph_sketch.fingerprint_versions(one, ranges).collect()}
+    found = {r.doc_id: r for r in paragraph_sketch.fingerprint_versions(one, range_chars).collect()}
     for k, (i, t) in enumerate(texts):
         after = texts[(k + 1) % len(texts)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         assert (found[i].n_chars, found[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert found[i].near_edited == pytest.approx(alike(parts(t), parts(edited)))
-        assert found[i].near_next == pytest.approx(alike(parts(t), parts(after)))
+        assert found[i].near_edited == pytest.approx(alike(paragraphs(t), paragraphs(edited)))
+        assert found[i].near_next == pytest.approx(alike(paragraphs(t), paragraphs(after)))
     assert found[1].fingerprint == found[2].fingerprint != found[5].fingerprint
-    assert paragraph_sketch.fingerprint_versions(docs).count() == len(ROWS)
+    assert paragraph_sketch.fingerprint_versions(docs, range_chars).count() == len(ROWS)
     assert paragraph_sketch.fingerprint_versions(docs.filter("false")).count() == 0
 
 
+def test_paragraph_sketches_give_back_what_differs(spark):
+    """Long and short texts, also without id or of one id: every recovered digest is right, and written fingerprints subtract and peel."""
+    texts = ["".join(f"{line(seed + k, 3)}{'. ' if k % 3 else chr(10)}" for k in range(seed * seed % 700)) for seed in range(40)]
+    shared = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, t) for k, t in enumerate(texts)]
+    place = lambda r: (r[0] is not None, r[0] or 0, ~digest(r[1]))
+    rows = sorted(shared, key=place, reverse=True)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = {(r.doc_id, r.edited_sha256): r for r in paragraph_sketch.fingerprint_versions(docs, 20_000).collect()}
+    peeled = 0
+    for k, (i, t) in enumerate(rows):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + rows[(k + 1) % len(rows)][1][:half]
+        row = found[i, hashlib.sha256(edited.encode()).hexdigest()]
+        own, other = paragraphs(t), paragraphs(edited)
+        gone, new = ({digest(p) for p in x} for x in (own - other, other - own))
+        assert (set(row.gone), set(row.new)) == (gone, new) and len(row.gone) + len(row.new) == len(gone) + len(new)
+        if row.fingerprint.split("/")[1] == row.edited_fingerprint.split("/")[1]:
+            got = plain_peel(row.fingerprint, row.edited_fingerprint)
+            assert got is None or got == {**dict.fromkeys(gone, 1), **dict.fromkeys(new, -1)}
+            peeled += got is not None
+    assert peeled >= 10
+
+
+def test_a_word_put_in_changes_one_paragraph(spark):
+    sentences = [line(k, 8) + "." for k in range(300)]
+    one, two = " ".join(sentences), " ".join(["word " + sentences[0], *sentences[1:]])
+    sets = spark.createDataFrame([(one, two)], "one string, two string").select(*(paragraph_sketch.fingerprint(paragraph_sketch.digests(F.col(c))).alias(c) for c in ("one", "two")))
+    keys = sets.select(paragraph_sketch.difference(F.col("one"), F.col("two")).alias("d"), *(paragraph_sketch.written(F.col(c)).alias(f"w_{c}") for c in ("one", "two"))).first()
+    want = {digest("word " + sentences[0]): -1, digest(sentences[0]): 1}
+    assert {k.key: k["count"] for k in keys.d} == want == plain_peel(keys.w_one, keys.w_two)
+
+
 def test_main_text(spark):
     page = """<html><head><title>T</title><script>var a="</p>";</script><body><nav><a href=x>Home</a></nav><div class="ad">Buy this now.</div><article><h1>A &amp; B</h1>
     <p><b>First   one, with words.<br>More<p>Second one.</p><div class="comments"><p>I agree with all of this, said a reader.</p></div></article><footer>&copy; us</footer>"""
