@@ -32,7 +32,7 @@ SIZES = ((WIDTH, 0), (16, 9), (64, 21))
 PART = 6
 ROUNDS = 16
 #: Code points that a range of ids holds, about.
-RANGE_CHARS = 32 << 20
+RANGE_CHARS = 4 << 20
 #: Ranges found by constants; each of them stands for a list of ranges in a small table.
 FENCES = 256
 
