@@ -1,7 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A text is the set of the digests of its paragraphs: lines, and the sentences of a line. Nothing is cut by
-length, so a word put in changes the paragraph it is in and no other. The digests are dealt by their first
+A text is the set of the digests of its paragraphs: lines, cut where the first sentence ends after ``LEAST``
+characters. Paragraphs end at line and sentence ends only, so a word put in changes the paragraph it is in and
+some after it at most, until both versions end one at the same sentence. The digests are dealt by their first
 bits into parts of ``PART`` digests at most on average, and each part is a sketch: three tables of cells; a
 digest goes to one cell of each, where a count, the digests' exclusive or and that of their checks are kept.
 All cells of all parts are the fingerprint. Two fingerprints of one shape subtract cell by cell, what both
@@ -23,14 +24,15 @@ from pulseframe.operators.joins import attach
 from pulseframe.operators.ordered import numbered, running
 from pulseframe.session import settle
 
-#: Where paragraphs part: line ends, and blanks after the end of a sentence.
-ENDS = r"[\n\r]+|(?<=[.!?])[ \t]+"
+#: Characters of a paragraph that ends before its line does, at least.
+LEAST = 160
+PARAGRAPH = rf"[^\n\r]{{{LEAST},}}?[.!?](?=[ \t])|[^\n\r]+"
 #: Cells of one table of a part, and in the larger tries; the first bit that chooses a cell.
-WIDTH = 8
-SIZES = ((WIDTH, 0), (16, 9), (64, 21))
+WIDTH = 4
+SIZES = ((WIDTH, 0), (8, 6), (16, 15), (64, 27))
 #: Digests of a text that a part has on average at most.
-PART = 6
-ROUNDS = 16
+PART = 3
+ROUNDS = 8
 #: Code points that a range of ids holds, about.
 RANGE_CHARS = 4 << 20
 #: Ranges found by constants; each of them stands for a list of ranges in a small table.
@@ -39,7 +41,7 @@ FENCES = 256
 
 def digests(text: Column) -> Column:
     """The distinct digests of the paragraphs, blanks at their ends aside."""
-    found = F.transform(F.split(text, ENDS), lambda p: F.trim(p))
+    found = F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), 0), lambda p: F.trim(p))
     return F.array_distinct(F.transform(F.filter(found, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
@@ -114,7 +116,7 @@ def peel(cells: Column, width: int = WIDTH, first: int = 0) -> Column:
 def part_difference(one: Column, two: Column) -> Column:
     """The digests in which two parts (found, cells) differ, by the smallest sketch that peels.
 
-    Two digests share all cells of all three sizes with probability 2 ** -39; only then are the sets compared.
+    Two digests share all cells of all four sizes with probability 2 ** -45; only then are the sets compared.
     """
     first, *larger = SIZES
     tries = [peel(subtract(sketch(one["found"], *size), sketch(two["found"], *size)), *size) for size in larger]
@@ -192,9 +194,11 @@ def count_below(bounds: Column, place: Column, most: int) -> Column:
     return F.aggregate(steps, F.lit(0), halve)
 
 
-def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
+def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS, more: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, text, after): the text of the next document by descending doc_id; after the last comes the first.
 
+    ``more`` columns are worked out from each text once, where the ranges are, and follow as ``after_<name>`` too.
+
     Places are cut into ranges of about ``range_chars`` at places that exist, so each range's last is known;
     it is also sent to the range above, where it follows the smallest, and the last of all to the lowest
     range. One shuffle of the texts; ranges and their numbers come from the places alone. A row finds its range
@@ -207,13 +211,16 @@ def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     lasts = upto.groupBy(F.floor((F.col("upto") - F.col("chars")) / range_chars).alias("slab")).agg(F.max(F.struct(*PLACE)).alias("last"))
     bounds = settle(numbered(lasts.select("last.*"), list(PLACE)).select(F.struct(*PLACE).alias("last"), (F.col("row") - 1).alias("part")))
     count = bounds.count()
+    names = ["text", *(more or {})]
     if not count:
-        return rows.select("doc_id", "text", F.col("text").alias("after"))
+        for name, value in (more or {}).items():
+            rows = rows.withColumn(name, value)
+        return rows.select("doc_id", *names, F.col("text").alias("after"), *(F.col(c).alias(f"after_{c}") for c in names[1:]))
     step = -(-count // FENCES)
     lists = bounds.groupBy(F.floor(F.col("part") / step).cast("int").alias("node")).agg(F.array_sort(F.collect_list("last")).alias("lasts"))
     fences = sorted(tuple(r["last"]) for r in bounds.filter((F.col("part") + 1) % step == 0).select("last").collect())
-    names = ", ".join(f"named_struct('known', {str(k).lower()}, 'id', cast('{i}' as bigint), 'mark', cast('{m}' as bigint))" for k, i, m in fences)
-    known = F.expr(f"array({names})")
+    known = ", ".join(f"named_struct('known', {str(k).lower()}, 'id', cast('{i}' as bigint), 'mark', cast('{m}' as bigint))" for k, i, m in fences)
+    known = F.expr(f"array({known})")
     found = attach(rows.withColumn("node", count_below(known, F.col("place"), len(fences))), lists, "node")
     part = (F.col("node") * step + count_below(F.col("lasts"), F.col("place"), step)).cast("bigint")
     is_last = F.array_contains("lasts", F.col("place"))
@@ -221,9 +228,12 @@ def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     at = F.struct("part", F.lit(0).alias("guest"))
     above = F.struct(((F.col("part") + 1) % count).cast("bigint").alias("part"), F.lit(1).alias("guest"))
     visits = F.when(F.col("is_last"), F.array(at, above)).otherwise(F.array(at))
-    visiting = found.select("doc_id", "text", "place", F.inline(visits))
-    after = F.lead("text").over(Window.partitionBy("part").orderBy("guest", F.desc("place")))
-    return visiting.withColumn("after", after).filter("guest = 0").select("doc_id", "text", "after")
+    visiting = found.select("doc_id", "text", "place", F.inline(visits)).repartition("part")
+    for name, value in (more or {}).items():
+        visiting = visiting.withColumn(name, value)
+    after = F.lead(F.struct(*names)).over(Window.partitionBy("part").orderBy("guest", F.desc("place")))
+    followed = visiting.withColumn("_after", after).filter("guest = 0")
+    return followed.select("doc_id", *names, F.col("_after.text").alias("after"), *(F.col(f"_after.{c}").alias(f"after_{c}") for c in names[1:]))
 
 
 def fingerprint_versions(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
@@ -235,13 +245,13 @@ def fingerprint_versions(docs: DataFrame, range_chars: int = RANGE_CHARS) -> Dat
     alike; equal texts have equal fingerprints; a single document is followed by itself. Columns beyond
     doc_id and text are not read.
     """
-    pairs = with_next(docs, range_chars)
+    pairs = with_next(docs, range_chars, {"found": digests(F.col("text")), "mark": fingerprint(F.col("found"))})
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), size - half), F.substr("after", F.lit(1), half))
-    texts = pairs.select("doc_id", size.cast("bigint").alias("n_chars"), "text", "after", edited.alias("edited"))
-    sets = texts.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), *(digests(F.col(c)).alias(c) for c in ("text", "edited", "after")))
-    marks = sets.select("doc_id", "n_chars", "edited_sha256", *(fingerprint(F.col(c)).alias(c) for c in ("text", "edited", "after")))
+    texts = pairs.select("doc_id", size.cast("bigint").alias("n_chars"), edited.alias("edited"), F.col("mark").alias("text"), F.col("after_mark").alias("after"))
+    sets = texts.withColumns({"edited_sha256": F.sha2(F.encode("edited", "UTF-8"), 256), "edited": digests(F.col("edited"))})
+    marks = sets.withColumn("edited", fingerprint(F.col("edited")))
     one, two = F.col("text"), F.col("edited")
     others = F.transform(F.array("edited", "after"), lambda other: difference(one, other))
     apart = marks.select("doc_id", "n_chars", "edited_sha256", written(one).alias("fingerprint"), written(two).alias("edited_fingerprint"), others.alias("apart"), "text", "edited", "after")
