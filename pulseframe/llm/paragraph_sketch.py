@@ -221,7 +221,8 @@ def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS, more: dict[str, C
     fences = sorted(tuple(r["last"]) for r in bounds.filter((F.col("part") + 1) % step == 0).select("last").collect())
     known = ", ".join(f"named_struct('known', {str(k).lower()}, 'id', cast('{i}' as bigint), 'mark', cast('{m}' as bigint))" for k, i, m in fences)
     known = F.expr(f"array({known})")
-    found = attach(rows.withColumn("node", count_below(known, F.col("place"), len(fences))), lists, "node")
+    node = F.explode(F.array(count_below(known, F.col("place"), len(fences))))  # as a plain alias, the join infers a filter that names place for lists too
+    found = attach(rows.select("*", node.alias("node")), lists, "node")
     part = (F.col("node") * step + count_below(F.col("lasts"), F.col("place"), step)).cast("bigint")
     is_last = F.array_contains("lasts", F.col("place"))
     found = found.withColumns({"part": part, "is_last": is_last}).select("doc_id", "text", "place", "part", "is_last")
