@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseframe.operators.joins import attach
 
@@ -91,8 +91,8 @@ def mean_sem(
         F.round(F.stddev_samp("v") / F.sqrt(F.count("v")), digits).alias("sem"),
         F.count("v").alias("_n"),
     )
-    present = rows.filter("v is not null").select("metric").distinct()
-    return table.join(present, "metric", "left_semi").select(*group_by, "metric", "mean", "sem")
+    present = table.withColumn("_any", F.max("_n").over(Window.partitionBy("metric"))).filter("_any > 0")
+    return present.select(*group_by, "metric", "mean", "sem")
 
 
 def baseline_diff(table: DataFrame, baseline: str, by: str, within: list[str]) -> DataFrame:

@@ -176,9 +176,7 @@ def raw_numbers(patients: DataFrame, stays: DataFrame) -> DataFrame:
 def variable_by_source(events: DataFrame, variable: str | None = None) -> DataFrame:
     """Count and moments per source, with an overall row (source null); one variable or all."""
     chosen = events if variable is None else events.filter(F.col("variable") == variable)
-    return chosen.groupBy("variable").agg(*_summary()).withColumn("source", F.lit(None).cast("string")).unionByName(
-        chosen.groupBy("variable", "source").agg(*_summary())
-    )
+    return chosen.groupingSets([["variable"], ["variable", "source"]], "variable", "source").agg(*_summary())
 
 
 def _summary() -> list[Column]:
