@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -240,6 +241,28 @@ def materialize(t: Tables) -> DataFrame:
     return reused.select("stay_id", "minute", "variable", r("value"), F.array_join("source", ",").alias("source"), "unit")
 
 
+@query("""
+  SELECT o_orderkey AS order_key, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, 'priority ' || o_orderpriority AS note, o_orderstatus AS status,
+    CAST(o_custkey AS BIGINT) AS customer, upper(hex(o_orderstatus)) AS raw_hex, 4 AS not_null FROM orders""")
+def materialize_types(t: Tables) -> DataFrame:
+    """Columns of all kinds that are declared not null: stored, found again and read back as such."""
+    path = scratch_path(t.spark, io.table_key(t.spark, "order_kinds", {}, [t.path("orders")]))
+    kinds = t.table("orders").select(
+        F.coalesce("o_orderkey", F.lit(0)).alias("order_key"),
+        F.coalesce(F.col("o_orderdate").cast("date"), F.lit(date(1970, 1, 1))).alias("day"),
+        F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_custkey").cast("bigint").alias("customer")).alias("who")).alias("facts"),
+        F.coalesce(F.encode("o_orderstatus", "UTF-8"), F.lit(b"")).alias("raw"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+    io.materialize(kinds, path)
+    stored = io.materialize(kinds, path)
+    known = sum(not field.nullable for field in stored.schema)
+    return stored.select(
+        "order_key", F.col("day").cast("string").alias("day"), F.concat(F.lit("priority "), "priority").alias("note"), "facts.status", "facts.who.customer",
+        F.hex("raw").alias("raw_hex"), F.lit(known).alias("not_null"),
+    )
+
+
 INVENTORY = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
              "embeddings", "pages", "benchmark", "labels", "conversations")
 

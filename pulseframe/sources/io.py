@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, DataType, DecimalType, MapType, NumericType, StructField, StructType
 
 from pulseframe.functions.keyed import uniform
 from pulseframe.session import settle
@@ -75,32 +77,97 @@ def same_schema(a: StructType, b: StructType) -> bool:
     return entries(a) == entries(b)
 
 
-def _present(column: str, kind) -> Column:
-    """The column, marked as never null (parquet files are read as nullable)."""
-    stand_in = F.array().cast(kind) if isinstance(kind, ArrayType) else F.lit(0).cast(kind)
-    return F.coalesce(F.col(column), stand_in).alias(column)
+#: Literals for the types that a cast from zero can't reach.
+_BLANK = {
+    "string": "''", "binary": "X''", "boolean": "false", "date": "DATE'1970-01-01'", "timestamp": "TIMESTAMP'1970-01-01 00:00:00'",
+    "timestamp_ntz": "TIMESTAMP_NTZ'1970-01-01 00:00:00'",
+}
+
+
+def _blank(kind: DataType) -> Column | None:
+    """Any value of a type that is known not to be null; None where there is no such literal."""
+    if isinstance(kind, NumericType):
+        return F.lit(Decimal(0) if isinstance(kind, DecimalType) else 0).cast(kind)
+    if isinstance(kind, ArrayType):
+        return F.array().cast(kind)
+    if isinstance(kind, MapType):
+        return F.create_map().cast(kind)
+    if isinstance(kind, StructType):
+        parts = [_blank(f.dataType) for f in kind.fields]
+        named = [p.alias(f.name) for p, f in zip(parts, kind.fields) if p is not None]
+        return F.struct(*named) if named and len(named) == len(parts) else None
+    return F.expr(_BLANK[kind.simpleString()]) if kind.simpleString() in _BLANK else None
+
+
+def _as_nullable(kind: DataType) -> DataType:
+    """The type as parquet files give it back: nullable at every depth."""
+    if isinstance(kind, ArrayType):
+        return ArrayType(_as_nullable(kind.elementType), True)
+    if isinstance(kind, MapType):
+        return MapType(_as_nullable(kind.keyType), _as_nullable(kind.valueType), True)
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _as_nullable(f.dataType), True) for f in kind.fields])
+    return kind
+
+
+def _restored(column: Column, kind: DataType, nullable: bool) -> Column:
+    """The column with the nullability of a stored schema, at every depth (parquet reads all as nullable).
+
+    The literals only tell Spark that a value is there: what was written as not null has none that
+    they could replace. Columns without anything to restore stay plain, so filters reach the scan.
+    """
+    if kind != _as_nullable(kind):
+        if isinstance(kind, ArrayType):
+            column = F.transform(column, lambda x: _restored(x, kind.elementType, kind.containsNull))
+        elif isinstance(kind, MapType):
+            inner = F.transform_keys(column, lambda k, _: _restored(k, kind.keyType, False))
+            column = F.transform_values(inner, lambda _, v: _restored(v, kind.valueType, kind.valueContainsNull))
+        else:
+            fields = [_restored(column.getField(f.name), f.dataType, f.nullable).alias(f.name) for f in kind.fields]
+            whole = F.struct(*fields)
+            return F.when(column.isNotNull(), whole) if nullable else whole
+    blank = None if nullable else _blank(kind)
+    return column if blank is None else F.coalesce(column, blank)
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    """What is stored at ``path``: the folder of the rows and their schema; None before the first whole write."""
+    system, done = _file_system(spark, f"{path}/manifest/_SUCCESS")
+    if not system.exists(done):
+        return None
+    return json.loads(spark.read.text(f"{path}/manifest", wholetext=True).first()[0])
 
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
-    schema = StructType.fromJson(json.loads(spark.read.text(f"{path}-schema", wholetext=True).first()[0]))
-    stored = spark.read.schema(schema).parquet(f"{path}.parquet")
-    return stored.select(
-        *[F.col(f.name) if f.nullable else _present(f.name, f.dataType) for f in schema.fields]
-    )
+    """The table stored at ``path`` with the schema it was written with."""
+    manifest = _manifest(spark, path)
+    if manifest is None:
+        raise FileNotFoundError(f"no whole table is stored at {path}")
+    schema = StructType.fromJson(manifest["schema"])
+    stored = spark.read.schema(schema).parquet(f"{path}/{manifest['rows']}")
+    return stored.select(*[_restored(F.col(f"`{f.name}`"), f.dataType, f.nullable).alias(f.name) for f in schema.fields])
 
 
 def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Reuse the table stored at ``path`` if its schema matches, else write it; return the stored table."""
+    """Reuse the table stored at ``path`` if its schema matches, else write it; return the stored table.
+
+    Written in two phases: the rows go to a folder of their own, then a manifest names that folder
+    and the schema. A write that breaks off before the manifest is there leaves the earlier table in
+    force, or none; it is never taken for a stored one. The rows of a replaced table are deleted
+    after the manifest names the new ones.
+    """
     spark = df.sparkSession
-    system, done = _file_system(spark, f"{path}.parquet/_SUCCESS")
-    if system.exists(done):
-        stored = read_stored(spark, path)
-        if same_schema(stored.schema, df.schema):
-            return stored
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}.parquet")
-    text = spark.createDataFrame([(df.schema.json(),)], "value string")
-    text.coalesce(1).write.mode("overwrite").text(f"{path}-schema")
+    earlier = _manifest(spark, path)
+    if earlier and same_schema(StructType.fromJson(earlier["schema"]), df.schema):
+        return read_stored(spark, path)
+    rows = f"rows-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{rows}")
+    text = json.dumps({"rows": rows, "schema": json.loads(df.schema.json())})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    if earlier:
+        system, replaced = _file_system(spark, f"{path}/{earlier['rows']}")
+        system.delete(replaced, True)
     return read_stored(spark, path)
 
 

@@ -124,3 +124,42 @@ def test_rules_round_trip(spark, tmp_path):
     for name in ("rules.parquet", "rules.json"):
         back = load_rules(spark, str(tmp_path / name))
         assert back.columns == rules.columns and back.count() == rules.count()
+
+
+KINDS = """
+  SELECT id, DATE'2020-01-02' + CAST(id AS INT) AS day, TIMESTAMP'2020-01-02 03:04:05' AS at, X'00FF' AS raw, id = 1 AS flag,
+    CAST(id AS DECIMAL(38, 18)) AS amount, 'a' AS name, named_struct('d', DATE'2020-01-01', 'n', named_struct('x', id, 'y', CAST(NULL AS INT))) AS pair,
+    array(id, 2L) AS list, map('k', id) AS kv, if(id = 1, NULL, named_struct('z', id)) AS maybe, TIMESTAMP_NTZ'2020-01-01 00:00:00' AS local,
+    INTERVAL '1' DAY AS wait, CAST(NULL AS DATE) AS nothing FROM range(3)"""
+
+
+def test_materialize_keeps_every_type(spark, tmp_path):
+    path = str(tmp_path / "kinds")
+    kinds = spark.sql(KINDS)
+    assert {"day", "raw", "pair", "list"} <= {f.name for f in kinds.schema if not f.nullable}
+    stored = io.materialize(kinds, path)
+    assert {f.name for f in stored.schema if not f.nullable} == {f.name for f in kinds.schema if not f.nullable} - {"wait"}
+    assert [f.dataType for f in stored.schema] == [f.dataType for f in kinds.schema]
+    assert sorted(stored.collect()) == sorted(kinds.collect())
+    files = stored.inputFiles()
+    assert io.materialize(kinds, path).inputFiles() == files  # reused, not written anew
+
+
+def test_interrupted_write_is_no_stored_table(spark, tmp_path):
+    path = str(tmp_path / "broken")
+    breaks = spark.range(4).select("id", F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("bigint")).alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        io.materialize(breaks, path)
+    with pytest.raises(FileNotFoundError):
+        io.read_stored(spark, path)
+    whole = spark.range(4).select("id", F.when(F.col("id") < 9, F.col("id")).alias("v"))
+    assert io.materialize(whole, path).count() == 4  # the same schema: nothing of the broken write is used
+    other = breaks.withColumn("w", F.lit(1))
+    with pytest.raises(Exception, match="lost"):
+        io.materialize(other, path)
+    assert io.read_stored(spark, path).count() == 4  # the earlier table is still the stored one
+    spark.range(2).write.parquet(f"{path}/rows-of-a-lost-driver")  # whole rows, but no manifest names them
+    assert io.read_stored(spark, path).count() == 4
+    io.materialize(spark.range(7), path)
+    assert io.read_stored(spark, path).count() == 7
+    assert len([f for f in os.listdir(path) if f.startswith("rows-")]) == 4  # two broken ones, the lost one, the stored one
