@@ -2,71 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pulseframe.operators.ordered import running
+from pulseframe.operators.joins import attach
+from pulseframe.operators.ordered import numbered, running
 from pulseframe.session import settle
 
 
 def spearman_pairs(daily: DataFrame, min_periods: int = 30) -> DataFrame:
     """Spearman matrix ``(variable_a, variable_b, rho, n)``, pairwise complete, both triangles.
 
-    ``daily`` holds one value per (stay, day, variable). A stay-day has at most one row per
-    variable, so its pairs are bounded by the vocabulary, not by the data. Ranks are taken among
-    the days on which both variables are present; equal pairs of values are merged before ranking.
-    ``rho`` is null below ``min_periods`` days, and variables without any rho are left out.
+    ``daily`` holds one value per (stay, day, variable). Ranks are taken among the days on which
+    both variables are present. ``rho`` is null below ``min_periods`` days, and variables without
+    any rho are left out.
+
+    Pairs of readings are formed inside the rows of a day and leave the task only as sums: as counts
+    of a value beside a variable, and as products per pair of variables. What is shuffled is a row
+    for every reading, with its ranks beside the other variables of its day; such an array is bounded
+    by the vocabulary, not by the data.
     """
-    reading = F.struct("variable", "value")
-    days = daily.filter("value is not null").groupBy("stay_id", "day").agg(
-        F.array_sort(F.collect_list(reading)).alias("_row")
+    present = daily.filter("value is not null").select("stay_id", "day", "variable", "value")
+    names = settle(numbered(present.select("variable").distinct(), ["variable"], "id"))
+    days = settle(
+        attach(present, names, "variable").groupBy("stay_id", "day").agg(
+            F.array_sort(F.collect_list(F.struct("id", "value"))).alias("_row")
+        )
     )
-    # slice() holds the readings from each one onwards, so a pair is built once and in name order.
-    pair = F.transform(
-        F.col("_row"),
-        lambda a, i: F.transform(
-            F.slice("_row", i + 1, F.size("_row")),
-            lambda b: F.struct(
-                a["variable"].alias("a"), b["variable"].alias("b"), a["value"].alias("x"), b["value"].alias("y")
-            ),
-        ),
+    readings = days.select("stay_id", "day", F.col("_row.id").alias("_ids"), F.explode("_row").alias("_r")).select(
+        "stay_id", "day", "_ids", F.col("_r.id").alias("a"), F.col("_r.value").alias("x")
     )
-    points = settle(
-        days.select(F.explode(F.flatten(pair)).alias("p")).groupBy("p.a", "p.b", "p.x", "p.y").agg(
-            F.count(F.lit(1)).alias("_n")
-        )
+    # Bound as the only element of an array, the ranks are spread out once a reading, not once a variable.
+    beside = F.transform(
+        F.array(_dense(F.col("_ranks"))),
+        lambda ranks: F.transform("_ids", lambda b: F.get(ranks, (b - 1).cast("int"))),
     )
-    sides = []
-    for side in ("x", "y"):
-        spread = points.groupBy("a", "b", side).agg(F.sum("_n").alias("_n"))
-        sides.append(_average_ranks(spread, side))
-    ranked = points.join(sides[0], ["a", "b", "x"]).join(sides[1], ["a", "b", "y"])
-    return _pearson(ranked, min_periods)
+    ranked = readings.join(_ranks(readings), ["a", "x"]).select("stay_id", "day", "a", F.get(beside, F.lit(0)).alias("_row"))
+    return _pearson(ranked, names, min_periods)
 
 
-def _average_ranks(spread: DataFrame, side: str) -> DataFrame:
-    """Average rank of each distinct value within its pair, counted from the middle rank."""
-    placed = running(spread, ["a", "b"], [side], {"_upto": ("sum", F.col("_n"))}, totals=True)
+def _ranks(readings: DataFrame) -> DataFrame:
+    """Average rank of each value of a variable beside every other, from the middle rank: ``(a, x, _ranks[(b, rank)])``."""
+    beside = readings.select("a", "x", F.explode("_ids").alias("b")).groupBy("a", "b", "x").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running(beside, ["a", "b"], ["x"], {"_upto": ("sum", F.col("_n"))}, totals=True)
     n = F.col("_upto_total")
     rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0) - (n + 1) / F.lit(2.0)
-    return placed.select("a", "b", side, rank.alias(f"_r{side}"))
+    return placed.groupBy("a", "x").agg(F.array_sort(F.collect_list(F.struct("b", rank.alias("rank")))).alias("_ranks"))
+
 
+def _dense(entries: Column) -> Column:
+    """Ranks by variable number: the gaps between the numbers are filled, so a rank is found by its place."""
+    def after_gap(entry, i):
+        before = F.when(i > 0, F.get(entries, i - 1)["b"]).otherwise(F.lit(0))
+        gap = F.array_repeat(F.lit(None).cast("double"), (entry["b"] - before - 1).cast("int"))
+        return F.concat(gap, F.array(entry["rank"]))
 
-def _pearson(ranked: DataFrame, min_periods: int) -> DataFrame:
+    return F.flatten(F.transform(entries, after_gap))
+
+
+def _pearson(ranked: DataFrame, names: DataFrame, min_periods: int) -> DataFrame:
+    # Row i of a day holds the ranks of its i-th variable, in the order of the variables.
+    table = ranked.groupBy("stay_id", "day").agg(F.array_sort(F.collect_list(F.struct("a", "_row"))).alias("_t"))
+    pairs = F.transform(
+        F.col("_t"),
+        lambda one, i: F.transform(
+            F.slice("_t", i + 1, F.size("_t")),
+            lambda other, j: F.struct(
+                one["a"].alias("a"), other["a"].alias("b"),
+                F.get(one["_row"], i + j).alias("x"), F.get(other["_row"], i).alias("y"),
+            ),
+        ),
+    )
+    points = table.select(F.explode(pairs).alias("_p")).select(F.inline("_p"))
     # The ranks are centred on their mean, so the plain sums of products are the covariances.
-    dx, dy, w = F.col("_rx"), F.col("_ry"), F.col("_n")
-    sums = ranked.groupBy("a", "b").agg(
-        F.sum(w).alias("n"), F.sum(w * dx * dy).alias("_xy"), F.sum(w * dx * dx).alias("_xx"), F.sum(w * dy * dy).alias("_yy")
+    sums = points.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("y")).alias("_xy"),
+        F.sum(F.col("x") * F.col("x")).alias("_xx"), F.sum(F.col("y") * F.col("y")).alias("_yy"),
     )
     rho = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy")))
     half = sums.select("a", "b", "n", F.when(F.col("n") >= min_periods, rho).alias("rho"))
     mirrored = half.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "rho")
     full = settle(half.unionByName(mirrored))
-    kept = full.filter("rho is not null").select("a").distinct()
-    return (
-        full.join(kept, "a", "left_semi")
-        .join(kept.withColumnRenamed("a", "b"), "b", "left_semi")
-        .select(F.col("a").alias("variable_a"), F.col("b").alias("variable_b"), "rho", "n")
-    )
+    kept = names.join(full.filter("rho is not null").select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    for side in ("a", "b"):
+        full = full.join(kept.select(F.col("id").alias(side), F.col("variable").alias(f"variable_{side}")), side)
+    return full.select("variable_a", "variable_b", "rho", "n")
 
 
 def top_correlated(pairs: DataFrame, k: int = 50) -> DataFrame:

@@ -223,6 +223,33 @@ def top_correlated(t: Tables) -> DataFrame:
     return correlation.top_correlated(_pairs(t), 3).select("variable", r("mean_abs_rho"))
 
 
+#: A hundred variables: parts by the last two digits of their key, supplied by one supplier in one month of 28 days.
+WIDE = """
+  SELECT l_suppkey AS stay_id, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) // 28 AS BIGINT) AS day,
+    'part ' || (l_partkey % 100) AS variable, CAST(max(l_extendedprice) AS FLOAT) AS value FROM lineitem GROUP BY ALL"""
+
+
+@query(f"""
+  WITH wide AS ({WIDE}),
+  ranked AS (
+    SELECT a.variable AS a, b.variable AS b, count(*) OVER (PARTITION BY a.variable, b.variable) AS n,
+      rank() OVER (PARTITION BY a.variable, b.variable ORDER BY a.value)
+        + (count(*) OVER (PARTITION BY a.variable, b.variable, a.value) - 1) / 2::DOUBLE AS ra,
+      rank() OVER (PARTITION BY a.variable, b.variable ORDER BY b.value)
+        + (count(*) OVER (PARTITION BY a.variable, b.variable, b.value) - 1) / 2::DOUBLE AS rb
+    FROM wide a JOIN wide b ON a.stay_id = b.stay_id AND a.day = b.day),
+  rho AS (SELECT a, b, n, CASE WHEN n >= 30 THEN corr(ra, rb) END AS rho FROM ranked GROUP BY a, b, n)
+  SELECT a AS variable_a, b AS variable_b, n, round(rho, 6) AS rho FROM rho
+  WHERE a IN (SELECT a FROM rho WHERE rho IS NOT NULL) AND b IN (SELECT a FROM rho WHERE rho IS NOT NULL)""")
+def spearman_wide(t: Tables) -> DataFrame:
+    day = F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")) / 28).alias("day")
+    variable = F.concat(F.lit("part "), (F.col("l_partkey") % 100).cast("string")).alias("variable")
+    wide = t.table("lineitem").groupBy(F.col("l_suppkey").alias("stay_id"), day, variable).agg(
+        F.max("l_extendedprice").cast("float").alias("value")
+    )
+    return correlation.spearman_pairs(wide).select("variable_a", "variable_b", "n", r("rho"))
+
+
 @query("""
   WITH shape AS (
     SELECT variable, lo, hi, CASE WHEN fd > 0 THEN least(fd, st) ELSE st END AS width FROM (
