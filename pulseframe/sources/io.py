@@ -56,16 +56,27 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(context._jsc.hadoopConfiguration()), place
 
 
+def input_state(spark: SparkSession, paths: list[str]) -> list[tuple]:
+    """Files, bytes and an order-free digest of the names, sizes and times of the data files below each path.
+
+    Spark lists the files (in parallel where there are many) and one aggregate sums them up; no file
+    is opened and only one row a path reaches the driver. Files that Spark's readers pass over
+    (names starting with ``_`` or ``.``) don't count.
+    """
+    states = []
+    for path in paths:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        facts = [F.col("path"), F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string")]
+        digest = F.md5(F.concat_ws("|", *facts))
+        halves = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 16)]
+        found = listed.agg(F.count(F.lit(1)), F.sum("length"), *halves).first()
+        states.append((path, *found))
+    return states
+
+
 def table_key(spark: SparkSession, name: str, params: dict, inputs: list[str] = ()) -> str:
     """Name of a stored result: the parameters and the state of the input files decide it."""
-    state = []
-    for path in inputs:
-        system, place = _file_system(spark, path)
-        files = system.listFiles(place, True)
-        while files.hasNext():
-            status = files.next()
-            state.append([status.getPath().toString(), status.getLen(), status.getModificationTime()])
-    text = json.dumps([params, sorted(state)], sort_keys=True, default=str)
+    text = json.dumps([params, sorted(input_state(spark, inputs))], sort_keys=True, default=str)
     return f"{name}_{hashlib.md5(text.encode()).hexdigest()}"
 
 

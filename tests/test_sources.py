@@ -104,6 +104,21 @@ def test_table_key(spark, tmp_path):
     assert key != io.table_key(spark, "t", {"p": 1}, [str(tmp_path)])
 
 
+def test_input_state_follows_every_file(spark, tmp_path):
+    folder = str(tmp_path / "parts")
+    spark.range(40).withColumn("k", F.col("id") % 4).repartition(3).write.partitionBy("k").parquet(folder)
+    (_, files, size, *digest), = io.input_state(spark, [folder])
+    data = [os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")]
+    assert files == len(data) and size == sum(map(os.path.getsize, data)) and len(digest) == 2
+    assert io.input_state(spark, [folder]) == io.input_state(spark, [folder])
+    before = io.table_key(spark, "t", {}, [folder])
+    os.utime(data[0], (1, 1))  # written anew, as long as before
+    assert io.table_key(spark, "t", {}, [folder]) != before
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert io.input_state(spark, [str(empty)]) == [(str(empty), 0, None, None, None)]
+
+
 def test_inventory(spark, tables):
     got = {r.file: r for r in io.file_inventory(spark, {n: tables.path(n) for n in ("orders", "events")}).collect()}
     assert got["orders"]["rows"] == 1500 and got["Total"]["rows"] == 2500
