@@ -13,7 +13,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,15 +47,28 @@ OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search di
 CONTENT_WORDS = frozenset("article articlebody content entry post story maintext bodytext".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SMOOTH = 1.0
+#: How fast edges fade with a step in the tree, the weight below which there is none, and the steps from which that is so.
+FADE, FAINT = 0.35, 1e-3
+FAR = 3 + int(math.log(SMOOTH / FAINT) / FADE)
 #: Log-odds that decide a block alone, whatever its neighbours.
 SURE = 12.0
 
 
+class Element:
+    """An open tag of the tree: its parent (None at the root), depth, name and mark."""
+
+    __slots__ = ("parent", "depth", "tag", "state")
+
+    def __init__(self, parent: Element | None = None, tag: str = "", state: int = 0):
+        self.parent, self.tag, self.state = parent, tag, state
+        self.depth = parent.depth + 1 if parent else 0
+
+
 class Block:
-    __slots__ = ("text", "linked", "path", "tag", "state")
+    __slots__ = ("text", "linked", "place")
 
-    def __init__(self, text: str, linked: int, path: tuple, tag: str, state: int):
-        self.text, self.linked, self.path, self.tag, self.state = text, linked, path, tag, state
+    def __init__(self, text: str, linked: int, place: Element):
+        self.text, self.linked, self.place = text, linked, place
 
 
 def marked(tag: str, attributes: str, state: int) -> int:
@@ -102,22 +115,31 @@ def tag_end(page: str, start: int, final: int, stray: set[int]) -> int:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks in page order. Character references are decoded, white space is one space; unclosed tags end with their parents."""
+    """Blocks in page order. Character references are decoded, white space is one space; unclosed tags end with their parents.
+
+    A block knows its element and an element its parent, so a page takes memory and time in line with its length
+    however deep its tags lie in each other.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, number, state
+    inner = Element()
+    still_open: Counter[str] = Counter()
     buffer: list[str] = []
     unclosed: set[str] = set()
-    linked = links = number = at = 0
+    linked = links = at = 0
     final, stray = page.rfind(">"), set()
 
     def flush():
         nonlocal linked
         text = " ".join(entities.unescape("".join(buffer)).split()) if buffer else ""
         if text:
-            found.append(Block(text, min(linked, len(text)), tuple(s[1] for s in stack), stack[-1][0] if stack else "", stack[-1][2] if stack else 0))
+            found.append(Block(text, min(linked, len(text)), inner))
         buffer.clear()
         linked = 0
 
+    def leave(element):
+        still_open[element.tag] -= 1
+        return element.parent
+
     while at < len(page):
         sign = page.find("<", at)
         if sign != at:
@@ -159,17 +181,17 @@ def blocks_of(page: str) -> list[Block]:
         elif name in BLOCKS:
             flush()
             if closing:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == name:
-                        del stack[depth:]
-                        break
+                if still_open[name]:
+                    while inner.tag != name:
+                        inner = leave(inner)
+                    inner = leave(inner)
             else:
                 ended = ENDS.get(name, {"p"})
-                while stack and stack[-1][0] in ended:
-                    stack.pop()
+                while inner.tag in ended:
+                    inner = leave(inner)
                 if name not in VOID:
-                    number += 1
-                    stack.append((name, number, marked(name, attributes, stack[-1][2] if stack else 0)))
+                    inner = Element(inner, name, marked(name, attributes, inner.state))
+                    still_open[name] += 1
             links = 0
     flush()
     return found
@@ -180,10 +202,11 @@ def log_odds(block: Block) -> float:
     words, size = block.text.count(" ") + 1, len(block.text)
     stops = sum(map(block.text.count, ".,;:!?"))
     value = -1.0 + 0.08 * min(words, 40) + 0.4 * min(stops, 5) - 4.0 * block.linked / size
-    value += {"p": 0.8, "h1": 1.0, "blockquote": 0.8, "pre": 0.8, "li": -0.3, "td": -0.3, "th": -0.3}.get(block.tag, 0.5 if block.tag[:1] == "h" and block.tag[1:].isdigit() else 0.0)
+    tag = block.place.tag
+    value += {"p": 0.8, "h1": 1.0, "blockquote": 0.8, "pre": 0.8, "li": -0.3, "td": -0.3, "th": -0.3}.get(tag, 0.5 if tag[:1] == "h" and tag[1:].isdigit() else 0.0)
     if "©" in block.text and words < 30:
         value -= 3.0
-    return value + {1: 4.0, 0: 0.0}.get(block.state, -SURE - 4)
+    return value + {1: 4.0, 0: 0.0}.get(block.place.state, -SURE - 4)
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -191,22 +214,24 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     edges, last = [], {}
     for i, block in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, SMOOTH * closeness(blocks[i - 1].path, block.path)))
-        parent = block.path[:-1]
+            edges.append((i - 1, i, SMOOTH * closeness(blocks[i - 1].place, block.place)))
+        parent = block.place.parent or block.place
         if parent in last and last[parent] < i - 1:
             j = last[parent]
-            edges.append((j, i, 0.5 * SMOOTH * closeness(blocks[j].path, block.path)))
+            edges.append((j, i, 0.5 * SMOOTH * closeness(blocks[j].place, block.place)))
         last[parent] = i
-    return [e for e in edges if e[2] > 1e-3]
-
-
-def closeness(a: tuple, b: tuple) -> float:
-    shared = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        shared += 1
-    return math.exp(-0.35 * max(0, len(a) + len(b) - 2 * shared - 2))
+    return [e for e in edges if e[2] > FAINT]
+
+
+def closeness(a: Element, b: Element) -> float:
+    """Fades with the steps from one element to the other; 0 where no edge is left, so that the walk is short."""
+    steps = 0
+    while a is not b:
+        if steps == FAR:
+            return 0.0
+        a, b = (a.parent, b) if a.depth >= b.depth else (a, b.parent)
+        steps += 1
+    return math.exp(-FADE * max(0, steps - 2))
 
 
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
