@@ -283,6 +283,34 @@ def thin_journey(t: Tables) -> DataFrame:
     return thinned.select("stay_id", "source", "variable", "minute", F.col("value").cast("int").alias("value"), "shown", r("level"))
 
 
+#: Prices, most of them above 32,767, as one series per supplier, status and flag.
+PRICED = """
+  SELECT l_suppkey AS stay_id, l_linestatus AS source, l_returnflag AS variable, l_extendedprice AS value,
+    CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS minute FROM lineitem"""
+
+
+@query(f"""
+  WITH RECURSIVE series AS (SELECT *, max(minute) OVER (PARTITION BY stay_id) AS last FROM ({PRICED})),
+  spots AS (SELECT DISTINCT stay_id, source, variable, minute, last FROM series),
+  kept AS (
+    SELECT stay_id, source, variable, min(minute) AS minute FROM spots GROUP BY ALL
+    UNION ALL
+    SELECT s.stay_id, s.source, s.variable, min(s.minute) FROM kept k JOIN spots s USING (stay_id, source, variable)
+    WHERE (s.minute - k.minute) * 20 > s.last GROUP BY ALL)
+  SELECT stay_id, source, variable, minute, CAST(trunc(value) AS BIGINT) AS value, k.minute IS NOT NULL AS shown,
+    round((trunc(value) - lo) / (hi - lo), 4) AS level
+  FROM series s LEFT JOIN kept k USING (stay_id, source, variable, minute)
+  JOIN (SELECT variable, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM series GROUP BY 1) USING (variable)""")
+def thin_journey_prices(t: Tables) -> DataFrame:
+    minute = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("bigint").alias("minute")
+    priced = t.table("lineitem").select(
+        F.col("l_suppkey").alias("stay_id"), F.col("l_linestatus").alias("source"), F.col("l_returnflag").alias("variable"),
+        F.col("l_extendedprice").alias("value"), minute,
+    )
+    thinned = journeys.thin_journey(priced, stats.percentile_bounds(priced))
+    return thinned.select("stay_id", "source", "variable", "minute", "value", "shown", r("level", 4))
+
+
 @query("""
   SELECT stay_id, minute, CASE variable WHEN 'click' THEN 'Click' ELSE variable END AS variable, round(value, 6) AS value FROM v_processed
   WHERE stay_id IN (SELECT stay_id FROM v_processed GROUP BY 1 ORDER BY count(*) DESC, stay_id LIMIT 1)
