@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from pulseframe.functions.clock import seconds_between, shift_seconds
 from pulseframe.operators.joins import attach, interval_join
+from pulseframe.operators.ordered import value_counts
+from pulseframe.session import settle
 from pulseframe.sources.rules import UNIT_RULES
 
 DAY = 86_400
@@ -130,12 +133,39 @@ def _validity(rules: DataFrame) -> DataFrame:
     return agreed.withColumn("action", F.when(F.col("torn"), error.cast("string")).otherwise(F.col("action"))).drop("torn")
 
 
+def exact_medians(values: DataFrame, accuracy: int = 100_000) -> DataFrame:
+    """The lower median of ``value`` per variable, exactly: ``(variable, _median)``.
+
+    A mergeable sketch, whose rank error is about n / ``accuracy``, brackets the median; what lies outside
+    keeps its number alone, and the few distinct values inside are counted. A bracket that
+    misses its median is left for a count of all values.
+    """
+    values = values.filter("value is not null")
+    margin = 8.0 / accuracy
+    sketch = F.percentile_approx("value", [0.5 - margin, 0.5 + margin], accuracy)
+    bracket = values.groupBy("variable").agg(sketch.alias("_bracket"))
+    below, above = F.col("value") < F.col("_bracket")[0], F.col("value") > F.col("_bracket")[1]
+    place = F.when(below, -math.inf).when(above, math.inf).otherwise(F.col("value"))
+    medians = settle(_middle(attach(values, bracket, "variable").select("variable", place.alias("value"))))
+    missed = medians.filter(F.abs("_median") == math.inf).select("variable")
+    if missed.isEmpty():
+        return medians
+    again = _middle(values.join(missed, "variable", "left_semi"))
+    return settle(medians.join(missed, "variable", "left_anti").unionByName(again))
+
+
+def _middle(values: DataFrame) -> DataFrame:
+    rank = F.ceil(F.col("upto_total") / 2)
+    here = (F.col("upto") - F.col("copies") < rank) & (rank <= F.col("upto"))
+    return value_counts(values, ["variable"]).filter(here).select("variable", F.col("value").alias("_median"))
+
+
 def process_outliers(events: DataFrame, rules: DataFrame, accuracy: int = 100_000) -> DataFrame:
     """Remove invalid values, or replace them by the median of the valid ones, per variable.
 
     A test that cannot be decided counts as invalid, a variable without an action passes through
-    and one without a rule disappears. All variables share one aggregation, a mergeable sketch whose
-    rank error is at most n / ``accuracy``.
+    and one without a rule disappears. All variables share the passes of ``exact_medians``, whose sketch
+    has the given ``accuracy``.
     """
     value, unit = F.col("value"), F.col("unit")
     unit_ok = F.col("units").isNull() | F.array_contains(F.col("units"), unit)
@@ -144,11 +174,7 @@ def process_outliers(events: DataFrame, rules: DataFrame, accuracy: int = 100_00
         "_valid", F.coalesce(value.between(F.col("lo"), F.col("hi")) & unit_ok, F.lit(False))
     )
     repaired = F.col("action") == "replace_with_median"
-    medians = (
-        judged.filter(repaired)
-        .groupBy("variable")
-        .agg(F.percentile_approx(F.when(F.col("_valid"), value), 0.5, accuracy).alias("_median"))
-    )
+    medians = exact_medians(judged.filter(repaired & F.col("_valid")).select("variable", "value"), accuracy)
     return (
         attach(judged, medians, "variable", "left")
         .filter(F.col("action").isNull() | repaired | F.col("_valid"))

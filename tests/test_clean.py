@@ -1,9 +1,11 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.operators import clean
+from pulseframe.session import settle
 from pulseframe.sources.rules import check_rules, rules_table
 
 
@@ -119,3 +121,24 @@ def test_rules_are_checked(spark):
     for bad in ({**good, "codes": [2]}, {**good, "codes": [3], "hi": 2.0}, {**good, "variable": "b", "codes": [3], "sel_kind": "x"}):
         with pytest.raises(ValueError):
             check_rules(rules_table(spark, [good, bad]))
+
+
+def test_median_of_many_values_is_exact(spark):
+    rows = 1_000_001
+    values = F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double").alias("value")
+    df = settle(spark.range(rows).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("variable"), values))
+    got = {r.variable: r._median for r in clean.exact_medians(df).collect()}
+    for name in ("a", "b"):
+        all_values = np.sort(df.filter(F.col("variable") == name).toPandas()["value"].to_numpy())
+        assert got[name] == all_values[(len(all_values) + 1) // 2 - 1]
+    rules = rules_table(spark, [{"variable": "b", "codes": [1], "lo": 0.0, "hi": 1e15, "action": "replace_with_median"}])
+    bad = spark.createDataFrame([("b", -1.0)], "variable string, value double")
+    events = df.filter("variable = 'b'").unionByName(bad).withColumn("unit", F.lit(None).cast("string"))
+    repaired = clean.process_outliers(events, rules).groupBy("value").count().filter("count > 1").collect()
+    assert [r.value for r in repaired] == [got["b"]]
+
+
+def test_median_outside_its_bracket(spark, monkeypatch):
+    df = spark.createDataFrame([("v", float(x)) for x in range(101)] + [("w", 3.0), ("w", 1.0)], "variable string, value double")
+    monkeypatch.setattr(clean.F, "percentile_approx", lambda *_: F.array(F.lit(70.0), F.max("value")))
+    assert {r.variable: r._median for r in clean.exact_medians(df).collect()} == {"v": 50.0, "w": 1.0}
