@@ -267,11 +267,15 @@ def even_edges(events: DataFrame, edges: int = 16) -> DataFrame:
     )
 
 
-def histogram(events: DataFrame, bins: DataFrame | None = None, max_bins: int = MAX_BINS) -> DataFrame:
-    """Counts per variable and bin, empty bins included; the last bin holds the maximum."""
+def histogram(events: DataFrame, bins: DataFrame | None = None, max_bins: int = MAX_BINS, slack: float = 0.0) -> DataFrame:
+    """Counts per variable and bin, empty bins included; the last bin holds the maximum.
+
+    A value that lies less than ``slack`` bins below an edge counts as on the edge, and so in the bin above it.
+    """
     edges = settle(bin_edges(events, max_bins) if bins is None else bins)
     step = (F.col("high") - F.col("low")) / F.col("bins")
-    place = F.when(step > 0, F.floor((F.col("value") - F.col("low")) / F.when(step > 0, step))).otherwise(F.lit(0))
+    steps = (F.col("value") - F.col("low")) / F.when(step > 0, step)
+    place = F.when(step > 0, F.floor(steps + slack if slack else steps)).otherwise(F.lit(0))
     counts = (
         attach(events.select("variable", "value").filter("value is not null"), edges, "variable")
         .withColumn("bin", F.least(place, F.col("bins") - 1).cast("int"))
@@ -294,7 +298,11 @@ def statistics_bundle(*tables: DataFrame) -> DataFrame:
 
 
 def transform_comparison(events: DataFrame, variables: list[str] | None = None, edges: int = 16) -> DataFrame:
-    """Histograms of the original values, z-scores and quantiles of each variable, over even edges."""
+    """Histograms of the original values, z-scores and quantiles of each variable, over even edges.
+
+    Mean and deviation carry the rounding of their sums, whose order is open; a value on an edge stays
+    there as a z-score, whatever side the last bits put it on.
+    """
     chosen = events if variables is None else events.filter(F.col("variable").isin(variables))
     chosen = settle(chosen.select("variable", "value"))
     spaces = {
@@ -303,7 +311,8 @@ def transform_comparison(events: DataFrame, variables: list[str] | None = None,
         "ecdf": ecdf_transform(chosen, ecdf_fit(chosen), fitted=True),
     }
     tables = [
-        histogram(df, even_edges(df, edges)).withColumn("space", F.lit(name)) for name, df in spaces.items()
+        histogram(df, even_edges(df, edges), slack=1e-9 if name == "zscore" else 0.0).withColumn("space", F.lit(name))
+        for name, df in spaces.items()
     ]
     return reduce(DataFrame.unionByName, tables)
 

@@ -174,3 +174,38 @@ def test_combine_drops_empty_columns(spark):
     got = experiments.combine_results(own, other, {"b": "Base"}, [0.5])
     assert got.columns == ["name", "data_fraction", "training_time"]
     assert sorted(tuple(r) for r in got.collect()) == [("Base", 0.5, 2.0), ("Ours", 0.5, 1.0)]
+
+
+def test_scores_are_rounded_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from pulseframe.plans.oracle_views import VIEWS
+    from pulseframe.plans.views import Tables
+
+    docs = pd.DataFrame({"doc_id": np.arange(20_001), "n_chars": np.arange(20_001)})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    docs.assign(toxic=docs["doc_id"] % 2)[["doc_id", "toxic"]].to_parquet(tmp_path / "labels.parquet")
+    got = Tables(spark, str(tmp_path)).predictions.select("id", "score").toPandas().sort_values("id")["score"].tolist()
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    assert got == con.execute(f"SELECT score FROM ({VIEWS['v_predictions']}) ORDER BY id").df()["score"].tolist()
+
+
+def test_ties_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    from pulseframe.plans.registry import r_ties
+
+    shares = [(k / 5120,) for k in range(5121)] + [(k / 1024,) for k in range(1025)]
+    got = [row.x for row in spark.createDataFrame(shares, "x double").coalesce(1).select(r_ties("x", 9)).collect()]
+    assert got == [x for (x,) in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 9)", [[x for (x,) in shares]]).fetchall()]
+
+
+def test_values_on_an_edge_stay_there_as_scores(spark):
+    rng = np.random.default_rng(11)
+    values = np.concatenate([np.tile([0.0, 92.84, 464.2], (300, 1)), rng.integers(1, 9000, (300, 9)) / 100], axis=1)
+    df = spark.createDataFrame(pd.DataFrame({"variable": np.repeat([f"v{i}" for i in range(300)], 12), "value": values.ravel()}))
+    table = stats.transform_comparison(df).toPandas().set_index(["variable", "bin"])
+    counts = [table[table["space"] == space]["count"].sort_index() for space in ("original", "zscore")]
+    pd.testing.assert_series_equal(*counts)
