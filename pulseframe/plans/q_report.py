@@ -12,7 +12,7 @@ from pulseframe.operators import clean, cohort, correlation, evaluate, events as
 from pulseframe.operators.batches import class_prevalence
 from pulseframe.plans import dataset
 from pulseframe.plans.oracle_views import VIEWS, interpolate_sql, u
-from pulseframe.plans.registry import query, r
+from pulseframe.plans.registry import query, r, r_ties
 from pulseframe.plans.views import Tables
 from pulseframe.session import settle
 
@@ -334,7 +334,7 @@ def statistics_bundle(t: Tables) -> DataFrame:
   SELECT score AS threshold, round(fp / n, 9) AS fpr, round(tp / p, 9) AS tpr FROM v_thresholds
   UNION ALL SELECT CAST('inf' AS DOUBLE), 0, 0""")
 def roc_curve(t: Tables) -> DataFrame:
-    return evaluate.roc_curve(t.predictions).select("threshold", r("fpr", 9), r("tpr", 9))
+    return evaluate.roc_curve(t.predictions).select("threshold", r_ties("fpr", 9), r_ties("tpr", 9))
 
 
 @query("""
@@ -342,7 +342,7 @@ def roc_curve(t: Tables) -> DataFrame:
     SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2::DOUBLE AS rank,
       sum(label) OVER () AS p FROM v_predictions) GROUP BY p""")
 def auroc(t: Tables) -> DataFrame:
-    return evaluate.auroc(t.predictions).select(r("auroc", 9))
+    return evaluate.auroc(t.predictions).select(r_ties("auroc", 9))
 
 
 PR_POINTS = "SELECT score AS threshold, tp / (tp + fp) AS precision, tp / p AS recall FROM v_thresholds UNION ALL SELECT CAST('inf' AS DOUBLE), 1, 0"
@@ -350,7 +350,7 @@ PR_POINTS = "SELECT score AS threshold, tp / (tp + fp) AS precision, tp / p AS r
 
 @query(f"SELECT threshold, round(precision, 9) AS precision, round(recall, 9) AS recall FROM ({PR_POINTS})")
 def pr_curve(t: Tables) -> DataFrame:
-    return evaluate.pr_curve(t.predictions).select("threshold", r("precision", 9), r("recall", 9))
+    return evaluate.pr_curve(t.predictions).select("threshold", r_ties("precision", 9), r_ties("recall", 9))
 
 
 @query(f"""
@@ -358,7 +358,7 @@ def pr_curve(t: Tables) -> DataFrame:
     SELECT precision, recall, lag(recall) OVER w AS before, lag(precision) OVER w AS prior FROM ({PR_POINTS})
     WINDOW w AS (ORDER BY threshold DESC))""")
 def pr_auc(t: Tables) -> DataFrame:
-    return evaluate.pr_auc(t.predictions).select(r("pr_auc", 9))
+    return evaluate.pr_auc(t.predictions).select(r_ties("pr_auc", 9))
 
 
 @query(f"""
@@ -373,12 +373,12 @@ def pr_auc(t: Tables) -> DataFrame:
   SELECT round((SELECT avg(score) FROM v_predictions), 9) AS mean_prediction, round(auroc, 9) AS auroc, round(pr_auc, 9) AS pr_auc,
     round(pr_auc + auroc, 9) AS pr_roc_auc_sum, round(minrp, 9) AS minrp FROM roc, pr""")
 def score_metrics(t: Tables) -> DataFrame:
-    return evaluate.score_metrics(t.predictions).select(*[r(c, 9) for c in ("mean_prediction", "auroc", "pr_auc", "pr_roc_auc_sum", "minrp")])
+    return evaluate.score_metrics(t.predictions).select(*[r_ties(c, 9) for c in ("mean_prediction", "auroc", "pr_auc", "pr_roc_auc_sum", "minrp")])
 
 
 @query(f"SELECT round(max(least(precision, recall)), 9) AS minrp FROM ({PR_POINTS})")
 def minrp(t: Tables) -> DataFrame:
-    return evaluate.minrp(t.predictions).select(r("minrp", 9))
+    return evaluate.minrp(t.predictions).select(r_ties("minrp", 9))
 
 
 @query("""
@@ -393,7 +393,7 @@ def log_loss(t: Tables) -> DataFrame:
   SELECT round(m, 9) AS mean_prediction, round(p, 9) AS pos_class_frac, round((m - p) / p, 9) AS pred_diff
   FROM (SELECT avg(score) AS m, avg(label) AS p FROM v_predictions)""")
 def prediction_bias(t: Tables) -> DataFrame:
-    return evaluate.prediction_bias(t.predictions).select(r("mean_prediction", 9), r("pos_class_frac", 9), r("pred_diff", 9))
+    return evaluate.prediction_bias(t.predictions).select(r_ties("mean_prediction", 9), r_ties("pos_class_frac", 9), r_ties("pred_diff", 9))
 
 
 @query("""
@@ -401,7 +401,7 @@ def prediction_bias(t: Tables) -> DataFrame:
     round(count(*) / sum(count(*)) OVER (PARTITION BY label), 9) AS class_share
   FROM (SELECT label, least(floor(score * 20), 19) AS bin FROM v_predictions) GROUP BY label, bin""")
 def score_distribution(t: Tables) -> DataFrame:
-    return evaluate.score_distribution(t.predictions, 20).select("label", "bin", "count", r("joint_share", 9), r("class_share", 9))
+    return evaluate.score_distribution(t.predictions, 20).select("label", "bin", "count", r_ties("joint_share", 9), r_ties("class_share", 9))
 
 
 CELL_KEY = ["stay_id", "minute", "variable"]

@@ -62,5 +62,11 @@ def r(column: str | Column, digits: int = 6) -> Column:
     return rounded.alias(named) if named else rounded
 
 
+def r_ties(column: str, digits: int) -> Column:
+    """A double rounded as DuckDB does it, which decides ties on the double times a power of ten, not on its decimal digits."""
+    scale = F.lit(10.0**digits)
+    return (F.round(F.col(column) * scale) / scale).alias(column)
+
+
 def micros(column: str, alias: str | None = None) -> Column:
     return F.unix_micros(column).alias(alias or f"{column}_us")

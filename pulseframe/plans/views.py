@@ -286,7 +286,9 @@ class Tables:
     @_once
     def predictions(self) -> DataFrame:
         """Toxicity labels with a score from the text length: many ties, all within 0.01..0.99."""
-        score = F.least(F.greatest(F.round(F.col("n_chars") / 20_000, 2), F.lit(0.01)), F.lit(0.99))
+        # Rounded as its SQL does it: the double times 100 to a whole number, not its decimal digits (2,900 gives 0.14, not 0.15).
+        hundredths = F.round(F.col("n_chars") / F.lit(20_000.0) * F.lit(100.0)) / F.lit(100.0)
+        score = F.least(F.greatest(hundredths, F.lit(0.01)), F.lit(0.99))
         joined = self.table("labels").join(self.table("documents").select("doc_id", "n_chars"), "doc_id")
         return joined.select(
             F.col("doc_id").alias("id"), score.alias("score"), F.log(score / (1 - score)).alias("logit"),
