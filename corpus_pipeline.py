@@ -24,8 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of every group of near copies: five-word shingles, similarity 0.8."""
-    return copies.keep_one(docs)
+    """One document, that with the smallest id, of every group of near copies: linked by fingerprints that differ in
+    two bits at most (``simhash``), or by five-word shingles of similarity 0.8."""
+    return copies.keep_one(docs, fingerprints=True)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Near copies by their word shingles: documents whose sets of five-word shingles have Jaccard similarity 0.8.
 
-The fingerprints of ``simhash`` can't lead this stage: edited copies at 0.8 differ in up to 10 of 64 bits and
-more, and the grid of segment counts would list each fingerprint in all cells within half of that.
-So candidates come from ``BANDS`` keys of ``ROWS`` least hashes each, which a pair at similarity s
+The fingerprints of ``simhash`` link what differs in 2 of 64 bits. Edited copies at 0.8 differ in up to 10 bits and
+more, and the grid of segment counts would list each fingerprint in all cells within half of that. So for
+what lies beyond the fingerprints' reach, candidates come from ``BANDS`` keys of ``ROWS`` least hashes each, which a pair at similarity s
 shares with probability 1 - (1 - s ** ROWS) ** BANDS (0.99997 at 0.8), and every candidate is compared
 by its whole sets. Texts of equal sets are one class from the start.
 
@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseframe.llm.base import arrow_pass, bytes_of, components, keeps_names, one_of_each, row_keys, store
+from pulseframe.llm.simhash import near_duplicates
 from pulseframe.llm.words import BASE, SPACED, Words, scramble
 from pulseframe.operators.joins import attach
 from pulseframe.session import settle
@@ -138,8 +139,11 @@ def prefix_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
     return one.join(two, met & once & room).select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))
 
 
-def groups(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, label) of the classes (node, n, bands, rep) that have links; label is the smallest node linked."""
+def groups(classes: DataFrame, rows: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """(node, label) of the classes (node, n, bands, rep) that have links; label is the smallest node linked.
+
+    ``given`` has links (a, b) of classes that hold without a comparison.
+    """
     listed = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = listed.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band")
     met = settle(attach(listed, shared, "band"))
@@ -151,7 +155,8 @@ def groups(classes: DataFrame, rows: DataFrame) -> DataFrame:
     leads = members.groupBy("band").agg(F.min_by("node", F.struct(F.col("own") / F.col("n"), -F.col("n"), "node")).alias("lead"))
     members = settle(members.join(leads, "band"))
     first = settle(members.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-    links = settle(alike(first, sets))
+    links = alike(first, sets)
+    links = settle(links if given is None else links.union(given.select("a", "b")))
     known = components(links)
     placed = members.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_bands = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
@@ -161,10 +166,21 @@ def groups(classes: DataFrame, rows: DataFrame) -> DataFrame:
     return components(links.union(alike(more, sets))) if more.head(1) else known
 
 
+def fingerprint_links(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): links of classes whose texts are near duplicates by ``simhash``, each to the smallest of its component."""
+    found = near_duplicates(rows, keys=("_id", "_mark")).select("_id", "_mark", F.col("component_id").alias("part")).distinct()
+    placed = found.join(known.select("_id", "_mark", F.col("same").alias("node")).distinct(), ["_id", "_mark"])
+    placed = settle(placed.select("part", "node").distinct())
+    least = placed.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most").select("part", "a")
+    return placed.join(least, "part").filter("node <> a").select("a", F.col("node").alias("b"))
+
+
 @keeps_names("_id", "_mark")
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
     """``docs`` with one row per group of near copies, that with the smallest id and, of rows of that id, the smallest hash.
 
+    With ``fingerprints`` the near duplicates that ``simhash`` finds are links too, beside those by similar sets.
+
     Near copies are linked by others between them. Texts without words, null ones too, are one group. A kept
     row that is repeated whole stays once; documents without an id are kept. Empty in, empty out.
     """
@@ -172,6 +188,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     known = store(signatures(rows), "signatures")
     by_set = known.groupBy(F.col("same").alias("node"))
     classes = settle(by_set.agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("_id", "_mark")).alias("rep")))
-    labels = groups(classes, rows)
+    labels = groups(classes, rows, fingerprint_links(rows, known) if fingerprints else None)
     grouped = known.join(labels, known["same"] == labels["node"], "left").withColumn("group", F.coalesce("label", "same"))
     return one_of_each(rows, grouped.select("doc_id", "_id", "_mark", "group"))

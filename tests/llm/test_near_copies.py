@@ -75,3 +75,13 @@ def test_large_group_of_copies_is_no_list_of_pairs(spark):
         near_copies.alike = alike
     assert kept == plain_kept(rows)
     assert sum(compared) < 20 * len(rows)
+
+
+def test_stage_links_by_fingerprints_too(spark):
+    """Shingles count as often as they occur in a fingerprint, once in a set: texts of one chorus differ in their sets alone."""
+    rng = random.Random(9)
+    chorus = ["never", "gonna", "give", "you", "up"] * 200
+    texts = [" ".join(chorus + [f"w{rng.randrange(9000)}" for _ in range(12)]) for _ in range(3)] + ["something else altogether in here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert near_copies.keep_one(docs).count() == 4
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs.union(docs), "").collect()) == [0, 3]
