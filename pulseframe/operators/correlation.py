@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pulseframe.operators.joins import attach
 from pulseframe.operators.ordered import numbered, running
@@ -21,7 +21,7 @@ def spearman_pairs(daily: DataFrame, min_periods: int = 30) -> DataFrame:
     for every reading, with its ranks beside the other variables of its day; such an array is bounded
     by the vocabulary, not by the data.
     """
-    present = daily.filter("value is not null").select("stay_id", "day", "variable", "value")
+    present = settle(daily.filter("value is not null").select("stay_id", "day", "variable", "value"))
     names = settle(numbered(present.select("variable").distinct(), ["variable"], "id"))
     days = settle(
         attach(present, names, "variable").groupBy("stay_id", "day").agg(
@@ -31,12 +31,9 @@ def spearman_pairs(daily: DataFrame, min_periods: int = 30) -> DataFrame:
     readings = days.select("stay_id", "day", F.col("_row.id").alias("_ids"), F.explode("_row").alias("_r")).select(
         "stay_id", "day", "_ids", F.col("_r.id").alias("a"), F.col("_r.value").alias("x")
     )
-    # Bound as the only element of an array, the ranks are spread out once a reading, not once a variable.
-    beside = F.transform(
-        F.array(_dense(F.col("_ranks"))),
-        lambda ranks: F.transform("_ids", lambda b: F.get(ranks, (b - 1).cast("int"))),
-    )
-    ranked = readings.join(_ranks(readings), ["a", "x"]).select("stay_id", "day", "a", F.get(beside, F.lit(0)).alias("_row"))
+    # Both are in the order of the variables, and every variable of the day has a rank beside it.
+    beside = F.filter("_ranks", lambda entry: F.array_contains("_ids", entry["b"]))
+    ranked = readings.join(_ranks(readings), ["a", "x"]).select("stay_id", "day", "a", beside["rank"].alias("_row"))
     return _pearson(ranked, names, min_periods)
 
 
@@ -49,16 +46,6 @@ def _ranks(readings: DataFrame) -> DataFrame:
     return placed.groupBy("a", "x").agg(F.array_sort(F.collect_list(F.struct("b", rank.alias("rank")))).alias("_ranks"))
 
 
-def _dense(entries: Column) -> Column:
-    """Ranks by variable number: the gaps between the numbers are filled, so a rank is found by its place."""
-    def after_gap(entry, i):
-        before = F.when(i > 0, F.get(entries, i - 1)["b"]).otherwise(F.lit(0))
-        gap = F.array_repeat(F.lit(None).cast("double"), (entry["b"] - before - 1).cast("int"))
-        return F.concat(gap, F.array(entry["rank"]))
-
-    return F.flatten(F.transform(entries, after_gap))
-
-
 def _pearson(ranked: DataFrame, names: DataFrame, min_periods: int) -> DataFrame:
     # Row i of a day holds the ranks of its i-th variable, in the order of the variables.
     table = ranked.groupBy("stay_id", "day").agg(F.array_sort(F.collect_list(F.struct("a", "_row"))).alias("_t"))
@@ -79,7 +66,7 @@ def _pearson(ranked: DataFrame, names: DataFrame, min_periods: int) -> DataFrame
         F.sum(F.col("x") * F.col("x")).alias("_xx"), F.sum(F.col("y") * F.col("y")).alias("_yy"),
     )
     rho = F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy")))
-    half = sums.select("a", "b", "n", F.when(F.col("n") >= min_periods, rho).alias("rho"))
+    half = settle(sums.select("a", "b", "n", F.when(F.col("n") >= min_periods, rho).alias("rho")))
     mirrored = half.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "rho")
     full = settle(half.unionByName(mirrored))
     kept = names.join(full.filter("rho is not null").select(F.col("a").alias("id")).distinct(), "id", "left_semi")

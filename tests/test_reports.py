@@ -209,3 +209,16 @@ def test_values_on_an_edge_stay_there_as_scores(spark):
     table = stats.transform_comparison(df).toPandas().set_index(["variable", "bin"])
     counts = [table[table["space"] == space]["count"].sort_index() for space in ("original", "zscore")]
     pd.testing.assert_series_equal(*counts)
+
+
+def test_spearman_computes_its_input_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    daily = spark.range(400).selectExpr("0L AS stay_id", "id div 4 AS day", "concat('v', id % 4) AS variable", "cast(xxhash64(id) % 9 AS float) AS value")
+    pairs = correlation.spearman_pairs(daily.mapInArrow(counted, daily.schema)).collect()
+    assert len(pairs) == 16 and rows.value == 400
