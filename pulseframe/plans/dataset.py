@@ -52,14 +52,14 @@ def build_dataset(
     The named events are stored once: the medians, the repair, the noise and the first times of
     the stays each read them, and all that lies between is narrow.
     """
-    cleaned = settle(named_events(raw_events(raw, rules), rules))
+    named = cleaned = settle(named_events(raw_events(raw, rules), rules))
     if not leave_outliers:
         cleaned = clean.process_outliers(cleaned, rules)
     if noise_options and noise_options["p"] > 0:
         cleaned = noise.add_noise(cleaned, seed=seed, **noise_options)
     stays = settle(ev.filter_active_stays(raw.adult_stays(), cleaned))
     timed = ev.relative_minutes(cleaned, stays)
-    events = settle(ev.throttle_events(timed))
+    events = settle(ev.throttle_events(timed, named))
     # Throttling keeps every (stay, minute), so the cohort can be read from its smaller result.
     eligible = settle(cohort.eligible_cohort(stays, events, raw.admissions()))
     labels = eligible.select("stay_id", "died")

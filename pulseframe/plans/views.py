@@ -92,6 +92,11 @@ class Tables:
             (F.col("user_id") * 1000 + week).alias("stay"),
         )
 
+    @_once
+    def _charted(self) -> DataFrame:
+        """``ev``, stored: the raw event tables and the stays are all made from it."""
+        return settle(self.ev)
+
     @_once
     def point_events(self) -> DataFrame:
         """One clean event per row of ``events``: variable = type, source by parity, unit by thirds."""
@@ -183,7 +188,7 @@ class Tables:
         start = F.timestamp_seconds(F.col("w") * WEEK + EPOCH + 86_400)
         hours = 12 + (F.col("user_id") * 7 + F.col("w") * 13) % 108
         end = F.when((F.col("user_id") + F.col("w")) % 29 != 0, shift_seconds(start, hours * 3600))
-        return self.ev.select("user_id", "w", "stay").distinct().select(
+        return self._charted.select("user_id", "w", "stay").distinct().select(
             F.col("stay").alias("ICUSTAY_ID"), F.col("user_id").alias("SUBJECT_ID"), F.col("user_id").alias("HADM_ID"),
             start.alias("INTIME"), end.alias("OUTTIME"),
         )
@@ -221,7 +226,7 @@ class Tables:
         k = F.col("k")
         text = (F.when(k % 20 == 9, "calm").when(k % 20 == 19, "restless")
                 .when(k % 10 == 7, k.cast("string")))
-        return self.ev.select(
+        return self._charted.select(
             *self._keys(), self._code(100, True), F.when(k % 10 < 7, F.col("value")).alias("VALUENUM"),
             text.alias("VALUE"), self._unit().alias("VALUEUOM"),
             F.when(k % 7 == 0, 1).when(k % 7 != 1, 0).alias("ERROR"),
@@ -230,7 +235,7 @@ class Tables:
     @_once
     def raw_labevents(self) -> DataFrame:
         k = F.col("k")
-        return self.ev.select(
+        return self._charted.select(
             F.col("user_id").alias("HADM_ID"), F.col("user_id").alias("SUBJECT_ID"), F.col("ts").alias("CHARTTIME"),
             self._code(200, True), F.when(k % 10 < 8, F.col("value")).alias("VALUENUM"),
             F.when(k % 20 == 9, "device on").when(k % 20 == 19, "device off").alias("VALUE"),
@@ -239,7 +244,7 @@ class Tables:
 
     @_once
     def raw_outputevents(self) -> DataFrame:
-        return self.ev.select(
+        return self._charted.select(
             *self._keys(), self._code(300), F.when(F.col("k") % 13 != 0, F.col("value")).alias("VALUE"),
             F.lit("ml").alias("VALUEUOM"),
         )
@@ -247,13 +252,13 @@ class Tables:
     @_once
     def raw_inputevents_cv(self) -> DataFrame:
         unit = F.when(F.col("k") % 5 != 0, self._unit())
-        return self.ev.select(*self._keys(), self._code(400), F.col("value").alias("AMOUNT"), unit.alias("AMOUNTUOM"))
+        return self._charted.select(*self._keys(), self._code(400), F.col("value").alias("AMOUNT"), unit.alias("AMOUNTUOM"))
 
     @_once
     def raw_inputevents_mv(self) -> DataFrame:
         k = F.col("k")
         seconds = k * 420 - 600 + F.when(k % 4 == 1, 170).otherwise(0)
-        return self.ev.select(
+        return self._charted.select(
             F.col("stay").alias("ICUSTAY_ID"), F.col("user_id").alias("SUBJECT_ID"),
             shift_seconds(F.col("ts"), -seconds).alias("STARTTIME"), F.col("ts").alias("ENDTIME"), self._code(500),
             F.col("value").alias("AMOUNT"), self._unit().alias("AMOUNTUOM"),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulseframe.operators import clean
+from pulseframe.operators import clean, events as ev
 from pulseframe.session import settle
 from pulseframe.sources.rules import check_rules, rules_table
 
@@ -142,3 +142,17 @@ def test_median_outside_its_bracket(spark, monkeypatch):
     df = spark.createDataFrame([("v", float(x)) for x in range(101)] + [("w", 3.0), ("w", 1.0)], "variable string, value double")
     monkeypatch.setattr(clean.F, "percentile_approx", lambda *_: F.array(F.lit(70.0), F.max("value")))
     assert {r.variable: r._median for r in clean.exact_medians(df).collect()} == {"v": 50.0, "w": 1.0}
+
+
+def test_throttled_groups_hold_numbers(spark):
+    rows = [(1, 5, "v", 1.0, "b", "ml"), (1, 5, "v", 2.0, "a", None), (1, 5, "v", 6.0, "b", "L"), (1, 6, "v", 2.0, None, None),
+            (2, 5, "w", None, "\u00e9", "z"), (2, 5, "w", 4.0, "z", "\u00e9")]
+    df = spark.createDataFrame(rows, "stay_id bigint, minute int, variable string, value double, source string, unit string")
+    numbered = ev.throttle_events(df, df)
+    assert "collect_set" not in numbered._jdf.queryExecution().toString()
+    gathered = ev.throttle_events(df)
+    assert numbered.schema.simpleString() == gathered.schema.simpleString()
+    assert sorted(map(repr, numbered.collect())) == sorted(map(repr, gathered.collect()))
+    many = df.unionByName(spark.range(ev.BITS).select(F.lit(9).cast("bigint").alias("stay_id"), F.lit(1).alias("minute"), F.lit("v").alias("variable"),
+                          F.lit(1.0).alias("value"), F.col("id").cast("string").alias("source"), F.lit("L").alias("unit")))
+    assert max(len(r.source) for r in ev.throttle_events(many, many).collect()) == ev.BITS
