@@ -99,8 +99,8 @@ JOURNEY = f"""
   UNION ALL {moments_sql('(SELECT count(*) AS n FROM v_order_stays JOIN v_le USING (stay_id) GROUP BY patient_id)', 'NumOfEventsPerPatient')}"""
 
 
-def _journeys(t: Tables) -> DataFrame:
-    return stats.journey_statistics(ev.throttle_events(t.lines), t.order_stays)
+def _journeys(t: Tables, events: DataFrame | None = None) -> DataFrame:
+    return stats.journey_statistics(ev.throttle_events(t.lines, t.lines) if events is None else events, t.order_stays)
 
 
 @query(f"SELECT statistic, round(value, 6) AS value FROM ({JOURNEY})")
@@ -120,7 +120,7 @@ SPLIT_STATISTICS = """
 
 
 def _splits(t: Tables):
-    events, eligible = settle(ev.throttle_events(t.lines)), settle(t.order_cohort)
+    events, eligible = settle(ev.throttle_events(t.lines, t.lines)), settle(t.order_cohort)
     splits = cohort.complete_splits(events, cohort.split_by_entity(eligible))
     return eligible.select("stay_id", "died"), events, settle(splits)
 
@@ -323,8 +323,9 @@ def journey_extract(t: Tables) -> DataFrame:
 
 @query(f"SELECT statistic, round(value, 6) AS value FROM ({JOURNEY} UNION ALL {SPLIT_STATISTICS} UNION ALL {FEATURES} UNION ALL {RAW_NUMBERS})")
 def statistics_bundle(t: Tables) -> DataFrame:
+    labels, events, splits = _splits(t)
     return stats.statistics_bundle(
-        _journeys(t), _split_statistics(t), stats.feature_statistics(t.rules, t.raw.items()),
+        _journeys(t, events), stats.split_statistics(labels, events, splits), stats.feature_statistics(t.rules, t.raw.items()),
         stats.raw_numbers(t.raw.patients(), t.raw.adult_stays()),
     ).select("statistic", r("value"))
 
