@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseframe.llm.base import arrow_pass, bytes_of, components, keeps_names, one_of_each, row_keys, store
-from pulseframe.llm.simhash import near_duplicates
+from pulseframe.llm.simhash import links, simhash
 from pulseframe.llm.words import BASE, SPACED, Words, scramble
 from pulseframe.operators.joins import attach
 from pulseframe.session import settle
@@ -65,17 +65,19 @@ def bands(values: np.ndarray) -> np.ndarray:
     return total
 
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """(doc_id, _id, _mark, same, n, bands) of every row: the hash, size and keys of its set of shingles."""
+def signatures(rows: DataFrame, fingerprints: bool = False) -> DataFrame:
+    """(doc_id, _id, _mark, same, n, fp, bands) of every row: the hash, size and keys of its set of shingles, and its fingerprint."""
     names = ["doc_id", "_id", "_mark"]
 
     def scan(batch: pa.RecordBatch):
-        sets = shingle_sets(bytes_of(batch.column("text")))
+        texts = bytes_of(batch.column("text"))
+        sets = shingle_sets(texts)
+        prints = pa.array([simhash(text) for text in texts] if fingerprints else [None] * len(texts), pa.int64())
         same = pa.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], pa.uint64()).view(pa.int64())
         keys = pa.array([bands(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-        return pa.record_batch([*map(batch.column, names), same, pa.array(map(len, sets), pa.int32()), keys], [*names, "same", "n", "bands"])
+        return pa.record_batch([*map(batch.column, names), same, pa.array(map(len, sets), pa.int32()), prints, keys], [*names, "same", "n", "fp", "bands"])
 
-    kinds = "doc_id bigint, _id bigint, _mark bigint, same bigint, n int, bands array<bigint>"
+    kinds = "doc_id bigint, _id bigint, _mark bigint, same bigint, n int, fp bigint, bands array<bigint>"
     return arrow_pass(rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "_id", "_mark", "text"), scan, kinds, "text")
 
 
@@ -155,24 +157,25 @@ def groups(classes: DataFrame, rows: DataFrame, given: DataFrame | None = None)
     leads = members.groupBy("band").agg(F.min_by("node", F.struct(F.col("own") / F.col("n"), -F.col("n"), "node")).alias("lead"))
     members = settle(members.join(leads, "band"))
     first = settle(members.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-    links = alike(first, sets)
-    links = settle(links if given is None else links.union(given.select("a", "b")))
-    known = components(links)
+    near = alike(first, sets)
+    known = components(near if given is None else near.union(given.select("a", "b")))
     placed = members.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_bands = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band")
     left = settle(attach(placed, open_bands, "band").select("node", "n", "label").distinct())
     pairs = prefix_pairs(left, sets)
     more = settle(pairs.distinct().join(first, ["a", "b"], "left_anti"))
-    return components(links.union(alike(more, sets))) if more.head(1) else known
+    return components(known.select(F.col("node").alias("a"), F.col("label").alias("b")).union(alike(more, sets))) if more.head(1) else known
 
 
-def fingerprint_links(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): links of classes whose texts are near duplicates by ``simhash``, each to the smallest of its component."""
-    found = near_duplicates(rows, keys=("_id", "_mark")).select("_id", "_mark", F.col("component_id").alias("part")).distinct()
-    placed = found.join(known.select("_id", "_mark", F.col("same").alias("node")).distinct(), ["_id", "_mark"])
-    placed = settle(placed.select("part", "node").distinct())
-    least = placed.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most").select("part", "a")
-    return placed.join(least, "part").filter("node <> a").select("a", F.col("node").alias("b"))
+def fingerprint_links(known: DataFrame) -> DataFrame:
+    """(a, b): links of classes with equal fingerprints and with near ones, each through the smallest class of a fingerprint.
+
+    The links of ``simhash`` are taken as they are; they are followed together with those by similar sets.
+    """
+    placed = settle(known.select("fp", F.col("same").alias("node")).distinct())
+    least = settle(placed.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("classes")))
+    equal = placed.join(least.filter("classes > 1").select("fp", F.col("node").alias("a")), "fp").select("a", F.col("node").alias("b"))
+    return equal.union(links(least.select("fp", "node")))
 
 
 @keeps_names("_id", "_mark")
@@ -185,9 +188,9 @@ def keep_one(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
     row that is repeated whole stays once; documents without an id are kept. Empty in, empty out.
     """
     rows = row_keys(docs)
-    known = store(signatures(rows), "signatures")
+    known = store(signatures(rows, fingerprints), "signatures")
     by_set = known.groupBy(F.col("same").alias("node"))
     classes = settle(by_set.agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("_id", "_mark")).alias("rep")))
-    labels = groups(classes, rows, fingerprint_links(rows, known) if fingerprints else None)
+    labels = groups(classes, rows, fingerprint_links(known) if fingerprints else None)
     grouped = known.join(labels, known["same"] == labels["node"], "left").withColumn("group", F.coalesce("label", "same"))
     return one_of_each(rows, grouped.select("doc_id", "_id", "_mark", "group"))
