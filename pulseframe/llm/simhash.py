@@ -91,7 +91,8 @@ def links(classes: DataFrame, crowded: int = CROWDED) -> DataFrame:
     listed = classes.select("node", "fp", F.explode(cells(segment_counts(F.col("fp")))).alias("cell"))
     full = settle(listed.groupBy("cell").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > crowded).select("cell"))
     roomy = attach(listed, full, "cell", how="left_anti") if full.head(1) else listed
-    one, two = roomy.alias("one"), roomy.alias("two")
+    # Catalyst takes the size of the classes for that of their cells, 33 times as many rows, and would broadcast them.
+    one, two = roomy.alias("one"), roomy.hint("merge").alias("two")
     near = F.bit_count(F.col("one.fp").bitwiseXOR(F.col("two.fp"))) <= NEAR
     pairs = one.join(two, (F.col("one.cell") == F.col("two.cell")) & (F.col("one.fp") < F.col("two.fp")) & near)
     edges = pairs.select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
