@@ -243,10 +243,12 @@ WIDE = """
   WHERE a IN (SELECT a FROM rho WHERE rho IS NOT NULL) AND b IN (SELECT a FROM rho WHERE rho IS NOT NULL)""")
 def spearman_wide(t: Tables) -> DataFrame:
     day = F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")) / 28).alias("day")
-    variable = F.concat(F.lit("part "), (F.col("l_partkey") % 100).cast("string")).alias("variable")
-    wide = t.table("lineitem").groupBy(F.col("l_suppkey").alias("stay_id"), day, variable).agg(
-        F.max("l_extendedprice").cast("float").alias("value")
-    )
+    # Dealt out by the days, so that neither the greatest price nor the row of a day is shuffled anew.
+    lines = t.table("lineitem").select(
+        F.col("l_suppkey").alias("stay_id"), day, (F.col("l_partkey") % 100).alias("part"), F.col("l_extendedprice").cast("float").alias("value")
+    ).repartition("stay_id", "day")
+    variable = F.concat(F.lit("part "), F.col("part").cast("string")).alias("variable")
+    wide = lines.groupBy("stay_id", "day", "part").agg(F.max("value").alias("value")).select("stay_id", "day", variable, "value")
     return correlation.spearman_pairs(wide).select("variable_a", "variable_b", "n", r("rho"))
 
 
